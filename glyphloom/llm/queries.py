@@ -1,5 +1,8 @@
 """The queries opN_<name>: each operator over its whole table, reduced to its digest columns."""
 
+import public_tokenizers
+
+from . import bpe
 from .substring_dedup import remove_repeated_sequences
 
 
@@ -11,8 +14,13 @@ def op2_substring_dedup(spark, sf_dir):
     return remove_repeated_sequences(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op4_byte_bpe(spark, sf_dir):
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
 }
 
 ORACLE_SQL = {}
