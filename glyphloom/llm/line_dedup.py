@@ -75,7 +75,7 @@ def _boilerplate(blocks: tb.Blocks, percent: float, min_pages: int) -> DataFrame
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     often = blocks.docs.groupBy("block").applyInArrow(count, "host string, line long, pages long").groupBy("host", "line").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
     flagged = often.join(totals, "host").where(F.col("pages") * 100 > F.lit(percent) * F.col("total")).select("host", "line")
-    return pages.select("block", "host").distinct().join(flagged, "host")
+    return pages.select("block", "host").distinct().join(flagged, "host").toDF("host", "block", "line")
 
 
 def _dropped(block: tb.Block, flagged: pa.Table):
@@ -109,7 +109,7 @@ def _by_block(docs: DataFrame, host_col: str, text_col: str, percent: float, min
     blocks = tb.blocks_of(docs, "doc_id", text_col, {"host": F.col(f"`{host_col}`").cast("string"), **extra})
     flagged = _boilerplate(blocks, percent, min_pages)
     kind = T.StructType(schema.fields)
-    return blocks.docs.groupBy("block").cogroup(flagged.groupBy("block")).applyInArrow(lambda left, right: finish(left, right), kind)
+    return blocks.docs.groupBy("block").cogroup(flagged.groupBy("block")).applyInArrow(finish, kind)
 
 
 def line_digests(docs: DataFrame, host_col: str = "source", text_col: str = "text", percent: float = 5, min_pages: int = 5) -> DataFrame:
@@ -131,23 +131,23 @@ def line_digests(docs: DataFrame, host_col: str = "source", text_col: str = "tex
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", percent: float = 5, min_pages: int = 5, length_col: str | None = None) -> DataFrame:
     """docs with shortened texts and all other columns as they were; length_col, if named, gets the new length in characters."""
 
+    columns = list(docs.columns)
+    others = [c for c in columns if c != text_col]
+
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = tb.block_of(left) if left.num_rows else None
-        out, rows = [], block.table["row"].combine_chunks() if block else None
-        made = list(_dropped(block, right)) if block else []
-        for c in docs.columns:
-            if not block:
-                out.append(pa.array([], pa.null()))
-                continue
-            own = rows.field(c)
-            if c == text_col and any(k for _, _, k in made):
-                own = pa.array([raw.decode() if k else o for (raw, _, k), o in zip(made, own.to_pylist())], own.type)
-            out.append(own)
-        if block and length_col and any(k for _, _, k in made):
-            at = docs.columns.index(length_col)
-            out[at] = pa.array([len(raw.decode()) if k else o for (raw, _, k), o in zip(made, out[at].to_pylist())], out[at].type)
-        return pa.table(out, docs.columns)
-
-    # the text itself comes by its own column; the struct holds the others and whether the text was null
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.null()) for c in columns})
+        block = tb.block_of(left)
+        row = block.table["row"].combine_chunks()
+        had_text = row.field(0).to_pylist()
+        made = list(_dropped(block, right))
+        texts = [raw.decode() for raw, _, _ in made]
+        own = {c: row.field(k + 1) for k, c in enumerate(others)}
+        own[text_col] = pa.array([t if had else None for t, had in zip(texts, had_text)], pa.string())
+        if length_col:
+            own[length_col] = pa.array([len(t) if k else n for t, (_, _, k), n in zip(texts, made, own[length_col].to_pylist())], own[length_col].type)
+        return pa.table([own[c] for c in columns], columns)
+
+    # the text travels once, by its own column; the struct, read by position, says whether it was null and holds the rest
+    row = F.struct(F.col(f"`{text_col}`").isNotNull(), *[F.col(f"`{c}`") for c in others])
     return _by_block(docs, host_col, text_col, percent, min_pages, {"row": row}, finish, docs.schema)

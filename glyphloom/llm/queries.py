@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bpe
+from . import bpe, decontaminate, line_dedup, quality_rules
 from .substring_dedup import remove_repeated_sequences
 
 
@@ -18,9 +18,25 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_quality_rules(spark, sf_dir):
+    kept = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return kept.drop("n_lines", "n_capitals", "n_shouts")
+
+
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.find_copies(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_decontamination": op8_decontamination,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE_SQL = {}
