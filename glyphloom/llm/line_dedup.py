@@ -131,23 +131,17 @@ def line_digests(docs: DataFrame, host_col: str = "source", text_col: str = "tex
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", percent: float = 5, min_pages: int = 5, length_col: str | None = None) -> DataFrame:
     """docs with shortened texts and all other columns as they were; length_col, if named, gets the new length in characters."""
 
-    columns = list(docs.columns)
-    others = [c for c in columns if c != text_col]
+    rows = tb.WholeRows(docs, text_col)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({c: pa.array([], pa.null()) for c in columns})
+            return rows.empty()
         block = tb.block_of(left)
-        row = block.table["row"].combine_chunks()
-        had_text = row.field(0).to_pylist()
         made = list(_dropped(block, right))
         texts = [raw.decode() for raw, _, _ in made]
-        own = {c: row.field(k + 1) for k, c in enumerate(others)}
-        own[text_col] = pa.array([t if had else None for t, had in zip(texts, had_text)], pa.string())
+        own = rows.columns_of(block.table, texts)
         if length_col:
             own[length_col] = pa.array([len(t) if k else n for t, (_, _, k), n in zip(texts, made, own[length_col].to_pylist())], own[length_col].type)
-        return pa.table([own[c] for c in columns], columns)
+        return pa.table(own)
 
-    # the text travels once, by its own column; the struct, read by position, says whether it was null and holds the rest
-    row = F.struct(F.col(f"`{text_col}`").isNotNull(), *[F.col(f"`{c}`") for c in others])
-    return _by_block(docs, host_col, text_col, percent, min_pages, {"row": row}, finish, docs.schema)
+    return _by_block(docs, host_col, text_col, percent, min_pages, {"row": rows.struct()}, finish, docs.schema)

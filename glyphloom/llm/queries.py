@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bpe, decontaminate, line_dedup, quality_rules
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
 from .substring_dedup import remove_repeated_sequences
 
 
@@ -14,6 +14,10 @@ def op2_substring_dedup(spark, sf_dir):
     return remove_repeated_sequences(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.linked_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -33,6 +37,7 @@ def op9_line_dedup(spark, sf_dir):
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op8_decontamination": op8_decontamination,

@@ -12,6 +12,7 @@ therefore equal to the first one, and rows can be named by their place in it.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,22 +30,36 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 STEPS = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 64, dtype=np.uint64)]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder."""
+def shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder, which the driver and all executors can reach; a temporary one where none is set, as in tests."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the cluster's shared checkpoint folder."""
+    shared_folder(df)
     return df.checkpoint()
 
 
-def shared_folder(df: DataFrame) -> str:
-    """The folder that the driver and all executors can reach."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
+class Written:
+    """Tables written in the shared folder; unlike checkpoints they carry no derived predicates from round to round."""
+
+    def __init__(self, df: DataFrame):
+        self.top, self.n = f"{shared_folder(df)}/tables-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.top}/{self.n}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.top}/{self.n}")
+
+    def forget(self, spark) -> None:
+        """Delete all of them."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # ---------------------------------------------------------------- texts as arrays
@@ -250,6 +265,28 @@ def block_of(table: pa.Table) -> Block:
     return Block(number, ids[order], hashes[order], texts_of(table["text"]), table)
 
 
+class WholeRows:
+    """Carries a table's columns through blocks: the text by its own column, the rest in a struct that is read by position."""
+
+    def __init__(self, docs: DataFrame, text_col: str):
+        self.columns, self.text_col, self.schema = list(docs.columns), text_col, docs.schema
+        self.others = [c for c in self.columns if c != text_col]
+
+    def struct(self):
+        return F.struct(F.col(f"`{self.text_col}`").isNotNull(), *[F.col(f"`{c}`") for c in self.others])
+
+    def columns_of(self, table: pa.Table, texts: list[str] | None = None) -> dict[str, pa.Array]:
+        """The table's own columns again, with other texts if given; a null text stays null."""
+        row = table["row"].combine_chunks()
+        own = {c: row.field(k + 1) for k, c in enumerate(self.others)}
+        texts = texts or table["text"].to_pylist()
+        own[self.text_col] = pa.array([t if had else None for t, had in zip(texts, row.field(0).to_pylist())], pa.string())
+        return {c: own[c] for c in self.columns}
+
+    def empty(self) -> pa.Table:
+        return pa.table({c: pa.array([], pa.null()) for c in self.columns})
+
+
 def packed(**arrays: np.ndarray) -> dict[str, bytes]:
     return {k: v.tobytes() for k, v in arrays.items()}
 
