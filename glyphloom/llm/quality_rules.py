@@ -69,7 +69,7 @@ def _repeats(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.union1d(later, order[:-1][same]), later
 
 
-def _count(texts: tb.Texts) -> dict[str, np.ndarray]:
+def count_texts(texts: tb.Texts) -> dict[str, np.ndarray]:
     n, data = len(texts), texts.data
     gap = tb.space_mask(data)
     words = tb.split_words(texts, gap)
@@ -105,7 +105,7 @@ def statistics_of(docs: DataFrame, text_col: str = "text", to: str = "quality_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in tb.texts_of(batch[text_col]).chunks():
-                counted = _count(texts)
+                counted = count_texts(texts)
                 made = pa.StructArray.from_arrays([pa.array(counted[c].astype(np.int64)) for c in COUNTS], list(COUNTS))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, made], [*batch.schema.names, to])
 

@@ -2,14 +2,19 @@
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, token_files
 from .substring_dedup import remove_repeated_sequences
+from .suffix_dedup import remove_repeated_strings
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return remove_repeated_strings(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op2_substring_dedup(spark, sf_dir):
     return remove_repeated_sequences(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -27,6 +32,11 @@ def op6_quality_rules(spark, sf_dir):
     return kept.drop("n_lines", "n_capitals", "n_shouts")
 
 
+def op7_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontaminate.find_copies(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,13 +45,20 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark, sf_dir):
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL = {}
