@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, token_files
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, token_files, url_filter
 from .substring_dedup import remove_repeated_sequences
 from .suffix_dedup import remove_repeated_strings
 
@@ -27,6 +27,10 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages")).drop("score")
+
+
 def op6_quality_rules(spark, sf_dir):
     kept = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return kept.drop("n_lines", "n_capitals", "n_shouts")
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
