@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, token_files, url_filter
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, sql, token_files, url_filter
 from .substring_dedup import remove_repeated_sequences
 from .suffix_dedup import remove_repeated_strings
 
@@ -66,4 +66,8 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op5_url_filter": sql.url_filter(),
+    "op6_quality_rules": sql.quality_rules(),
+    "op9_line_dedup": sql.line_dedup(),
+}
