@@ -106,8 +106,9 @@ class FactorisationMachine:
             return np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self._sums(x)[0].astype(np.float64), -30, 30)))
 
-    def fit(self, x: Features, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.08, decay: float = 1e-5) -> None:
-        """Logistic loss by AdaGrad; gradients of a batch are summed feature by feature."""
+    def fit(self, x: Features, y: np.ndarray, epochs: int | None = None, batch: int = 128, rate: float = 0.08, decay: float = 1e-5) -> None:
+        """Logistic loss by AdaGrad; gradients of a batch are summed feature by feature.  A small sample gets more epochs."""
+        epochs = epochs or min(max(12, 24_000 // max(len(y), 1)), 100)
         rng, n = np.random.default_rng(11), len(self.weights)
         seen_w, seen_v, seen_b = np.full(n, 1e-3), np.full(self.factors.shape, 1e-3), 1e-3
         for _ in range(epochs):
