@@ -26,10 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textblocks import checkpointed
+
 #: Folding of characters: place in the string; 0 is before the start and after the end, 39 any other.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0-./_%=&~+:@"
 SYMBOLS = 40
 OTHER = SYMBOLS - 1
+FIRST_PRIVATE = 0xE000
+_PRIVATE = [chr(FIRST_PRIVATE + 1 + k) for k in range(len(ALPHABET))]
 STEP = 1000
 
 
@@ -75,8 +79,9 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 def codes_of(text: Column) -> Column:
     """The symbols of a text, A-Z lower-cased and digits alike, with boundaries around: two before, one after."""
-    folded = F.regexp_replace(F.translate(text, UPPER, LOWER), "[0-9]", "0")
-    one = lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c)).otherwise(F.lit(OTHER))
+    # each symbol's character becomes one of a private range, whose code point tells its number
+    folded = F.translate(text, UPPER + "123456789" + ALPHABET + "".join(_PRIVATE), "".join(_PRIVATE[ALPHABET.index(c)] for c in UPPER.lower() + "0" * 9 + ALPHABET) + "!" * len(_PRIVATE))
+    one = lambda c: F.when(F.ascii(c).between(FIRST_PRIVATE + 1, FIRST_PRIVATE + len(ALPHABET)), F.ascii(c) - FIRST_PRIVATE).otherwise(F.lit(OTHER))
     inner = F.when(F.length(folded) > 0, F.transform(F.split(folded, ""), one)).otherwise(F.array().cast("array<int>"))
     return F.concat(F.array(F.lit(0), F.lit(0)), inner, F.array(F.lit(0)))
 
@@ -124,11 +129,13 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, lost_percent:
     judged = judged.withColumn("by_rule", F.when(F.col("rule").isin([r.text for r in rules if r.verdict == "allow"]), "allow").when(F.col("rule").isNotNull(), "block"))
     text = F.concat("host", "path")
     judged = judged.withColumn("kept_back", F.substring(F.md5(text), 1, 1).isin("0", "1", "2", "3"))
-    grams = judged.withColumn("grams", _grams(codes_of(text)))
+    # codes are a column of their own: within a lambda they would be made anew for every symbol
+    grams = judged.withColumn("codes", codes_of(text)).withColumn("grams", _grams(F.col("codes"))).drop("codes")
 
     taught = grams.where("by_rule is not null and not kept_back").select(F.col("by_rule").alias("kind"), F.explode("grams").alias("gram"))
-    counted = taught.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = checkpointed(taught.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n")))
     table = _model(counted).agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "log_ratio"))), lambda x: x["log_ratio"]).alias("ratios"))
+    table = checkpointed(table)
     mean = F.aggregate("grams", F.lit(0.0), lambda total, g: total + F.element_at(F.col("ratios"), (g + 1).cast("int"))) / F.size("grams")
     scored = grams.withColumn("ratios", table.scalar()).withColumn("score", F.floor(mean * STEP).cast("long")).drop("ratios", "grams")
 

@@ -69,7 +69,7 @@ def urls(n=500, seed=1):
     return [f"{rnd.choice(['http', 'https'])}://{rnd.choice(hosts)}{rnd.choice(['', '/', '/en/', '/de/', '/fr/', '/fr/Ä'])}{rnd.choice(['', str(rnd.randrange(9999)), 'p~x.html', 'über/b_c'])}{rnd.choice(['', '?q=/en/', '#t', '?a#b'])}" for _ in range(n)]
 
 
-ODD = [None, "", "no scheme", "http://", "://net/", "http://net", "http://net?x/", "a://b://net/", "HTTP://EXAMPLE.NET/EN/", "http://example.net/en/\nx?", "http://user@net:80/", "http://net/x", "http://net/x"]
+ODD = [None, "", "no scheme", "http://", "://net/", "http://net", "http://net?x/", "a://b://net/", "HTTP://EXAMPLE.NET/EN/", "http://example.net/en/\nx?", "http://user@net:80/", "http://net/x", "http://net/x", "http://q/\ue001\ue002!", "http://w\ue005.org/fr/ \x05"]
 
 
 def test_against_brute_force(spark):
