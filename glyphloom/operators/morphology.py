@@ -124,7 +124,7 @@ class Paradigm:
     category: Category
     slots: list[tuple[str | Callable[[Column], Column], FeatureVector]]
     lemma: FeatureVector
-    stems: list[str]
+    stems: list[str] | DataFrame  # a table has a column stem
     rules: list[Callable[[Column], Column]] | None = None
     name: str = ""
     boundary: str = "+"
@@ -146,7 +146,7 @@ class Paradigm:
 
     def forms(self, spark: SparkSession) -> DataFrame:
         """stem, slot, form with boundaries, surface form, features text; one row a stem and slot."""
-        stems = spark.createDataFrame([(s,) for s in self.stems], "stem string")
+        stems = self.stems.select("stem") if isinstance(self.stems, DataFrame) else spark.createDataFrame([(s,) for s in self.stems], "stem string")
         parts = []
         for k, (shape, vector) in enumerate(self.slots):
             c = F.col("stem")
@@ -158,10 +158,14 @@ class Paradigm:
             form = rule(form)
         return rows.select("stem", "slot", form.alias("form"), "features", "is_lemma").withColumn("surface", F.regexp_replace("form", regex_quoted(self.boundary), ""))
 
+    def _side(self, table: DataFrame) -> DataFrame:
+        """A listed lexicon is broadcast; one that is a table is joined as the planner sees fit."""
+        return table if isinstance(self.stems, DataFrame) else F.broadcast(table)
+
     def analyze(self, words: DataFrame, word: str) -> DataFrame:
         """words' columns, segmented form, features: one row a reading; words without one have none."""
         forms = self.forms(words.sparkSession).select(F.col("surface").alias("_surface"), "form", "features")
-        return words.join(F.broadcast(forms), F.col(word) == F.col("_surface")).drop("_surface")
+        return words.join(self._side(forms), F.col(word) == F.col("_surface")).drop("_surface")
 
     def tag(self, words: DataFrame, word: str) -> DataFrame:
         """words' columns and features."""
@@ -176,12 +180,12 @@ class Paradigm:
     def lemmatize(self, words: DataFrame, word: str) -> DataFrame:
         """words' columns, lemma, features."""
         table = self.lemmas(words.sparkSession).toDF("_surface", "lemma", "features")
-        return words.join(F.broadcast(table), F.col(word) == F.col("_surface")).drop("_surface")
+        return words.join(self._side(table), F.col(word) == F.col("_surface")).drop("_surface")
 
     def inflect(self, lemmas: DataFrame, lemma: str, vector: FeatureVector) -> DataFrame:
         """lemmas' columns and the form with exactly these features."""
         table = self.lemmas(lemmas.sparkSession).where(F.col("features") == vector.text()).select(F.col("lemma").alias("_lemma"), F.col("surface").alias("form"))
-        return lemmas.join(F.broadcast(table), F.col(lemma) == F.col("_lemma")).drop("_lemma")
+        return lemmas.join(self._side(table), F.col(lemma) == F.col("_lemma")).drop("_lemma")
 
 
 def _pieces(shape: str) -> list[str]:

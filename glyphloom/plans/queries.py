@@ -406,7 +406,7 @@ _NOUN = morphology.Category(_NUM, _CASE)
 def _noun(spark, sf_dir):
     v = lambda *p: morphology.FeatureVector(_NOUN, *p)
     slots = [("{}", v("num=sg", "case=base")), ("{}+s", v("num=pl", "case=base")), ("of +{}", v("num=sg", "case=of")), ("of +{}+s", v("num=pl", "case=of"))]
-    stems = [r.word for r in _words(table(spark, sf_dir, "part"), "p_name").orderBy("word").collect()]  # the grammar's lexicon
+    stems = _words(table(spark, sf_dir, "part"), "p_name").withColumnRenamed("word", "stem")
     return morphology.Paradigm(_NOUN, slots, slots[0][1], stems, [lambda c: F.regexp_replace(c, r"y\+s", "ie+s")])
 
 
