@@ -11,14 +11,21 @@ if 100 * intersection >= percent * union.
     estimated cost: the postings that its prefix meets, and 1/k of them for verification.
     A pair is held to the smaller k of its two documents.  A document whose prefix has
     only shingles of its own links with nothing and goes no further.
-3.  Candidates first meet one pivot a shingle, the document with the least id, and each
-    document is verified against the pivot that shares most prefix shingles with it; the
-    links found give first groups.  Then all pairs of *different* groups that share enough
-    prefix shingles are verified.  A group of near copies, however large, thus costs one
-    comparison a copy, and no link between different groups is lost.
+3.  Candidates first meet one pivot a shingle: the document with the fewest shingles of its
+    own, which of a family of near copies is the one nearest to all.  Each document is
+    verified against the pivot that shares most prefix shingles with it; the links found
+    give first groups.  A second round does the same with the least id as pivot, between
+    different groups.  Then all pairs of *different* groups that share enough prefix
+    shingles are verified; they are counted where a part of one group meets its visitors.  A group of near copies, however large, thus costs a few
+    comparisons a copy, and no link between different groups is lost.
 4.  Connected components of all verified links.
 
-Sets that are equal within a block are represented by one of them from the start.
+Equal texts are found first, by a 128-bit hash: one block owns each, and only the owner's
+first copy takes part; sets that are equal within a block are represented by one as well.
+Shingles that only copies of one text have thus count once.  Pairs are left out as soon as
+places show that a link is impossible: one set has too few shingles that occur elsewhere,
+too many before a shared one that the other cannot have, or too few in both prefixes for
+what the rest of the sets could add.
 
 Null and empty texts have empty sets and link with nothing.  Rows are told apart by
 place, so rows with one doc_id or none are documents of their own; component_id is the
@@ -38,11 +45,11 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .components import components
 
-MOST_SHARED = 8
-COST_OF_CHECK = 40
+MOST_SHARED = 16
+COST_OF_CHECK = 200
 
-SIGNATURES = "row long, doc_id long, h long, n long, stands_for long, prefix binary, k int, tokens binary"
-_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("stands_for", pa.int64()), ("prefix", pa.binary()), ("k", pa.int32()), ("tokens", pa.binary())])
+SIGNATURES = "row long, doc_id long, h long, h2 long, owned boolean, n long, stands_for long, elsewhere int, prefix binary, k int, tokens binary"
+_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("owned", pa.bool_()), ("n", pa.int64()), ("stands_for", pa.int64()), ("elsewhere", pa.int32()), ("prefix", pa.binary()), ("k", pa.int32()), ("tokens", pa.binary())])
 
 
 def _sets(texts: tb.Texts, size: int) -> Iterator[np.ndarray]:
@@ -70,6 +77,12 @@ def _distinct(block: tb.Block, size: int) -> tuple[list[np.ndarray], np.ndarray]
     return sets, stands
 
 
+def _owned(block: tb.Block, foreign: pa.Table) -> np.ndarray:
+    """Whether this block owns each text; foreign names those that another block owns."""
+    others = set(zip(foreign["h"].to_pylist(), foreign["h2"].to_pylist()))
+    return np.array([(h, g) not in others for h, g in zip(block.hashes.tolist(), block.table["h2"].to_pylist())], bool)
+
+
 def _free(n: int | np.ndarray, percent: int):
     """How many of n shingles a linked set may lack."""
     return n - (n * percent + 99) // 100
@@ -88,27 +101,35 @@ def _prefix(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.nda
 
 def signatures(blocks: tb.Blocks, size: int, percent: int) -> DataFrame:
     """One row a document: number, set size, its stand-in's number; for candidates also prefix and set."""
+    texts = blocks.docs.select("block", "h", "h2").distinct()
+    owners = texts.groupBy("h", "h2").agg(F.min("block").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    foreign = texts.join(owners.toDF("h_", "h2_", "owner", "n"), (F.col("h") == F.col("h_")) & (F.col("h2") == F.col("h2_"))).where("block <> owner").select(F.col("block").alias("block"), F.col("h").alias("h"), F.col("h2").alias("h2"))
+    foreign = tb.checkpointed(foreign)
 
-    def keys_of(block: tb.Block):
+    def keys_of(block: tb.Block, others: pa.Table):
         sets, stands = _distinct(block, size)
-        own = [s for i, s in enumerate(sets) if stands[i] == i]
+        owned = _owned(block, others)
+        own = [s for i, s in enumerate(sets) if stands[i] == i and owned[i]]
         return np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
 
-    repeated, n_buckets = tb.repeated_keys(blocks, keys_of, 1.3)
+    repeated, n_buckets = tb.repeated_keys(blocks, keys_of, 1.3, foreign)
+    beside = repeated.unionByName(foreign, allowMissingColumns=True)
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _SCHEMA.empty_table()
         block = tb.block_of(left)
         sets, stands = _distinct(block, size)
+        owned = _owned(block, right.filter(pa.compute.is_valid(right["h"])))
         number = block.number << 24
         ends = np.cumsum([len(s) for s in sets])
         often = tb.counts_in(np.concatenate(sets), right, n_buckets)
-        prefixes, ks, tokens = [], [], []
+        prefixes, ks, tokens, elsewhere = [], [], [], []
         for i, (s, end) in enumerate(zip(sets, ends.tolist())):
             mine = often[end - len(s) : end]
             rare = int((mine < 2).sum())
-            if stands[i] != i or not len(s) or rare > _free(len(s), percent):
+            elsewhere.append(len(s) - rare)
+            if stands[i] != i or not owned[i] or not len(s) or rare > _free(len(s), percent):
                 prefixes.append(None), ks.append(None), tokens.append(None)
                 continue
             order, k = _prefix(s, mine, percent)
@@ -118,16 +139,17 @@ def signatures(blocks: tb.Blocks, size: int, percent: int) -> DataFrame:
             made["token"], made["place"] = s[order][shared], np.flatnonzero(shared)
             prefixes.append(made.tobytes()), ks.append(k), tokens.append(s.tobytes())
         n = [len(s) for s in sets]
-        return pa.table([pa.array(number + np.arange(len(sets))), block.table["id"], pa.array(block.hashes), pa.array(n, pa.int64()), pa.array(number + stands), pa.array(prefixes, pa.binary()), pa.array(ks, pa.int32()), pa.array(tokens, pa.binary())], schema=_SCHEMA)
+        ints = lambda x, kind=pa.int64(): pa.array(x, kind)
+        return pa.table([ints(number + np.arange(len(sets))), block.table["id"], ints(block.hashes), block.table["h2"], pa.array(owned), ints(n), ints(number + stands), ints(elsewhere, pa.int32()), pa.array(prefixes, pa.binary()), ints(ks, pa.int32()), pa.array(tokens, pa.binary())], schema=_SCHEMA)
 
-    return blocks.docs.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(sign, SIGNATURES)
+    return blocks.docs.groupBy("block").cogroup(beside.groupBy("block")).applyInArrow(sign, SIGNATURES)
 
 
-POSTING = np.dtype([("token", "<u8"), ("row", "<i8"), ("id", "<i8"), ("label", "<i8"), ("n", "<u4"), ("place", "<u4"), ("k", "<u4")])
+POSTING = np.dtype([("token", "<u8"), ("row", "<i8"), ("id", "<i8"), ("label", "<i8"), ("size", "<u4"), ("n", "<u4"), ("elsewhere", "<u4"), ("place", "<u4"), ("k", "<u4")])
 
 
 def _postings(candidates: DataFrame, n_buckets: int) -> DataFrame:
-    """Packed postings by bucket of tokens; candidates has row, doc_id, n, k, prefix and label."""
+    """Packed postings by bucket of tokens; candidates has row, doc_id, n, elsewhere, k, prefix and label, and may have the label's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,76 +160,173 @@ def _postings(candidates: DataFrame, n_buckets: int) -> DataFrame:
                 continue
             whole = np.concatenate(prefixes)
             made["token"], made["place"] = whole["token"], whole["place"]
-            for name, column in (("row", "row"), ("id", "doc_id"), ("label", "label"), ("n", "n"), ("k", "k")):
+            for name, column in (("row", "row"), ("id", "doc_id"), ("label", "label"), ("size", "size"), ("n", "n"), ("elsewhere", "elsewhere"), ("k", "k")):
                 values = batch[column].fill_null(tb.NULL_ID) if column == "doc_id" else batch[column]
                 made[name] = np.repeat(values.to_numpy(zero_copy_only=False), count)
             rows = [{"bucket": b, "data": made[at].tobytes()} for b, at in tb.dealt((tb.mix(made["token"]) % np.uint64(n_buckets)).astype(np.int64))]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("data", pa.binary())]))
 
-    return candidates.select("row", "doc_id", "n", "k", "prefix", "label").mapInArrow(run, "bucket long, data binary")
+    size = F.col("size") if "size" in candidates.columns else F.lit(1).cast("long").alias("size")
+    return candidates.select("row", "doc_id", "n", "elsewhere", "k", "prefix", "label", size).mapInArrow(run, "bucket long, data binary")
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Postings of one token: do the sizes allow a link, and is the token in both prefixes of the pair's k?"""
+def _sizes(a: np.ndarray, b: np.ndarray, percent: int):
+    """Of pairs of postings: both sizes, the intersection that a link needs, and both prefix lengths for the pair's k."""
     k = np.minimum(a["k"], b["k"]).astype(np.int64)
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    return fits & (a["place"] < _free(na, percent) + k) & (b["place"] < _free(nb, percent) + k)
+    need = -(-percent * (na + nb) // (100 + percent))
+    return k, na, nb, need, np.minimum(na, _free(na, percent) + k), np.minimum(nb, _free(nb, percent) + k)
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two postings of one token may belong to a link.
+
+    The sizes allow it; both sets have enough shingles that occur elsewhere; the token is in
+    both prefixes of the pair's k; and neither set has too many shingles before it that the
+    other cannot have before it too.
+    """
+    _, na, nb, need, pa_, pb = _sizes(a, b, percent)
+    ea, eb, at, bt = (x.astype(np.int64) for x in (a["elsewhere"], b["elsewhere"], a["place"], b["place"]))
+    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(ea, eb) >= need) & (at < pa_) & (bt < pb)
+    return ok & (at - (bt - (nb - eb)) <= na - need) & (bt - (at - (na - ea)) <= nb - need)
 
 
-def _counted(a: np.ndarray, b: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-    """Pairs of rows, how many tokens each has here, and its k."""
+def _counted(a: np.ndarray, b: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Pairs of rows, how many tokens each has here, and how many it must have in all: k, or what the sets' ends cannot supply."""
+    k, na, nb, need, pa_, pb = _sizes(a, b, percent)
+    least = np.maximum(k, need - np.maximum(na - pa_, nb - pb))
     low, high = np.minimum(a["row"], b["row"]), np.maximum(a["row"], b["row"])
     order = np.lexsort((high, low))
-    low, high, k = low[order], high[order], np.minimum(a["k"], b["k"])[order]
+    low, high, least = low[order], high[order], least[order]
     head = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, np.int64)
-    return low[head], high[head], np.diff(np.append(head, len(low))), k[head]
+    return [low[head], high[head], np.diff(np.append(head, len(low))), least[head]]
+
+
+def _sorted_postings(table: pa.Table, pivots: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's postings by token, and where each token's begin and how many it has."""
+    x = np.concatenate([np.frombuffer(c.as_buffer(), POSTING) for c in table["data"]])
+    own = x["n"] - x["elsewhere"] if pivots == "cleanest" else np.zeros(len(x), np.uint32)
+    x = x[np.lexsort((x["row"], x["id"], own, x["token"]))]
+    head = np.flatnonzero(np.concatenate(([True], x["token"][1:] != x["token"][:-1])))
+    return x, head, np.diff(np.append(head, len(x)))
 
 
-def _pairs(candidates: DataFrame, n_buckets: int, percent: int, pivots: bool) -> DataFrame:
-    """(a, b, shared): pairs that share enough prefix tokens; only with each token's pivot, or only of different labels."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("k", pa.int64())])
+def _pivot_pairs(candidates: DataFrame, n_buckets: int, percent: int, pivots: str) -> DataFrame:
+    """(a, b, shared): pairs of different labels of a document and a token's pivot ("cleanest" or "least") that share enough tokens."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("least", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        x = np.concatenate([np.frombuffer(c.as_buffer(), POSTING) for c in table["data"]])
-        x = x[np.lexsort((x["row"], x["id"], x["token"]))]
-        head = np.flatnonzero(np.concatenate(([True], x["token"][1:] != x["token"][:-1])))
-        count = np.diff(np.append(head, len(x)))
-        if pivots:
-            at = np.repeat(head, count)
-            keep = np.flatnonzero(at != np.arange(len(x)))
-            a, b = x[keep], x[at[keep]]
-            ok = _may_link(a, b, percent)
-            made = [_counted(a[ok], b[ok])]
-        else:
-            made, queue = [], []
-            for start, n in zip(head.tolist(), count.tolist()):
-                group = x[start : start + n]
-                if n < 2 or (group["label"] == group["label"][0]).all():
-                    continue
-                # members by label; each meets all that come after its own label's
-                group = group[np.argsort(group["label"], kind="stable")]
-                after = np.searchsorted(group["label"], group["label"], "right")
-                for i in range(n):
-                    if after[i] == n:
-                        break
-                    other = group[after[i] :]
-                    mine = np.repeat(group[i : i + 1], len(other))
-                    ok = _may_link(mine, other, percent)
-                    if ok.any():
-                        queue.append((mine[ok], other[ok]))
-                if sum(len(q[0]) for q in queue[-n:]) > 100_000 or len(queue) > 10_000:
-                    made.append(_counted(*(np.concatenate(q) for q in zip(*queue))))
-                    queue = []
-            if queue:
-                made.append(_counted(*(np.concatenate(q) for q in zip(*queue))))
-        if not made:
-            return schema.empty_table()
-        a, b, n, k = (np.concatenate(c) for c in zip(*made))
-        return pa.table([pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64))], schema=schema)
-
-    found = _postings(candidates, n_buckets).groupBy("bucket").applyInArrow(run, "a long, b long, n long, k long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("shared"), F.first("k").alias("k")).where("shared >= k").select("a", "b", "shared")
+        x, head, count = _sorted_postings(table, pivots)
+        at = np.repeat(head, count)
+        keep = np.flatnonzero(at != np.arange(len(x)))
+        a, b = x[keep], x[at[keep]]
+        ok = _may_link(a, b, percent) & (a["label"] != b["label"])
+        return pa.table([pa.array(c.astype(np.int64)) for c in _counted(a[ok], b[ok], percent)], schema=schema)
+
+    found = _postings(candidates, n_buckets).groupBy("bucket").applyInArrow(run, "a long, b long, n long, least long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b", "shared")
+
+
+def _visits(candidates: DataFrame, n_buckets: int, percent: int) -> DataFrame:
+    """(row, to): documents and other labels, larger than their own, with a member that a token of both might link."""
+    schema = pa.schema([("row", pa.int64()), ("to", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        x, head, count = _sorted_postings(table)
+        made = []
+        for start, n in zip(head.tolist(), count.tolist()):
+            group = x[start : start + n]
+            if n < 2 or (group["label"] == group["label"][0]).all():
+                continue
+            # members in the order of their labels; each meets the members of later, larger labels
+            group = group[np.lexsort((group["label"], group["size"]))]
+            label = group["label"]
+            later = np.flatnonzero(np.concatenate((label[1:] != label[:-1], [True]))) + 1
+            ends = later[np.searchsorted(later, np.arange(n), "right")]
+            for i in np.flatnonzero(ends < n).tolist():
+                other = group[ends[i] :]
+                ok = _may_link(np.repeat(group[i : i + 1], len(other)), other, percent)
+                to = np.unique(other["label"][ok])
+                made.append(np.stack((np.full(len(to), group["row"][i]), to), 1))
+            if len(made) > 20_000:
+                made = [np.unique(np.concatenate(made), axis=0)]
+        rows = np.unique(np.concatenate(made), axis=0) if made else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=schema)
+
+    return _postings(candidates, n_buckets).groupBy("bucket").applyInArrow(run, "row long, to long").distinct()
+
+
+def _met(members: pa.Table, visitors: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of visitors and of members that share enough of their prefixes."""
+    kind = [("token", "<u8"), ("place", "<u4")]
+
+    def opened(t: pa.Table) -> np.ndarray:
+        prefixes = [np.frombuffer(c.as_buffer(), kind) for c in t["prefix"]]
+        count = [len(p) for p in prefixes]
+        made = np.zeros(sum(count), POSTING)
+        whole = np.concatenate(prefixes)
+        made["token"], made["place"] = whole["token"], whole["place"]
+        for name in ("row", "n", "elsewhere", "k"):
+            made[name] = np.repeat(t[name].to_numpy(), count)
+        return made
+
+    own, others = opened(members), opened(visitors)
+    own = own[np.argsort(own["token"], kind="stable")]
+    found = []
+    step = max(1, 400_000 // max(1, members.num_rows))
+    for low in range(0, len(others), step):
+        part = others[low : low + step]
+        first = np.searchsorted(own["token"], part["token"])
+        n = np.searchsorted(own["token"], part["token"], "right") - first
+        a, b = np.repeat(part, n), own[tb.ranges(first, n)]
+        ok = _may_link(a, b, percent)
+        a, b = a[ok], b[ok]
+        if len(a):
+            k, na, nb, need, pa_, pb = _sizes(a, b, percent)
+            least = np.maximum(k, need - np.maximum(na - pa_, nb - pb))
+            # the first shared token tells how many before it are not shared
+            fits = np.stack((a["row"], b["row"], least, a["place"].astype(np.int64) - (na - need), b["place"].astype(np.int64) - (nb - need)), 1)
+            found.append(fits)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    f = np.concatenate(found)
+    f = f[np.lexsort((f[:, 3], f[:, 1], f[:, 0]))]
+    head = np.flatnonzero(np.concatenate(([True], (f[1:, 0] != f[:-1, 0]) | (f[1:, 1] != f[:-1, 1]))))
+    shared = np.diff(np.append(head, len(f)))
+    first_b = np.minimum.reduceat(f[:, 4], head)
+    ok = (shared >= f[head, 2]) & (f[head, 3] <= 0) & (first_b <= 0)
+    return f[head[ok], 0], f[head[ok], 1]
+
+
+MEMBERS, VISITORS = 500, 1000
+
+
+def _pairs_across(candidates: DataFrame, n_buckets: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of different labels that share enough prefix tokens.
+
+    Documents visit the larger labels that they may link to.  A label's members are dealt
+    into parts of about MEMBERS, its visitors into parts of about VISITORS, and each part of
+    one meets each part of the other in a task of bounded size, which passes on only what
+    shares enough.
+    """
+    size = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sized = candidates.join(size, "label")
+    visits = tb.checkpointed(_visits(sized, n_buckets, percent))
+    parts = visits.groupBy(F.col("to").alias("label")).agg(F.count(F.lit(1)).alias("n")).join(size, "label").select("label", F.ceil(F.col("size") / MEMBERS).cast("int").alias("m"), F.ceil(F.col("n") / VISITORS).cast("int").alias("v"))
+    part = lambda c: F.pmod(F.xxhash64("row"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    data = candidates.select("row", "label", "n", "elsewhere", "k", "prefix")
+    members = data.join(parts, "label").select("label", part("m").alias("mine"), every("v").alias("theirs"), F.lit(False).alias("visits"), "row", "n", "elsewhere", "k", "prefix")
+    guests = visits.select("row", F.col("to").alias("label")).join(parts, "label").select("label", every("m").alias("mine"), part("v").alias("theirs"), "row")
+    guests = guests.join(data.drop("label"), "row").select("label", "mine", "theirs", F.lit(True).alias("visits"), "row", "n", "elsewhere", "k", "prefix")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        come = table["visits"]
+        a, b = _met(table.filter(pa.compute.invert(come)), table.filter(come), percent) if pa.compute.any(come).as_py() and not pa.compute.all(come).as_py() else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    return members.unionByName(guests).groupBy("label", "mine", "theirs").applyInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
@@ -234,22 +353,33 @@ def _grouped(blocks: tb.Blocks, percent: int, size: int) -> DataFrame:
     candidates = signed.where("prefix is not null")
     total = candidates.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     n_buckets = blocks.groups(total * POSTING.itemsize / 12)
-    near = _pairs(candidates.withColumn("label", F.col("row")), n_buckets, percent, pivots=True)
-    # one pivot for each document, the one that shares most; both ends may play that part
-    ends = near.select(F.col("a").alias("row"), F.col("b").alias("other"), "shared").unionByName(near.select(F.col("b").alias("row"), F.col("a").alias("other"), "shared"))
-    best = ends.groupBy("row").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
-    chosen = best.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
-    first = tb.checkpointed(_verified(chosen, candidates, percent))
-    labels = components(first)
-    labelled = candidates.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    rest = tb.checkpointed(_verified(_pairs(labelled, n_buckets, percent, pivots=False), candidates, percent))
-    groups = components(first.unionByName(rest)).toDF("stands_for", "group")
-    return signed.select("row", "doc_id", "h", "n", "stands_for").join(groups, "stands_for", "left").select("row", "doc_id", "h", "n", F.coalesce("group", "stands_for").alias("group"))
+    labelled, links = candidates.withColumn("label", F.col("row")), None
+    for pivots in ("cleanest", "least"):
+        near = _pivot_pairs(labelled, n_buckets, percent, pivots)
+        # one pivot for each document, the one that shares most; both ends may play that part
+        ends = near.select(F.col("a").alias("row"), F.col("b").alias("other"), "shared").unionByName(near.select(F.col("b").alias("row"), F.col("a").alias("other"), "shared"))
+        best = ends.groupBy("row").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+        chosen = best.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+        found = tb.checkpointed(_verified(chosen, candidates, percent))
+        links = found if links is None else links.unionByName(found)
+        labelled = candidates.join(components(links).withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    rest = tb.checkpointed(_verified(_pairs_across(labelled, n_buckets, percent), candidates, percent))
+    groups = components(links.unionByName(rest)).toDF("stands_for", "group")
+    rows = signed.select("row", "doc_id", "h", "h2", "owned", "n", "stands_for")
+    # a copy whose text another block owns stands where the owner's copies stand
+    elsewhere = rows.where("not owned").select("h", "h2").distinct()
+    owner = rows.where("owned").join(elsewhere, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.min("stands_for").alias("copy_of"))
+    rows = rows.join(owner, ["h", "h2"], "left").withColumn("stands_for", F.when(~F.col("owned") & (F.col("n") > 0), F.col("copy_of")).otherwise(F.col("stands_for")))
+    return rows.join(groups, "stands_for", "left").select("row", "doc_id", "h", "n", F.coalesce("group", "stands_for").alias("group"))
+
+
+def _second_hash(text_col: str):
+    return F.xxhash64(F.lit(5), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
 def linked_groups(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for each document."""
-    grouped = _grouped(tb.blocks_of(docs, id_col, text_col), percent, size)
+    grouped = _grouped(tb.blocks_of(docs, id_col, text_col, {"h2": _second_hash(text_col)}), percent, size)
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(least, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -260,7 +390,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 75, size: int = 5) -> DataF
     Of rows equal in id and text one stays; documents without words all stay.
     """
     rows = tb.WholeRows(docs, "text")
-    blocks = tb.blocks_of(docs, extra={"row": rows.struct()})
+    blocks = tb.blocks_of(docs, extra={"h2": _second_hash("text"), "row": rows.struct()})
     grouped = tb.checkpointed(_grouped(blocks, percent, size).where("n > 0").withColumn("doc_id", F.coalesce("doc_id", F.lit(tb.NULL_ID))))
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "h", "row")).alias("least"))
     lost = grouped.join(first, "group").where("row <> least.row").select(F.shiftright("row", 24).alias("block"), F.col("row").bitwiseAND(F.lit((1 << 24) - 1)).alias("place"))

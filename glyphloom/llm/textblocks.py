@@ -315,19 +315,23 @@ REPEATED = "block long, keys binary, counts binary"
 SENT = "bucket long, block long, keys binary, counts binary"
 
 
-def repeated_keys(blocks: Blocks, keys_of, bytes_each: float) -> DataFrame:
+def repeated_keys(blocks: Blocks, keys_of, bytes_each: float, beside: DataFrame | None = None) -> tuple[DataFrame, int]:
     """For each block, those of its keys that occur at least twice in all blocks, with their counts.
 
     keys_of(block) gives 64-bit keys, ascending and distinct, and how often each occurs in
     the block.  A key is known by 32 of its bits and by its bucket; another key with the
     same bits adds to its count, so counts are upper bounds, the same for all blocks.
     bytes_each: about how many bytes of keys come from a byte of text.
+    beside: rows with a block number that keys_of(block, rows) needs too.
+    Returns (block, keys, counts) and the number of buckets.
     """
     n_buckets = blocks.groups(blocks.total * bytes_each)
 
-    def send(table: pa.Table) -> pa.Table:
+    def send(table: pa.Table, *more: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"bucket": [], "block": [], "keys": [], "counts": []})
         block = block_of(table)
-        keys, counts = keys_of(block)
+        keys, counts = keys_of(block, *more)
         rows = {"bucket": [], "block": [], "keys": [], "counts": []}
         for b, at in dealt((keys % np.uint64(n_buckets)).astype(np.int64)):
             rows["bucket"].append(b)
@@ -355,7 +359,11 @@ def repeated_keys(blocks: Blocks, keys_of, bytes_each: float) -> DataFrame:
                 rows["counts"].append(np.minimum(of_key[often], 2**32 - 1).astype(np.uint32).tobytes())
         return pa.table(rows, pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-    sent = blocks.docs.groupBy("block").applyInArrow(send, SENT)
+    by_block = blocks.docs.groupBy("block")
+    if beside is None:
+        sent = by_block.applyInArrow(lambda table: send(table), SENT)
+    else:
+        sent = by_block.cogroup(beside.groupBy("block")).applyInArrow(lambda left, right: send(left, right), SENT)
     return sent.groupBy("bucket").applyInArrow(count, REPEATED), n_buckets
 
 

@@ -81,7 +81,6 @@ def test_pipeline_keeps_what_its_stages_keep(spark, rows):
         assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
         names.append((name, len(before), len(after)))
     assert len(names) == 5 and names[-1][2] > 0
-    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_pipeline_against_plain_versions(spark):
