@@ -27,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,23 +55,27 @@ def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     if kind == "byte":
         planes = [raw[:, k] for k in range(4)]
     else:
-        bits = np.unpackbits(raw, axis=1, bitorder="little")
-        planes = [np.packbits(bits[:, k], bitorder="little") for k in range(32)]
+        planes = []
+        for k in range(4):
+            column = np.ascontiguousarray(raw[:, k])
+            bits = np.unpackbits(column, bitorder="little").reshape(-1, 8) if column.any() else np.zeros((0, 8), np.uint8)
+            planes += [np.packbits(bits[:, b], bitorder="little") for b in range(8)]
     return [p.tobytes() if p.any() else b"" for p in planes]
 
 
 def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
-    if kind == "byte":
-        raw = np.zeros((n, 4), np.uint8)
-        for k, p in enumerate(planes):
-            if p:
-                raw[:, k] = np.frombuffer(p, np.uint8)
-        return raw.reshape(-1).view("<u4")
-    bits = np.zeros((n, 32), np.uint8)
-    for k, p in enumerate(planes):
-        if p:
-            bits[:, k] = np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
-    return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4")
+    raw = np.zeros((n, 4), np.uint8)
+    for k in range(4):
+        if kind == "byte":
+            if planes[k]:
+                raw[:, k] = np.frombuffer(planes[k], np.uint8)
+        elif any(planes[8 * k : 8 * k + 8]):
+            bits = np.zeros((n, 8), np.uint8)
+            for b, p in enumerate(planes[8 * k : 8 * k + 8]):
+                if p:
+                    bits[:, b] = np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
+            raw[:, k] = np.packbits(bits, bitorder="little")
+    return raw.reshape(-1).view("<u4")
 
 
 class Writer:
@@ -164,42 +169,104 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+class _Chunks(dict):
+    """Numbers chunks as they are met; those whose ends touch other white space have no number.
+
+    A chunk comes after a space, or after a line end, with which it then starts.
+    """
+
+    def __missing__(self, chunk: str) -> int:
+        inner = chunk[1:] if chunk[:1] == "\n" else chunk
+        if not inner or inner[0].isspace() or inner[-1].isspace():
+            return -1
+        self[chunk] = n = len(self)
+        return n
+
+
 class LibraryEncoder:
     """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    Where the tokenizer is plain byte-level BPE (no normalizer, the standard split), the
-    library encodes each distinct piece of the split once; a text with a special token's
-    string in it, and any other tokenizer's texts, it encodes whole.
+    Plain byte-level BPE (no normalizer, the standard split) never joins what two single
+    spaces or line ends part: such a mark and the chunk after it are encoded alike wherever
+    they stand.  The library encodes each distinct chunk once as long as it is remembered,
+    many in one text; tokens' lengths tell where each ends.  Texts in which white space meets white space
+    are cut by the split's pattern instead, and the library encodes each distinct piece.  A
+    text with a special token's string in it, and any other tokenizer's texts, it encodes whole.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+    def __init__(self, path: str, cached: int = 600_000):
+        self.tokenizer, self.cached = _tokenizer(path), cached
         how = json.loads(self.tokenizer.to_str())
         split, model = how["pre_tokenizer"] or {}, how["model"]
         self.plain = not how["normalizer"] and not model.get("dropout") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex")
         self.special = [t["content"] for t in how["added_tokens"]]
         self.pieces = bpe.Encoder(self._merge, BYTE_LEVEL_SPLIT)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # a byte-level token has a character for each byte
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks, self.ids, self.place, self.done = _Chunks(), np.zeros(0, np.int64), np.zeros(1, np.int64), 0
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for ids in made for i in ids], np.int64), np.concatenate(([0], np.cumsum([len(ids) for ids in made]))).astype(np.int64)
+        made = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(made) if made else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum([len(ids) for ids in made]))).astype(np.int64)
 
     def _merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self._whole([p.decode() for p in pieces])
 
+    def _learn(self) -> None:
+        """Encode the chunks that were met for the first time."""
+        new = len(self.chunks) - self.done
+        if not new:
+            return
+        led = [c if c[0] == "\n" else " " + c for c in [*islice(reversed(self.chunks), new)][::-1]]
+        ids, _ = self._whole(["".join(led[k : k + 1000]) for k in range(0, new, 1000)])
+        place = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(c.encode()) for c in led])) + 1
+        self.place = np.concatenate((self.place, place + len(self.ids)))
+        self.ids = np.concatenate((self.ids, ids))
+        self.done += new
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end and n + 1 places."""
         if not self.plain:
             return self._whole(texts)
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        if not odd:
-            return self.pieces.encode(texts)
-        whole, at = self._whole([texts[i] for i in odd])
-        some, place = self.pieces.encode([("" if i in set(odd) else t) for i, t in enumerate(texts)])
-        parts = [some[place[i] : place[i + 1]] for i in range(len(texts))]
-        for k, i in enumerate(odd):
-            parts[i] = whole[at[k] : at[k + 1]]
-        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        if len(self.chunks) > self.cached:
+            self._forget()
+        parts: list[np.ndarray | None] = [None] * len(texts)
+        numbers, firsts, whole, cut = {}, {}, [], []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                whole.append(i)
+                continue
+            first, *rest = text.replace("\n", " \n").split(" ")
+            number = np.fromiter(map(self.chunks.__getitem__, rest), np.int64, len(rest))
+            if first[-1:].isspace() or len(number) and number.min() < 0:
+                cut.append(i)
+            else:
+                numbers[i], firsts[i] = number, first
+        self._learn()
+        for which, encode, given in ((whole, self._whole, texts), (cut, self.pieces.encode, texts), (list(firsts), self._whole, firsts)):
+            ids, place = encode([given[i] for i in which])
+            for k, i in enumerate(which):
+                parts[i] = ids[place[k] : place[k + 1]]
+        if numbers:
+            number = np.concatenate(list(numbers.values()))
+            n = self.place[number + 1] - self.place[number]
+            ids = self.ids[tb.ranges(self.place[number], n)]
+            ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([len(x) for x in numbers.values()])].tolist()
+            for i, a, b in zip(numbers, [0, *ends], ends):
+                parts[i] = np.concatenate((parts[i], ids[a:b]))
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+
+
+@lru_cache(1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for each worker process, so that its tasks share what was encoded."""
+    return LibraryEncoder(path)
 
 
 #: Fixed value: the split of byte-level BPE.
@@ -219,7 +286,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         for batch in batches:
             for part, texts in bpe._slices(batch, "text"):
                 if target is None:
-                    encoder = LibraryEncoder(tokenizer)
+                    encoder = library_encoder(tokenizer)
                     system, top = pyarrow.fs.FileSystem.from_uri(folder)
                     name = f"{top}/part-{number:06d}.bpl"
                     own = f"{name}.{uuid.uuid4().hex}"

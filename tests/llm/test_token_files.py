@@ -36,7 +36,7 @@ def test_format_round_trip(kind):
 
 
 def test_as_the_library(spark, tmp_path):
-    odd = ["a<|endoftext|>b", "it's  \n\n x", "日本語👩‍👩‍👧", "x" * 3000, "\x1c\x85 　z"]
+    odd = ["a<|endoftext|>b", "it's  \n\n x", "日本語👩‍👩‍👧", "x" * 3000, "\x1c\x85 　z", " lead", "trail ", "two  spaces", "line \n end", "a\n b", "\nstart here", "é ß\tü x", ""]
     rows = samples.rows(3) + [(2000 + k, t) for k, t in enumerate(odd)] + [(None, "null id"), (7, "again")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int").repartition(3)
     t = Tokenizer.from_file(FILE)
@@ -53,3 +53,15 @@ def test_as_the_library(spark, tmp_path):
     assert F.round_trip(df.limit(0), FILE).count() == 0
     named = F.round_trip(df, FILE, folder=str(tmp_path / "here"), kind="byte")
     assert named.count() == len(rows) and list((tmp_path / "here").glob("*.bpl"))
+
+
+def test_chunks_are_encoded_alike_everywhere():
+    import random
+
+    rnd, t = random.Random(4), Tokenizer.from_file(FILE)
+    parts = ["a", "The", "don't", "x.\ny", "\n", "\t", "", "é", "12", "3,4", "!?", "<|endoftext|>", "日本", "\u00a0", "\x1f", "I'll", "'s"]
+    e = F.LibraryEncoder(FILE, cached=20)
+    for _ in range(60):
+        texts = [rnd.choice(["", " ", "\n"]) + " ".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 9))) for _ in range(rnd.randrange(1, 7))]
+        ids, place = e.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(place, place[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
