@@ -469,9 +469,9 @@ def arc_connect(spark, sf_dir):
 
 
 @query("""
-SELECT r_regionkey + 1 AS region, n_nationkey + 100 AS nation, c_custkey + 1000 AS customer, (r_regionkey + n_nationkey % 4 + c_custkey % 10)::DOUBLE AS weight
+SELECT r_regionkey::BIGINT + 1 AS region, n_nationkey::BIGINT + 100 AS nation, c_custkey + 1000 AS customer, (r_regionkey + n_nationkey % 4 + c_custkey % 10)::DOUBLE AS weight
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 2 = 0
-UNION ALL SELECT NULL, c_nationkey + 100, c_custkey + 1000, (3 + c_custkey % 10)::DOUBLE FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0""")
+UNION ALL SELECT NULL, c_nationkey::BIGINT + 100, c_custkey + 1000, (3 + c_custkey % 10)::DOUBLE FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0""")
 def paths_enum(spark, sf_dir):
     """Every path from the start to a final customer."""
     p = _graph(spark, sf_dir).paths()
