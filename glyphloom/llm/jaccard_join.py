@@ -21,7 +21,7 @@ if 100 * intersection >= percent * union.
 4.  Connected components of all verified links.
 
 Equal texts are found first, by a 128-bit hash: one block owns each, and only the owner's
-first copy takes part; sets that are equal within a block are represented by one as well.
+first copy takes part; equal sets of texts that a block owns are represented by one as well.
 Shingles that only copies of one text have thus count once.  Pairs are left out as soon as
 places show that a link is impossible: one set has too few shingles that occur elsewhere,
 too many before a shared one that the other cannot have, or too few in both prefixes for
@@ -70,10 +70,10 @@ def _sets(texts: tb.Texts, size: int) -> Iterator[np.ndarray]:
                 yield tb.hash_windows(hashes[a:b], b - a, 2) if b > a else np.zeros(0, np.uint64)
 
 
-def _distinct(block: tb.Block, size: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sets, and for each text the first text with an equal set."""
+def _distinct(block: tb.Block, size: int, owned: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets, and for each owned text the first owned text with an equal set; others stand for themselves."""
     sets, known = list(_sets(block.texts, size)), {}
-    stands = np.array([known.setdefault(s.tobytes(), i) if len(s) else i for i, s in enumerate(sets)], np.int64)
+    stands = np.array([known.setdefault(s.tobytes(), i) if len(s) and owned[i] else i for i, s in enumerate(sets)], np.int64)
     return sets, stands
 
 
@@ -107,8 +107,8 @@ def signatures(blocks: tb.Blocks, size: int, percent: int) -> DataFrame:
     foreign = tb.checkpointed(foreign)
 
     def keys_of(block: tb.Block, others: pa.Table):
-        sets, stands = _distinct(block, size)
         owned = _owned(block, others)
+        sets, stands = _distinct(block, size, owned)
         own = [s for i, s in enumerate(sets) if stands[i] == i and owned[i]]
         return np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
 
@@ -119,8 +119,8 @@ def signatures(blocks: tb.Blocks, size: int, percent: int) -> DataFrame:
         if not left.num_rows:
             return _SCHEMA.empty_table()
         block = tb.block_of(left)
-        sets, stands = _distinct(block, size)
         owned = _owned(block, right.filter(pa.compute.is_valid(right["h"])))
+        sets, stands = _distinct(block, size, owned)
         number = block.number << 24
         ends = np.cumsum([len(s) for s in sets])
         often = tb.counts_in(np.concatenate(sets), right, n_buckets)

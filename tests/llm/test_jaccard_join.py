@@ -81,3 +81,21 @@ def test_parts_of_groups_meet(spark, monkeypatch):
     monkeypatch.setattr(J, "VISITORS", 2)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.linked_groups(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == sorted(brute.linked(rows))
+
+
+def test_equal_sets_of_texts_that_other_blocks_own(spark, monkeypatch):
+    """Copies of a text in many blocks, and variants with the same shingles in each of them."""
+    monkeypatch.setattr(J.tb, "MEGABYTE", 4000)
+    texts = []
+    for k in range(6):
+        text = " ".join(f"w{k}_{j}" for j in range(12))
+        texts += [text] * 40 + [text.upper(), text.replace(" ", "  "), text.title(), text + " "] * 5
+        again = f"r{k} s{k} t{k} u{k} v{k} " * 3
+        texts += [again] * 20 + [again * n for n in range(2, 8)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert J.tb.blocks_of(df).n_blocks >= 8
+    want = brute.linked(rows)
+    assert len({c for _, _, c in want}) == 12
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.linked_groups(df).collect()) == sorted(want)
+    assert sorted(r.doc_id for r in J.keep_one_of_each(df).collect()) == sorted(i for i, n, c in want if i == c)
