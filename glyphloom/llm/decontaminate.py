@@ -3,13 +3,15 @@
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  A mask is a
 fixed set of places in a span; the hash of the words at these places ignores the others.
 Two masks of six places are used that, together, miss no pair of 13-word stretches with at
-most two words substituted.  Hashes of all masks at all places of the benchmark are looked
+most two words substituted.  Shorter items and other limits have masks of their own: the
+stretch is cut into groups, one or two more than the words that may differ, and a mask
+leaves out as many groups as words may differ, so one mask meets none of them.  Hashes of all masks at all places of the benchmark are looked
 up from every place of every document.  Around each hit, document and item are laid side
 by side and every stretch of `stretch` words (or the whole item, if that is shorter) is
 compared: it counts as copied if at least `equal_percent` of its words agree.
 
-Items of fewer than `least` words are too short to tell and are not searched for.  Null
-and empty texts hit nothing.  A null item_id is carried as it is.  Repeated rows of
+Items of fewer than `least` words count as copied only if all their words stand in a row.
+Null and empty texts hit nothing.  A null item_id is carried as it is.  Repeated rows of
 either table are judged each for itself: one row is returned for each pair of a document
 row and an item row.  Other columns are not read by `find_copies` and are carried along by
 `keep_clean`.  Either table may be empty.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,35 +49,53 @@ def _seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     n = max(len(hashes) - mask[-1], 0)
     out = np.full(n, tb.STEPS[40], np.uint64)
     for k, place in enumerate(mask):
-        out = out * tb.STEPS[41 + k] + hashes[place : place + n]
+        out = out * tb.STEPS[41 + k % 23] + hashes[place : place + n]
     return tb.mix(out)
 
 
+def _masks(size: int, lost: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(span, mask): two stretches of `size` words of which at most `lost` differ agree on one of the masks."""
+    if size >= 13 and lost <= 2:
+        return [(mask[-1] + 1, mask) for mask in MASKS]
+    if not lost:
+        return [(size, tuple(range(size)))]
+    # `lost` words touch at most as many groups; two groups at once are rarer in the documents than one
+    kept = 2 if lost <= 2 and size >= lost + 2 else 1
+    groups = np.array_split(np.arange(size), lost + kept)
+    return [(size, tuple(np.concatenate(g).tolist())) for g in combinations(groups, kept)]
+
+
 class Items:
     """The words of some benchmark items and the seeds at all their places."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], least: int):
+    def __init__(self, rows: list[tuple[int | None, str | None]], stretch: int, equal_percent: int, least: int):
         column = pa.array([t or "" for _, t in rows], pa.large_string())
         self.words, self.hashes = _tokens(tb.texts_of(column))
         self.ids = [i for i, _ in rows]
         self.length = np.diff(self.words.first)
+        self.short = self.length < least
+        self.size = np.where(self.short, self.length, np.minimum(stretch, self.length))
+        self.equal = np.where(self.short, self.size, -(-equal_percent * self.size // 100))
         self.seeds = []
-        for mask in MASKS:
-            at = tb.inside_texts(self.words.first, mask[-1] + 1)
-            at = at[np.repeat(self.length >= least, np.maximum(self.length - mask[-1], 0))]
-            key = _seeds(self.hashes, mask)[at] if len(at) else np.zeros(0, np.uint64)
-            order = np.argsort(key)
-            some = np.zeros(1 << 16, bool)
-            some[(key >> np.uint64(48)).astype(np.int64)] = True
-            self.seeds.append((key[order], at[order], some))
-
-    def copies(self, texts: tb.Texts, stretch: int, equal_percent: int) -> list[tuple[int, int, int, int, int, int]]:
+        kinds = np.stack((self.size, self.size - self.equal, self.short), 1)
+        for size, lost, short in np.unique(kinds[self.size > 0], axis=0).tolist():
+            chosen = (kinds == (size, lost, short)).all(1)
+            for span, mask in _masks(size, lost):
+                at = tb.inside_texts(self.words.first, span)
+                at = at[np.repeat(chosen, np.maximum(self.length - span + 1, 0))]
+                key = _seeds(self.hashes, mask)[at]
+                order = np.argsort(key)
+                some = np.zeros(1 << 16, bool)
+                some[(key >> np.uint64(48)).astype(np.int64)] = True
+                self.seeds.append((span, mask, bool(short), key[order], at[order], some))
+
+    def copies(self, texts: tb.Texts) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, words copied, equal among them, first word in text, in item), the best for each pair."""
         words, hashes = _tokens(texts)
         pairs = []
-        for mask, (keys, at, some) in zip(MASKS, self.seeds):
-            starts = tb.inside_texts(words.first, mask[-1] + 1)
-            if not len(starts) or not len(keys):
+        for span, mask, short, keys, at, some in self.seeds:
+            starts = tb.inside_texts(words.first, span)
+            if not len(starts):
                 continue
             found = _seeds(hashes, mask)[starts]
             maybe = some[(found >> np.uint64(48)).astype(np.int64)]
@@ -85,18 +106,23 @@ class Items:
             item_place = at[tb.ranges(low, n)]
             doc = np.searchsorted(words.first, place, "right") - 1
             item = np.searchsorted(self.words.first, item_place, "right") - 1
-            pairs.append(np.stack((doc, item, place - words.first[doc] - item_place + self.words.first[item]), 1))
+            met = np.stack((doc, item, place - words.first[doc] - item_place + self.words.first[item]), 1)
+            if short and len(met):
+                # all places of a whole item are as good; the last one stands for them
+                met = met[np.lexsort((met[:, 2], met[:, 1], met[:, 0]))]
+                met = met[np.append((met[1:, :2] != met[:-1, :2]).any(1), True)]
+            pairs.append(met)
         best: dict[tuple[int, int], tuple[int, ...]] = {}
         for doc, item, shift in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
             a, n = words.first[doc], words.first[doc + 1] - words.first[doc]
             b, m = self.words.first[item], self.length[item]
             low, high = max(0, -shift), min(m, n - shift)
-            size = min(stretch, m)
+            size = int(self.size[item])
             if high - low < size:
                 continue
             equal = hashes[a + low + shift : a + high + shift] == self.hashes[b + low : b + high]
             total = np.concatenate(([0], np.cumsum(equal)))
-            near = np.flatnonzero(100 * (total[size:] - total[:-size]) >= equal_percent * size)
+            near = np.flatnonzero(total[size:] - total[:-size] >= self.equal[item])
             if len(near):
                 covered = tb.spread(near, size, len(equal))
                 first = low + int(near[0])
@@ -105,7 +131,7 @@ class Items:
         return [(*k, *v) for k, v in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, least: int) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, block_bytes: int, stretch: int, equal_percent: int, least: int) -> Iterator[Items]:
     """The items, so many bytes of them at a time; each block comes to the driver and goes on to the tasks."""
     chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -114,7 +140,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int, least: int) -> Iterator[Item
     for k in range(n):
         rows = [(r.item_id, r.text) for r in (chosen.where(number == k) if n > 1 else chosen).collect()]
         if rows:
-            yield Items(rows, least)
+            yield Items(rows, stretch, equal_percent, least)
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, equal_percent: int = 80, least: int = 8, block_bytes: int = 4 * tb.MEGABYTE) -> DataFrame:
@@ -126,7 +152,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, equal_
             for batch in batches:
                 ids = batch["doc_id"].to_pylist()
                 for a, _, texts in tb.texts_of(batch["text"]).chunks():
-                    made = items.copies(texts, stretch, equal_percent)
+                    made = items.copies(texts)
                     rows = [(ids[a + d], items.ids[i], int(items.length[i]), *rest) for d, i, *rest in made]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
@@ -134,7 +160,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, equal_
         return run
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [chosen.mapInArrow(searched(items), RESULT) for items in _blocks(benchmark, block_bytes, least)]
+    parts = [chosen.mapInArrow(searched(items), RESULT) for items in _blocks(benchmark, block_bytes, stretch, equal_percent, least)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], RESULT)
 
 
@@ -146,12 +172,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, equal_p
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for a, _, texts in tb.texts_of(batch["text"]).chunks():
-                    for d, *_ in items.copies(texts, stretch, equal_percent):
+                    for d, *_ in items.copies(texts):
                         clean[a + d] = False
                 yield batch.filter(pa.array(clean))
 
         return run
 
-    for items in _blocks(benchmark, block_bytes, least):
+    for items in _blocks(benchmark, block_bytes, stretch, equal_percent, least):
         docs = docs.mapInArrow(filtered(items), docs.schema)
     return docs

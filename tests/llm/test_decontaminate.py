@@ -54,3 +54,42 @@ def test_against_brute_force(spark):
     assert D.keep_clean(df, bench).columns == df.columns
     assert D.find_copies(df, bench.limit(0)).count() == 0 and D.find_copies(df.limit(0), bench).count() == 0
     assert D.keep_clean(df, bench.limit(0)).count() == len(docs)
+
+
+def test_short_items(spark):
+    """Every substitution that the limits allow is found in items of 8 to 12 words, and only whole copies of shorter ones."""
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 13)]
+    docs = []
+    for n, text in items:
+        for lost in range(4):
+            for gone in combinations(range(n), lost):
+                docs.append((len(docs), " ".join(["before"] * (lost % 2) + ["other" if k in gone else w for k, w in enumerate(text.split())] + ["after"] * (n % 2)), n))
+    docs += [(len(docs), f"{items[0][1]} x {items[4][1]} {items[0][1]} {items[4][1].upper()}", 0), (len(docs) + 1, "i5x0 i5x1 i5x2 i5x3", 0)]
+    want = brute(docs, items) | {(i, j) for i, t, _ in docs for j, u in items if j < 8 and f" {u} " in f" {t.lower()} "}
+    got = D.find_copies(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+    assert {j for _, j in want} == set(range(1, 13))
+    assert {(r.n_copied, r.n_equal) for r in got if r.item_id < 8} == {(n, n) for n in range(1, 8)}
+
+
+def test_masks_miss_nothing_that_is_allowed():
+    for size in range(1, 19):
+        for lost in range(min(size, 5)):
+            masks = [m for _, m in D._masks(size, lost)]
+            for gone in combinations(range(size), lost):
+                assert any(o + m[-1] < size and not any(o + x in gone for x in m) for m in masks for o in range(size))
+
+
+def test_other_limits(spark):
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(200)}"
+    items = [(k, " ".join(word() for _ in range(rnd.randrange(1, 30)))) for k in range(30)]
+    docs = []
+    for k in range(80):
+        part = items[k % 30][1].split()
+        for _ in range(k % 6):
+            part[rnd.randrange(len(part))] = "other"
+        docs.append((k, " ".join([word() for _ in range(9)] + part + [word() for _ in range(7)]), 1))
+    for stretch, percent in ((20, 60), (10, 100), (6, 50)):
+        got = D.find_copies(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), stretch, percent, 1).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items, stretch, percent, 1)
