@@ -34,6 +34,7 @@ from .quality_rules import SIGNALS, count_texts
 BUCKETS = 1 << 15
 FACTORS = 6
 SAMPLE = 6000
+STEPS = 564  # twelve passes over a full sample in batches of 128
 STRUCTURE = (*SIGNALS, "mean_word", "line_words", "log_words", "log_bytes", "digits", "stops")
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -106,30 +107,31 @@ class FactorisationMachine:
             return np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self._sums(x)[0].astype(np.float64), -30, 30)))
 
-    def fit(self, x: Features, y: np.ndarray, epochs: int | None = None, batch: int = 128, rate: float = 0.08, decay: float = 1e-5) -> None:
-        """Logistic loss by AdaGrad; gradients of a batch are summed feature by feature.  A small sample gets more epochs."""
-        epochs = epochs or min(max(12, 24_000 // max(len(y), 1)), 100)
+    def fit(self, x: Features, y: np.ndarray, steps: int = STEPS, batch: int = 128, rate: float = 0.08, decay: float = 1e-5) -> None:
+        """Logistic loss by AdaGrad; gradients of a batch are summed feature by feature.  Every sample gets as many steps."""
         rng, n = np.random.default_rng(11), len(self.weights)
         seen_w, seen_v, seen_b = np.full(n, 1e-3), np.full(self.factors.shape, 1e-3), 1e-3
-        for _ in range(epochs):
-            turn = rng.permutation(len(y))
-            for low in range(0, len(y), batch):
-                which = np.sort(turn[low : low + batch])
-                part = x.rows(which)
-                margin, s = self._sums(part)
-                slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[which]) / len(which)
-                each = np.repeat(slope, np.diff(part.start)) * part.values
-                used, place = np.unique(part.columns, return_inverse=True)
-                g = np.bincount(place, each, len(used)) + decay * self.weights[used]
-                seen_w[used] += g**2
-                self.weights[used] -= (rate * g / np.sqrt(seen_w[used])).astype(np.float32)
-                inner = np.repeat(s, np.diff(part.start), axis=0) - self.factors[part.columns] * part.values[:, None]
-                g = np.stack([np.bincount(place, each * inner[:, f], len(used)) for f in range(inner.shape[1])], 1) + decay * self.factors[used]
-                seen_v[used] += g**2
-                self.factors[used] -= (0.3 * rate * g / np.sqrt(seen_v[used])).astype(np.float32)
-                g = float(slope.sum())
-                seen_b += g**2
-                self.bias -= rate * g / np.sqrt(seen_b)
+        turn, low = np.zeros(0, np.int64), 0
+        for _ in range(steps if len(y) else 0):
+            if low >= len(turn):
+                turn, low = rng.permutation(len(y)), 0
+            which = np.sort(turn[low : low + batch])
+            low += batch
+            part = x.rows(which)
+            margin, s = self._sums(part)
+            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[which]) / len(which)
+            each = np.repeat(slope, np.diff(part.start)) * part.values
+            used, place = np.unique(part.columns, return_inverse=True)
+            g = np.bincount(place, each, len(used)) + decay * self.weights[used]
+            seen_w[used] += g**2
+            self.weights[used] -= (rate * g / np.sqrt(seen_w[used])).astype(np.float32)
+            inner = np.repeat(s, np.diff(part.start), axis=0) - self.factors[part.columns] * part.values[:, None]
+            g = np.stack([np.bincount(place, each * inner[:, f], len(used)) for f in range(inner.shape[1])], 1) + decay * self.factors[used]
+            seen_v[used] += g**2
+            self.factors[used] -= (0.3 * rate * g / np.sqrt(seen_v[used])).astype(np.float32)
+            g = float(slope.sum())
+            seen_b += g**2
+            self.bias -= rate * g / np.sqrt(seen_b)
 
 
 def held_out(id_col: Column) -> Column:

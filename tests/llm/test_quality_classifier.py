@@ -40,3 +40,18 @@ def test_held_out_accuracy(spark):
     assert (C.train(df, flipped).weights == machine.weights).all()
     assert all(r.score == 0.5 for r in C.score(df.limit(5), C.train(df, known.limit(0))).collect())
     assert C.score(df.limit(0), machine).count() == 0
+
+
+def test_same_number_of_steps_at_every_size(monkeypatch):
+    import pyarrow as pa
+
+    taken, sums = [], C.FactorisationMachine._sums
+    monkeypatch.setattr(C.FactorisationMachine, "_sums", lambda self, x: taken.append(1) or sums(self, x))
+    n_steps = set()
+    for n in (0, 1, 40, 300, 3000):
+        x = C.features(tb.texts_of(pa.array([f"w{k % 17} w{k % 5}" for k in range(n)], pa.string())), 64) if n else None
+        taken.clear()
+        C.FactorisationMachine.empty(64).fit(x, np.arange(n) % 5 % 2)
+        if n:
+            n_steps.add(len(taken))
+    assert len(n_steps) == 1
