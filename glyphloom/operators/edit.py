@@ -2,7 +2,9 @@
 
 Unit costs: Spark's levenshtein on a join whose length buckets leave only pairs that the
 bound allows.  A lexicon within the stated limits is broadcast; a larger one is joined by
-length, each query meeting 2 * bound + 1 lengths.  Other costs run in a dynamic program.
+length, each query meeting only lengths that the bound allows.  Without a bound, or where
+insertions or deletions are free, every query meets every word.  Other costs run in a
+dynamic program.
 """
 
 from __future__ import annotations
@@ -83,20 +85,27 @@ class LevenshteinAutomaton:
 
 
 def distances(queries: DataFrame, query: str, lexicon: DataFrame, word: str, bound: int, edits: EditTransducer | None = None) -> DataFrame:
-    """(query, ostring, weight) for all words within the bound; equal queries are compared once."""
-    if bound < 1:
-        raise ArgumentError("a join needs a bound of at least 1")
+    """(query, ostring, weight) for all words within the bound, 0 for none; equal queries are compared once."""
+    if bound < 0:
+        raise ArgumentError("a bound is not negative")
+    edits = edits or EditTransducer()
     words = lexicon.select(F.col(word).alias("ostring")).where("ostring is not null").distinct().withColumn("size", F.length("ostring"))
     asked = queries.select(F.col(query).alias(query)).where(F.col(query).isNotNull()).distinct()
-    near = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.length(query) - bound, F.lit(0)), F.length(query) + bound)))
     small = words.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    pairs = near.join(F.broadcast(words) if small else words, "size")
-    if edits is None or edits.is_unit:
-        d = F.levenshtein(F.col(query), F.col("ostring"), bound)
+    words = F.broadcast(words) if small else words
+    if bound and edits.insert_cost and edits.delete_cost:
+        shorter, longer = (int(bound / c + 1e-9) for c in (edits.delete_cost, edits.insert_cost))
+        near = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.length(query) - shorter, F.lit(0)), F.length(query) + longer)))
+        pairs = near.join(words, "size")
+    else:
+        pairs = asked.crossJoin(words)
+    if edits.is_unit:
+        d = F.levenshtein(F.col(query), F.col("ostring"), bound) if bound else F.levenshtein(F.col(query), F.col("ostring"))
         return pairs.withColumn("weight", d.cast("double")).where("weight >= 0").select(query, "ostring", "weight")
 
     measured = _cost_udf(edits)
-    return pairs.withColumn("weight", measured(F.col(query), F.col("ostring"))).where(F.col("weight") <= bound).select(query, "ostring", "weight")
+    pairs = pairs.withColumn("weight", measured(F.col(query), F.col("ostring")))
+    return (pairs.where(F.col("weight") <= bound) if bound else pairs).select(query, "ostring", "weight")
 
 
 def _cost_udf(edits: EditTransducer):

@@ -149,3 +149,13 @@ def test_cyclic_tables(spark):
     assert {r.state: r.n_arcs for r in t.counts().collect()} == {s: m.num_arcs(s) for s in m.states()}
     gone = spark.createDataFrame([(0,)], "state long")
     assert t.delete_states(gone).verify()
+
+
+def test_distances_without_bound_and_with_cheap_edits(spark):
+    words = ["", "a", "cat", "widget", "abcdefgh"]
+    queries, lexicon = spark.createDataFrame([("ab",), ("plate",), ("",)], "q string"), spark.createDataFrame([(w,) for w in words], "w string")
+    for costs in ((1, 1, 1), (0.5, 1, 1), (1, 0.25, 3), (0, 1, 2)):
+        edits = edit.EditTransducer(None, *costs)
+        for bound in (0, 1, 3):
+            got = {(r.q, r.ostring, r.weight) for r in edit.distances(queries, "q", lexicon, "w", bound, edits).collect()}
+            assert got == {(q, w, d) for q in ("ab", "plate", "") for w in words if not bound or edits.distance(q, w) <= bound for d in [edits.distance(q, w)]}
