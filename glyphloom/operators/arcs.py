@@ -245,7 +245,7 @@ class ArcTable:
             total = checkpointed(total.unionByName(now).groupBy("state").agg(self.semiring.sum_column(F.col("distance")).alias("distance")))
         raise OperationError("distances do not converge")
 
-    def rmepsilon(self, most: int = 1000) -> ArcTable:
+    def rmepsilon(self, most: int = 10_000) -> ArcTable:
         """Without arcs that are epsilon on both sides (tropical: closures by least weight)."""
         self.semiring.require_best_path("rmepsilon of a table")
         silent = checkpointed(self.arcs.where("ilabel = 0 and olabel = 0").groupBy("src", "dst").agg(F.min("weight").alias("w")))
@@ -257,6 +257,8 @@ class ArcTable:
             if new.isEmpty():
                 break
             near = _barrier(near.unionByName(new), ["src", "at"])
+        else:
+            raise OperationError("closures of epsilon arcs do not converge")
         loud = self.arcs.where("ilabel <> 0 or olabel <> 0").withColumnRenamed("src", "at")
         arcs = near.join(loud, "at").groupBy("src", "ilabel", "olabel", "dst").agg(F.min(F.col("d") + F.col("weight")).alias("weight"))
         finals = near.join(self.states.select(F.col("state").alias("at"), "final_weight"), "at").groupBy(F.col("src").alias("state")).agg(F.min(F.col("d") + F.col("final_weight")).alias("final_weight"))
@@ -284,20 +286,18 @@ class ArcTable:
         states = self.states.join(fore.toDF("state", "f"), "state", "left").withColumn("final_weight", F.when(F.col("f") + F.col("final_weight") <= best + weight + 1e-9, F.col("final_weight")))
         return self._with(states, arcs).connect()
 
-    def paths(self, most: int = 1000) -> DataFrame:
+    def paths(self, most: int = 10_000) -> DataFrame:
         """(ilabels, olabels, weight) of every path from the start to a final; a cycle on one is an error."""
         clean = self.connect()
-        if clean.order() is None:
+        if clean.order(most) is None:
             raise OperationError("a cyclic table has endless paths")
         loud = lambda c, seen: F.when(F.col(c) == 0, F.col(seen)).otherwise(F.concat(F.col(seen), F.array(c)))
         none = F.array().cast("array<long>")
         now = clean.states.where("is_start").select("state", none.alias("ilabels"), none.alias("olabels"), F.lit(0.0).alias("total"))
         ends = clean.states.where("final_weight is not null").select("state", "final_weight")
         out = []
-        for _ in range(most):
-            now = checkpointed(now)
-            if now.isEmpty():
-                break
+        # ends, since there is no cycle
+        while not (now := checkpointed(now)).isEmpty():
             out.append(now.join(ends, "state").select("ilabels", "olabels", (F.col("total") + F.col("final_weight")).alias("weight")))
             now = now.join(clean.arcs, F.col("state") == F.col("src")).select(F.col("dst").alias("state"), loud("ilabel", "ilabels").alias("ilabels"), loud("olabel", "olabels").alias("olabels"), (F.col("total") + F.col("weight")).alias("total"))
         found = out[0] if out else None

@@ -159,3 +159,14 @@ def test_distances_without_bound_and_with_cheap_edits(spark):
         for bound in (0, 1, 3):
             got = {(r.q, r.ostring, r.weight) for r in edit.distances(queries, "q", lexicon, "w", bound, edits).collect()}
             assert got == {(q, w, d) for q in ("ab", "plate", "") for w in words if not bound or edits.distance(q, w) <= bound for d in [edits.distance(q, w)]}
+
+
+def test_rounds_that_run_out_are_an_error(spark):
+    states = spark.createDataFrame([(k, k == 0, 0.0 if k == 5 else None) for k in range(6)], "state long, is_start boolean, final_weight double")
+    arcs = spark.createDataFrame([(k, 0, 0, 1.0, k + 1) for k in range(5)], "src long, ilabel long, olabel long, weight double, dst long")
+    chain = ArcTable(states, arcs)
+    for short in (lambda: chain.paths(most=3), lambda: chain.rmepsilon(most=3)):
+        with pytest.raises(OperationError):
+            short()
+    assert [r.weight for r in chain.paths().collect()] == [5.0]
+    assert chain.rmepsilon().states.where("state = 0").first().final_weight == 5.0
