@@ -14,10 +14,10 @@ if 100 * intersection >= percent * union.
 3.  Candidates first meet one pivot a shingle: the document with the fewest shingles of its
     own, which of a family of near copies is the one nearest to all.  Each document is
     verified against the pivot that shares most prefix shingles with it; the links found
-    give first groups.  A second round does the same with the least id as pivot, between
-    different groups.  Then all pairs of *different* groups that share enough prefix
-    shingles are verified; they are counted where a part of one group meets its visitors.  A group of near copies, however large, thus costs a few
-    comparisons a copy, and no link between different groups is lost.
+    give first groups.  Then documents of *different* groups that share enough prefix
+    shingles are verified where they meet, and only which groups they join is handed on.  A
+    group of near copies, however large, thus costs a few comparisons a copy, no table of
+    pairs grows with the square of a group, and no link between different groups is lost.
 4.  Connected components of all verified links.
 
 Equal texts are found first, by a 128-bit hash: one block owns each, and only the owner's
@@ -145,192 +145,249 @@ def signatures(blocks: tb.Blocks, size: int, percent: int) -> DataFrame:
     return blocks.docs.groupBy("block").cogroup(beside.groupBy("block")).applyInArrow(sign, SIGNATURES)
 
 
-POSTING = np.dtype([("token", "<u8"), ("row", "<i8"), ("id", "<i8"), ("label", "<i8"), ("size", "<u4"), ("n", "<u4"), ("elsewhere", "<u4"), ("place", "<u4"), ("k", "<u4")])
+POSTINGS = "token long, row long, id long, label long, size long, n long, elsewhere long, place long, k long"
+_KIND = np.dtype([("token", "<u8"), ("place", "<u4")])
 
 
-def _postings(candidates: DataFrame, n_buckets: int) -> DataFrame:
-    """Packed postings by bucket of tokens; candidates has row, doc_id, n, elsewhere, k, prefix and label, and may have the label's size."""
+def _postings(candidates: DataFrame) -> DataFrame:
+    """One row for each token of a prefix; candidates has row, doc_id, n, elsewhere, k and prefix, and may have label and size."""
+    names = [x.split()[0] for x in POSTINGS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefixes = [np.frombuffer(x.as_buffer(), [("token", "<u8"), ("place", "<u4")]) for x in batch["prefix"]]
-            count = [len(p) for p in prefixes]
-            made = np.zeros(sum(count), POSTING)
-            if not len(made):
-                continue
-            whole = np.concatenate(prefixes)
-            made["token"], made["place"] = whole["token"], whole["place"]
-            for name, column in (("row", "row"), ("id", "doc_id"), ("label", "label"), ("size", "size"), ("n", "n"), ("elsewhere", "elsewhere"), ("k", "k")):
-                values = batch[column].fill_null(tb.NULL_ID) if column == "doc_id" else batch[column]
-                made[name] = np.repeat(values.to_numpy(zero_copy_only=False), count)
-            rows = [{"bucket": b, "data": made[at].tobytes()} for b, at in tb.dealt((tb.mix(made["token"]) % np.uint64(n_buckets)).astype(np.int64))]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("data", pa.binary())]))
-
-    size = F.col("size") if "size" in candidates.columns else F.lit(1).cast("long").alias("size")
-    return candidates.select("row", "doc_id", "n", "elsewhere", "k", "prefix", "label", size).mapInArrow(run, "bucket long, data binary")
+        for batch in (b.slice(low, 50) for b in batches for low in range(0, b.num_rows, 50)):
+            prefixes = [np.frombuffer(x.as_buffer(), _KIND) for x in batch["prefix"]]
+            whole = np.concatenate([np.zeros(0, _KIND), *prefixes])
+            at = pa.array(np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes]), pa.int64())
+            made = {"token": pa.array(np.ascontiguousarray(whole["token"]).view(np.int64)), "place": pa.array(whole["place"].astype(np.int64))}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch[c].take(at) for c in names], names)
 
+    has = set(candidates.columns)
+    id_ = F.coalesce("doc_id", F.lit(tb.NULL_ID)).alias("id")
+    label = F.col("label" if "label" in has else "row").alias("label")
+    size = (F.col("size") if "size" in has else F.lit(1)).cast("long").alias("size")
+    return candidates.select("row", id_, label, size, F.col("n"), F.col("elsewhere").cast("long"), F.col("k").cast("long"), "prefix").mapInArrow(run, POSTINGS)
 
-def _sizes(a: np.ndarray, b: np.ndarray, percent: int):
-    """Of pairs of postings: both sizes, the intersection that a link needs, and both prefix lengths for the pair's k."""
-    k = np.minimum(a["k"], b["k"]).astype(np.int64)
-    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    need = -(-percent * (na + nb) // (100 + percent))
-    return k, na, nb, need, np.minimum(na, _free(na, percent) + k), np.minimum(nb, _free(nb, percent) + k)
 
-
-def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether two postings of one token may belong to a link.
+def _bounds(percent: int) -> dict[str, str]:
+    """SQL for a pair of postings x and y of one token: what a link needs, and whether the two may belong to one.
 
     The sizes allow it; both sets have enough shingles that occur elsewhere; the token is in
-    both prefixes of the pair's k; and neither set has too many shingles before it that the
-    other cannot have before it too.
+    both prefixes of the pair's k, the smaller one; and neither set has too many shingles
+    before it that the other cannot have before it too.  least: how many tokens of both
+    prefixes must be shared, k or what the rest of the sets cannot supply.
     """
-    _, na, nb, need, pa_, pb = _sizes(a, b, percent)
-    ea, eb, at, bt = (x.astype(np.int64) for x in (a["elsewhere"], b["elsewhere"], a["place"], b["place"]))
-    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(ea, eb) >= need) & (at < pa_) & (bt < pb)
-    return ok & (at - (bt - (nb - eb)) <= na - need) & (bt - (at - (na - ea)) <= nb - need)
-
-
-def _counted(a: np.ndarray, b: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Pairs of rows, how many tokens each has here, and how many it must have in all: k, or what the sets' ends cannot supply."""
-    k, na, nb, need, pa_, pb = _sizes(a, b, percent)
-    least = np.maximum(k, need - np.maximum(na - pa_, nb - pb))
-    low, high = np.minimum(a["row"], b["row"]), np.maximum(a["row"], b["row"])
-    order = np.lexsort((high, low))
-    low, high, least = low[order], high[order], least[order]
-    head = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, np.int64)
-    return [low[head], high[head], np.diff(np.append(head, len(low))), least[head]]
-
-
-def _sorted_postings(table: pa.Table, pivots: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's postings by token, and where each token's begin and how many it has."""
-    x = np.concatenate([np.frombuffer(c.as_buffer(), POSTING) for c in table["data"]])
-    own = x["n"] - x["elsewhere"] if pivots == "cleanest" else np.zeros(len(x), np.uint32)
-    x = x[np.lexsort((x["row"], x["id"], own, x["token"]))]
-    head = np.flatnonzero(np.concatenate(([True], x["token"][1:] != x["token"][:-1])))
-    return x, head, np.diff(np.append(head, len(x)))
-
-
-def _pivot_pairs(candidates: DataFrame, n_buckets: int, percent: int, pivots: str) -> DataFrame:
-    """(a, b, shared): pairs of different labels of a document and a token's pivot ("cleanest" or "least") that share enough tokens."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("least", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        x, head, count = _sorted_postings(table, pivots)
-        at = np.repeat(head, count)
-        keep = np.flatnonzero(at != np.arange(len(x)))
-        a, b = x[keep], x[at[keep]]
-        ok = _may_link(a, b, percent) & (a["label"] != b["label"])
-        return pa.table([pa.array(c.astype(np.int64)) for c in _counted(a[ok], b[ok], percent)], schema=schema)
-
-    found = _postings(candidates, n_buckets).groupBy("bucket").applyInArrow(run, "a long, b long, n long, least long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b", "shared")
-
-
-def _visits(candidates: DataFrame, n_buckets: int, percent: int) -> DataFrame:
-    """(row, to): documents and other labels, larger than their own, with a member that a token of both might link."""
-    schema = pa.schema([("row", pa.int64()), ("to", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        x, head, count = _sorted_postings(table)
-        made = []
-        for start, n in zip(head.tolist(), count.tolist()):
-            group = x[start : start + n]
-            if n < 2 or (group["label"] == group["label"][0]).all():
-                continue
-            # members in the order of their labels; each meets the members of later, larger labels
-            group = group[np.lexsort((group["label"], group["size"]))]
-            label = group["label"]
-            later = np.flatnonzero(np.concatenate((label[1:] != label[:-1], [True]))) + 1
-            ends = later[np.searchsorted(later, np.arange(n), "right")]
-            for i in np.flatnonzero(ends < n).tolist():
-                other = group[ends[i] :]
-                ok = _may_link(np.repeat(group[i : i + 1], len(other)), other, percent)
-                to = np.unique(other["label"][ok])
-                made.append(np.stack((np.full(len(to), group["row"][i]), to), 1))
-            if len(made) > 20_000:
-                made = [np.unique(np.concatenate(made), axis=0)]
-        rows = np.unique(np.concatenate(made), axis=0) if made else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=schema)
-
-    return _postings(candidates, n_buckets).groupBy("bucket").applyInArrow(run, "row long, to long").distinct()
-
-
-def _met(members: pa.Table, visitors: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of visitors and of members that share enough of their prefixes."""
-    kind = [("token", "<u8"), ("place", "<u4")]
-
-    def opened(t: pa.Table) -> np.ndarray:
-        prefixes = [np.frombuffer(c.as_buffer(), kind) for c in t["prefix"]]
-        count = [len(p) for p in prefixes]
-        made = np.zeros(sum(count), POSTING)
-        whole = np.concatenate(prefixes)
-        made["token"], made["place"] = whole["token"], whole["place"]
-        for name in ("row", "n", "elsewhere", "k"):
-            made[name] = np.repeat(t[name].to_numpy(), count)
-        return made
-
-    own, others = opened(members), opened(visitors)
-    own = own[np.argsort(own["token"], kind="stable")]
-    found = []
-    step = max(1, 400_000 // max(1, members.num_rows))
-    for low in range(0, len(others), step):
-        part = others[low : low + step]
-        first = np.searchsorted(own["token"], part["token"])
-        n = np.searchsorted(own["token"], part["token"], "right") - first
-        a, b = np.repeat(part, n), own[tb.ranges(first, n)]
-        ok = _may_link(a, b, percent)
-        a, b = a[ok], b[ok]
-        if len(a):
-            k, na, nb, need, pa_, pb = _sizes(a, b, percent)
-            least = np.maximum(k, need - np.maximum(na - pa_, nb - pb))
-            # the first shared token tells how many before it are not shared
-            fits = np.stack((a["row"], b["row"], least, a["place"].astype(np.int64) - (na - need), b["place"].astype(np.int64) - (nb - need)), 1)
-            found.append(fits)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    f = np.concatenate(found)
-    f = f[np.lexsort((f[:, 3], f[:, 1], f[:, 0]))]
-    head = np.flatnonzero(np.concatenate(([True], (f[1:, 0] != f[:-1, 0]) | (f[1:, 1] != f[:-1, 1]))))
-    shared = np.diff(np.append(head, len(f)))
-    first_b = np.minimum.reduceat(f[:, 4], head)
-    ok = (shared >= f[head, 2]) & (f[head, 3] <= 0) & (first_b <= 0)
-    return f[head[ok], 0], f[head[ok], 1]
+    need = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    prefix = lambda t: f"least({t}.n, {t}.n - ({t}.n * {percent} + 99) div 100 + least(x.k, y.k))"
+    early = lambda t, u: f"{t}.place - ({u}.place - ({u}.n - {u}.elsewhere)) <= {t}.n - {need}"
+    may = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND least(x.elsewhere, y.elsewhere) >= {need} AND x.place < {prefix('x')} AND y.place < {prefix('y')} AND {early('x', 'y')} AND {early('y', 'x')}"
+    return {"may": may, "least": f"greatest(least(x.k, y.k), {need} - greatest(x.n - {prefix('x')}, y.n - {prefix('y')}))"}
+
+
+def _meetings(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b, least): pairs that may link and how many tokens they must share; met has a row for each token that two postings, x and y, share."""
+    bounds = _bounds(percent)
+    return met.where(bounds["may"]).select(F.expr("least(x.row, y.row)").alias("a"), F.expr("greatest(x.row, y.row)").alias("b"), F.expr(bounds["least"]).alias("least"))
+
 
+def _enough(pairs: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs that share enough tokens."""
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b", "shared")
 
-MEMBERS, VISITORS = 500, 1000
 
+def _pivot_pairs(candidates: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared): pairs of a document and a token's pivot that share enough tokens."""
+    postings = _postings(candidates)
+    pivot = F.min(F.struct((F.col("n") - F.col("elsewhere")).alias("own"), "id", "row", "n", "elsewhere", "place", "k")).alias("y")
+    pivots = postings.groupBy("token").agg(pivot, F.count(F.lit(1)).alias("holders")).where("holders > 1").select("token", "y")
+    return _enough(_meetings(postings.alias("x").join(pivots, "token").where("x.row <> y.row"), percent))
 
-def _pairs_across(candidates: DataFrame, n_buckets: int, percent: int) -> DataFrame:
-    """(a, b): all pairs of different labels that share enough prefix tokens.
 
-    Documents visit the larger labels that they may link to.  A label's members are dealt
-    into parts of about MEMBERS, its visitors into parts of about VISITORS, and each part of
-    one meets each part of the other in a task of bounded size, which passes on only what
-    shares enough.
+# ---------------------------------------------------------------- between groups
+
+LARGE = 64
+FEW = 8
+PART_ROWS, PART_TOKENS = 1000, 250_000
+DENSE = 64
+
+
+def _shared(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of the first sets shares with each of the second.
+
+    Tokens of many pairs are counted by products of 0/1 matrices, the others pair by pair.
+    """
+    out = np.zeros((len(first), len(second)), np.int64)
+    tokens = np.concatenate([np.zeros(0, np.uint64), *first, *second])
+    owner = np.repeat(np.arange(len(first) + len(second)), [len(s) for s in (*first, *second)])
+    _, number = np.unique(tokens, return_inverse=True)
+    left = owner < len(first)
+    n = int(number.max()) + 1 if len(number) else 0
+    pairs = np.bincount(number[left], minlength=n) * np.bincount(number[~left], minlength=n)
+    often = np.flatnonzero(pairs > DENSE)
+    place = np.full(n, -1)
+    for low in range(0, len(often), 4096):
+        some = often[low : low + 4096]
+        place[:] = -1
+        place[some] = np.arange(len(some))
+        at = place[number]
+        cells = np.zeros((len(first) + len(second), len(some)), np.float32)
+        cells[owner[at >= 0], at[at >= 0]] = 1
+        out += (cells[: len(first)] @ cells[len(first) :].T).astype(np.int64)
+    rare = (pairs > 0) & (pairs <= DENSE)
+    x, y = left & rare[number], ~left & rare[number]
+    number_x, owner_x, number_y, owner_y = number[x], owner[x], number[y], owner[y] - len(first)
+    order = np.argsort(number_y, kind="stable")
+    number_y, owner_y = number_y[order], owner_y[order]
+    low = np.searchsorted(number_y, number_x)
+    count = np.searchsorted(number_y, number_x, "right") - low
+    code = np.repeat(owner_x, count) * len(second) + owner_y[tb.ranges(low, count)]
+    return out + np.bincount(code, minlength=out.size).reshape(out.shape) if len(code) else out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components of the links a[i], b[i]."""
+    names, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, top = number[: len(a)], number[len(a) :], np.arange(len(names))
+    while (top[a] != top[b]).any():
+        np.minimum.at(top, np.maximum(top[a], top[b]), np.minimum(top[a], top[b]))
+        while (top[top] != top).any():
+            top = top[top]
+    moved = np.flatnonzero(top != np.arange(len(names)))
+    return names[moved], names[top[moved]]
+
+
+def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Rows that are compared with each other; a part of a token's holders meets itself too."""
+    left = table.filter(pa.compute.equal(table["side"], 0))
+    alone = table["kind"][0].as_py() == 1 and table["mine"][0].as_py() == table["theirs"][0].as_py()
+    return left, left if alone else table.filter(pa.compute.equal(table["side"], 1))
+
+
+CELL = "kind long, key long, mine long, theirs long, side long, row long, other long, least long"
+_CELL = pa.schema([(c.split()[0], pa.int64()) for c in CELL.split(", ")])
+
+
+def _active(table: pa.Table, percent: int) -> pa.Table:
+    """The pairs of a cell that may link, of different labels, by what the places of the cell's token tell.
+
+    At most FEW pairs a row are named one by one (kind 2: row, other, and how many tokens
+    they must share); else the rows that have such pairs.
+    """
+    x, y = _sides(table)
+    col = lambda t, c: t[c].to_numpy().astype(np.int64)
+    a, b = ({c: col(t, c) for c in ("label", "n", "elsewhere", "place", "k")} for t in (x, y))
+    a = {c: v[:, None] for c, v in a.items()}
+    may = (a["label"] != b["label"]) & _may_link(a, b, percent)
+    if y is x:
+        may = np.triu(may)
+    i, j = np.nonzero(may)
+    if len(i) <= FEW * (x.num_rows + y.num_rows):
+        k, need, ends_a, ends_b = _ends({c: v[i, 0] for c, v in a.items()}, {c: v[j] for c, v in b.items()}, percent)
+        least = np.maximum(k, need - np.maximum(a["n"][i, 0] - ends_a, b["n"][j] - ends_b))
+        p, q = col(x, "row")[i], col(y, "row")[j]
+        made = {"kind": np.full(len(i), 2), "row": np.minimum(p, q), "other": np.maximum(p, q), "least": least}
+        return pa.table([pa.array(made.get(f.name, np.zeros(len(i))).astype(np.int64)) for f in _CELL], schema=_CELL)
+    out = x.filter(pa.array(may.any(1) | may.any(0) if y is x else may.any(1)))
+    if y is not x:
+        out = pa.concat_tables([out, y.filter(pa.array(may.any(0)))])
+    zero = pa.array(np.zeros(out.num_rows, np.int64))
+    return pa.table([out[f.name].cast(pa.int64()) if f.name in out.column_names else zero for f in _CELL], schema=_CELL)
+
+
+def _ends(a: dict, b: dict, percent: int):
+    """Of pairs: the smaller k, the intersection that a link needs, and both prefix lengths for that k."""
+    k, need = np.minimum(a["k"], b["k"]), -(-percent * (a["n"] + b["n"]) // (100 + percent))
+    return k, need, *(np.minimum(t["n"], _free(t["n"], percent) + k) for t in (a, b))
+
+
+def _may_link(a: dict, b: dict, percent: int) -> np.ndarray:
+    """Whether pairs of postings of one token may belong to a link, as in `_bounds`."""
+    _, need, ends_a, ends_b = _ends(a, b, percent)
+    ok = (100 * np.minimum(a["n"], b["n"]) >= percent * np.maximum(a["n"], b["n"])) & (np.minimum(a["elsewhere"], b["elsewhere"]) >= need)
+    early = lambda t, u: t["place"] - (u["place"] - (u["n"] - u["elsewhere"])) <= t["n"] - need
+    return ok & (a["place"] < ends_a) & (b["place"] < ends_b) & early(a, b) & early(b, a)
+
+
+def _links_between(x: pa.Table, y: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels that links between rows of x and rows of y join, as a forest.
+
+    Pairs of different labels that share enough tokens of their prefixes have their whole
+    sets compared.
+    """
+    col = lambda t, c: t[c].to_numpy().astype(np.int64)
+    prefixes = lambda t: [np.frombuffer(p.as_buffer(), _KIND)["token"] for p in t["prefix"]]
+    a, b = ({c: col(t, c) for c in ("label", "n", "elsewhere", "k")} for t in (x, y))
+    a = {c: v[:, None] for c, v in a.items()}
+    k, need, ends_a, ends_b = _ends(a, b, percent)
+    may = (a["label"] != b["label"]) & (100 * np.minimum(a["n"], b["n"]) >= percent * np.maximum(a["n"], b["n"])) & (np.minimum(a["elsewhere"], b["elsewhere"]) >= need)
+    if may.any():
+        may &= _shared(prefixes(x), prefixes(y)) >= np.maximum(k, need - np.maximum(a["n"] - ends_a, b["n"] - ends_b))
+    i, j = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if not len(i):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sets = lambda t, at: [np.frombuffer(t["tokens"][r].as_buffer(), np.uint64) for r in at.tolist()]
+    both = _shared(sets(x, i), sets(y, j))
+    linked = may[np.ix_(i, j)] & (100 * both >= percent * (a["n"][i] + b["n"][j] - both))
+    p, q = np.nonzero(linked)
+    return _joined(a["label"][i[p], 0], b["label"][j[q]])
+
+
+def _label_links(candidates: DataFrame, labelled: DataFrame, percent: int, written: tb.Written) -> DataFrame:
+    """(a, b): labels of which some members link, enough of them to connect all that do.
+
+    Only tokens that documents of different labels share are looked at.  A label with
+    LARGE members or more is visited by documents of smaller labels.  Members of small
+    labels meet in the token: pairs are counted over tokens while they are FEW a row, else
+    the whole sets of those that may link are compared.  Members and visitors, and the holders of a token, are dealt
+    into parts of bounded size; a task compares one part with another and hands on a forest
+    of the links between labels, never their pairs.
     """
-    size = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    sized = candidates.join(size, "label")
-    visits = tb.checkpointed(_visits(sized, n_buckets, percent))
-    parts = visits.groupBy(F.col("to").alias("label")).agg(F.count(F.lit(1)).alias("n")).join(size, "label").select("label", F.ceil(F.col("size") / MEMBERS).cast("int").alias("m"), F.ceil(F.col("n") / VISITORS).cast("int").alias("v"))
-    part = lambda c: F.pmod(F.xxhash64("row"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    data = candidates.select("row", "label", "n", "elsewhere", "k", "prefix")
-    members = data.join(parts, "label").select("label", part("m").alias("mine"), every("v").alias("theirs"), F.lit(False).alias("visits"), "row", "n", "elsewhere", "k", "prefix")
-    guests = visits.select("row", F.col("to").alias("label")).join(parts, "label").select("label", every("m").alias("mine"), part("v").alias("theirs"), "row")
-    guests = guests.join(data.drop("label"), "row").select("label", "mine", "theirs", F.lit(True).alias("visits"), "row", "n", "elsewhere", "k", "prefix")
+    size = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens_in"))
+    sized = written(labelled.join(size, "label"))
+    postings = _postings(candidates.select("row", "prefix").join(sized, "row"))
+    small = F.col("size") < LARGE
+    tokens = written(postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(small).alias("few"), F.sum(F.when(small, F.col("n")).otherwise(0)).alias("few_tokens")).where("low <> high").select("token", "few", "few_tokens"))
+    mixed = written(postings.join(tokens, "token"))
+    ceil = lambda rows, held: F.greatest(F.ceil(F.col(rows) / PART_ROWS), F.ceil(F.col(held) / PART_TOKENS)).cast("int")
+    part = lambda parts: F.pmod(F.xxhash64("row"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    # visits of larger labels, which a member of fitting size might answer
+    order = lambda t: F.struct(f"{t}.size", f"{t}.label")
+    hosts = mixed.where(~small).groupBy("token", "label", "size").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    fits = (F.col("shortest") * percent <= F.col("x.n") * 100) & (F.col("x.n") * percent <= F.col("longest") * 100)
+    met = mixed.alias("x").join(hosts.alias("h"), "token").where((order("x") < order("h")) & fits)
+    visits = written(met.select(F.col("x.row").alias("row"), F.col("x.n").alias("n"), F.col("h.label").alias("label")).distinct())
+    come = visits.groupBy("label").agg(F.count(F.lit(1)).alias("guests"), F.sum("n").alias("guest_tokens"))
+    parts = come.join(size, "label").select("label", ceil("size", "tokens_in").alias("m"), ceil("guests", "guest_tokens").alias("v"))
+    where = ["kind", "key", "mine", "theirs", "side", "row"]
+    members = labelled.select("row", "label").join(parts, "label").select(F.lit(0).alias("kind"), F.col("label").alias("key"), part("m").alias("mine"), every("v").alias("theirs"), F.lit(0).alias("side"), "row")
+    guests = visits.select("row", "label").join(parts, "label").select(F.lit(0).alias("kind"), F.col("label").alias("key"), every("m").alias("mine"), part("v").alias("theirs"), F.lit(1).alias("side"), "row")
+
+    # small labels in one token; only those that may link with one of another label go on
+    holders = mixed.where(small & (F.col("few") > 2 * FEW)).withColumn("parts", ceil("few", "few_tokens")).withColumn("own", part("parts")).withColumn("other", every("parts"))
+    dealt = holders.select(F.lit(1).alias("kind"), F.col("token").alias("key"), F.least("own", "other").alias("mine"), F.greatest("own", "other").alias("theirs"), (F.col("own") > F.col("other")).cast("int").alias("side"), "row", "label", "n", "elsewhere", "place", "k")
+    cells = written(dealt.groupBy("kind", "key", "mine", "theirs").applyInArrow(lambda t: _active(t, percent), CELL))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        come = table["visits"]
-        a, b = _met(table.filter(pa.compute.invert(come)), table.filter(come), percent) if pa.compute.any(come).as_py() and not pa.compute.all(come).as_py() else (np.zeros(0, np.int64),) * 2
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = _links_between(*_sides(table), percent)
+        return pa.table([pa.array(a), pa.array(b)], schema=schema)
 
-    return members.unionByName(guests).groupBy("label", "mine", "theirs").applyInArrow(run, "a long, b long").distinct()
+    # whole sets are read for the rows that meet others only
+    meetings = written(members.select(*where).unionByName(guests.select(*where)).unionByName(cells.where("kind = 1").select(*where)))
+    data = candidates.select("row", "prefix", "tokens").join(written(meetings.select("row").distinct()), "row", "left_semi").join(sized.select("row", "label", "n", "elsewhere", "k"), "row")
+    found = meetings.join(data, "row").groupBy("kind", "key", "mine", "theirs").applyInArrow(compare, "a long, b long")
+    few = mixed.where(small & (F.col("few") <= 2 * FEW))
+    few = _meetings(few.alias("x").join(few.alias("y"), "token").where("x.row < y.row AND x.label <> y.label"), percent)
+    pairs = _enough(few.unionByName(cells.where("kind = 2").select(F.col("row").alias("a"), F.col("other").alias("b"), "least")))
+    name = labelled.select("row", "label")
+    near = _verified(pairs, candidates, percent, written).join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return written(found.unionByName(near).distinct())
 
 
-def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, candidates: DataFrame, percent: int, written: tb.Written) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
+    pairs = written(pairs.select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,29 +399,26 @@ def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFram
                 ok[i] = 100 * shared >= percent * (len(both) - shared)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok))
 
-    sets = candidates.select("row", "tokens")
-    both = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    rows = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    sets = candidates.select("row", "tokens").join(rows, "row", "left_semi")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return both.mapInArrow(run, "a long, b long")
 
 
 def _grouped(blocks: tb.Blocks, percent: int, size: int) -> DataFrame:
     """row, doc_id, h, n and group for each document; row is block and place in it, group the number of one of its rows."""
-    signed = tb.checkpointed(signatures(blocks, size, percent))
+    written = tb.Written(blocks.docs)
+    signed = written(signatures(blocks, size, percent))
     candidates = signed.where("prefix is not null")
-    total = candidates.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    n_buckets = blocks.groups(total * POSTING.itemsize / 12)
-    labelled, links = candidates.withColumn("label", F.col("row")), None
-    for pivots in ("cleanest", "least"):
-        near = _pivot_pairs(labelled, n_buckets, percent, pivots)
-        # one pivot for each document, the one that shares most; both ends may play that part
-        ends = near.select(F.col("a").alias("row"), F.col("b").alias("other"), "shared").unionByName(near.select(F.col("b").alias("row"), F.col("a").alias("other"), "shared"))
-        best = ends.groupBy("row").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
-        chosen = best.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
-        found = tb.checkpointed(_verified(chosen, candidates, percent))
-        links = found if links is None else links.unionByName(found)
-        labelled = candidates.join(components(links).withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    rest = tb.checkpointed(_verified(_pairs_across(labelled, n_buckets, percent), candidates, percent))
-    groups = components(links.unionByName(rest)).toDF("stands_for", "group")
+    near = _pivot_pairs(candidates, percent)
+    # one pivot for each document, the one that shares most; both ends may play that part
+    ends = near.select(F.col("a").alias("row"), F.col("b").alias("other"), "shared").unionByName(near.select(F.col("b").alias("row"), F.col("a").alias("other"), "shared"))
+    best = ends.groupBy("row").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+    chosen = best.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+    first = components(_verified(chosen, candidates, percent, written)).toDF("row", "label")
+    labelled = written(candidates.select("row", "doc_id", "n", "elsewhere", "k").join(first, "row", "left").withColumn("label", F.coalesce("label", "row")))
+    joined = components(_label_links(candidates, labelled, percent, written)).toDF("label", "group")
+    groups = labelled.select("row", "label").join(joined, "label", "left").select(F.col("row").alias("stands_for"), F.coalesce("group", "label").alias("group"))
     rows = signed.select("row", "doc_id", "h", "h2", "owned", "n", "stands_for")
     # a copy whose text another block owns stands where the owner's copies stand
     elsewhere = rows.where("not owned").select("h", "h2").distinct()

@@ -46,14 +46,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class Written:
-    """Tables written in the shared folder; unlike checkpoints they carry no derived predicates from round to round."""
+    """Tables written in the shared folder; unlike checkpoints they carry no derived predicates from round to round.
+
+    Their rows may hold long packed arrays, so few of them go to Python at once.
+    """
 
     def __init__(self, df: DataFrame):
         self.top, self.n = f"{shared_folder(df)}/tables-{uuid.uuid4().hex}", 0
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        df.write.parquet(f"{self.top}/{self.n}")
+        conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(rows)
+        conf.set(rows, "500")
+        try:
+            df.write.option("parquet.block.size", 16 * MEGABYTE).parquet(f"{self.top}/{self.n}")
+        finally:
+            conf.set(rows, before)
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.top}/{self.n}")
 
     def forget(self, spark) -> None:

@@ -73,16 +73,43 @@ def test_components(spark):
     assert got == {x: top(x) for x in list(parent)}
 
 
-def test_parts_of_groups_meet(spark, monkeypatch):
-    """The same links, however finely members and visitors are dealt."""
-    texts = near_copies(5, n=40)
+@pytest.mark.parametrize("large,few,part", [(2, 16, 3), (8, 1, 1000), (1000, 0.4, 7)])
+def test_parts_of_groups_meet(spark, monkeypatch, large, few, part):
+    """The same links, however labels, tokens, members and visitors are dealt."""
+    texts = near_copies(5, n=40) + loose_copies(6)
     rows = list(enumerate(texts))
-    monkeypatch.setattr(J, "MEMBERS", 3)
-    monkeypatch.setattr(J, "VISITORS", 2)
+    monkeypatch.setattr(J, "LARGE", large)
+    monkeypatch.setattr(J, "FEW", few)
+    monkeypatch.setattr(J, "PART_ROWS", part)
+    monkeypatch.setattr(J, "DENSE", part)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.linked_groups(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == sorted(brute.linked(rows))
 
 
+def loose_copies(seed, n=60, words=70):
+    """Copies of a text that is not there itself: most of them link with few others or none."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        t = [f"l{k}" for k in range(words)]
+        for _ in range(2):
+            t[rnd.randrange(words)] = f"x{rnd.randrange(6)}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_no_table_of_pairs_grows_with_a_group(spark, monkeypatch):
+    """Links that tasks hand on: fewer than labels for each place where they meet, whatever the group's size."""
+    made = []
+    joined = J._label_links
+    monkeypatch.setattr(J, "_label_links", lambda *a: made.append(joined(*a)) or made[-1])
+    for n in (100, 400):
+        texts = loose_copies(7, n)
+        got = {r.doc_id: r.component_id for r in J.linked_groups(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+        assert got == {i: c for i, _, c in brute.linked(list(enumerate(texts)))}
+    assert all(links.count() < 4 * n for n, links in zip((100, 400), made))
+
+
 def test_equal_sets_of_texts_that_other_blocks_own(spark, monkeypatch):
     """Copies of a text in many blocks, and variants with the same shingles in each of them."""
     monkeypatch.setattr(J.tb, "MEGABYTE", 4000)
