@@ -244,7 +244,7 @@ class Encoder:
         return self.ids[tb.ranges(self.place[number], n)], ends[np.concatenate(([0], np.cumsum(counts)))]
 
 
-def _slices(table: pa.RecordBatch, column: str, limit: int = 4 * tb.MEGABYTE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _slices(table: pa.RecordBatch, column: str, limit: int = tb.MEGABYTE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows with about `limit` bytes of text."""
     texts = tb.texts_of(table[column])
     for a, b, _ in texts.chunks(limit):
