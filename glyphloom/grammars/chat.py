@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pattern and replacement.
-PATTERNS = ((r"\Apl+z+\z", "please"), (r"\Al+o+l+\z", "laughing out loud"), (r"\A(ha){2,}h?\z", "ha ha"), (r"\Ath?x+\z", "thanks"), (r"\Agr8\z", "great"), (r"\Al8r\z", "later"), (r"\Ab4\z", "before"))
+#: Pattern and replacement (fixed values).
+PATTERNS = ((r"\Apl+z+\z", "please"), (r"\Al+o+l+\z", "laughing out loud"), (r"\A(ha){2,}h?\z", "ha ha"), (r"\Ath?x+\z", "thanks"), (r"\Agr8\z", "great"), (r"\Al8r\z", "later"), (r"\Ab4\z", "before"), (r"\Adelish+\z", "delicious"), (r"\Akoo+l\z", "cool"), (r"\Az?omg+z*\z", "oh my god"))
 
 
 def without_doubles(word: Column) -> Column:
@@ -29,6 +29,13 @@ def skeleton(word: Column) -> Column:
     return F.concat(F.substring(word, 1, 1), F.regexp_replace(F.substring(word, 2, 1_000_000), "[aeiou]", ""))
 
 
+def shortened(word: Column) -> Column:
+    """What abbreviations of a word look like: r, l or n left out after a vowel, then spans of vowels between consonants."""
+    less = F.regexp_replace(word, "(?<=[aeiou])[rln](?=[^aeiourln])", "")
+    spans = lambda w: F.regexp_replace(w, "(?<=[^aeiou])[aeiou]+y?(?=[^aeiou]|$)", "")
+    return F.array_distinct(F.array(spans(word), spans(less), skeleton(word)))
+
+
 def candidates(tokens: DataFrame, token: str, lexicon: DataFrame, word: str, expansions: DataFrame | None = None) -> DataFrame:
     """(token, ostring, weight): distinct tokens' candidates; a token that the lexicon holds costs nothing, other sources 1."""
     own = tokens.select(F.col(token).alias("token")).where("token is not null").distinct()
@@ -36,7 +43,8 @@ def candidates(tokens: DataFrame, token: str, lexicon: DataFrame, word: str, exp
     same = own.join(words, F.col("token") == F.col("word")).select("token", F.col("word").alias("ostring"), F.lit(0.0).alias("weight"))
     short = own.withColumn("key", F.explode(F.array_distinct(F.array(without_doubles(F.col("token")), with_doubles_at_most_two(F.col("token"))))))
     single = short.where("key <> token").join(words, F.col("key") == F.col("word")).select("token", F.col("word").alias("ostring"), F.lit(1.0).alias("weight"))
-    vowels = own.where(F.length("token") >= 2).join(words.withColumn("key", skeleton(F.col("word"))), (F.col("token") == F.col("key")) & (F.col("token") != F.col("word"))).select("token", F.col("word").alias("ostring"), F.lit(1.0).alias("weight"))
+    unknown = own.where(F.length("token") >= 2).join(words, F.col("token") == F.col("word"), "left_anti")
+    vowels = unknown.join(words.where(F.length("word") >= 3).withColumn("key", F.explode(shortened(F.col("word")))), (F.col("token") == F.col("key")) & (F.col("token") != F.col("word"))).select("token", F.col("word").alias("ostring"), F.lit(1.0).alias("weight"))
     hit = F.array_compact(F.array(*[F.when(F.col("token").rlike(p), F.lit(r)) for p, r in PATTERNS]))
     pattern = own.select("token", F.explode(hit).alias("ostring"), F.lit(1.0).alias("weight"))
     parts = [same, single, vowels, pattern]
@@ -77,7 +85,11 @@ def best_sentences(texts: DataFrame, column: str, found: DataFrame, model: DataF
     Candidates are joined to the exploded tokens, pairs of neighbours to the model, and each
     row's lattice is solved by one aggregate over its positions.
     """
-    rows = texts.withColumn("_row", F.monotonically_increasing_id())
+    # rows alike in all columns get one answer; the key is their content, so a row computed again keeps it
+    content = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in texts.columns])))
+    second = F.xxhash64(F.lit(7), F.to_json(F.struct(*[F.col(f"`{c}`") for c in texts.columns])))
+    keyed = texts.withColumn("_row", F.struct(content.alias("a"), second.alias("b")))
+    rows = keyed.dropDuplicates(["_row"])
     tokens = F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}']+"), lambda t: t != "")
     placed = rows.select("_row", F.posexplode(tokens).alias("at", "token"))
     options = placed.join(found, "token").select("_row", "at", "ostring", "weight")
@@ -99,4 +111,4 @@ def best_sentences(texts: DataFrame, column: str, found: DataFrame, model: DataF
 
     ends = F.aggregate("steps", start, advance)
     text = F.array_min(F.transform(ends, lambda s: F.struct(s["total"].alias("total"), s["text"].alias("text"))))["text"]
-    return rows.join(ordered.select("_row", text.alias("normalized")), "_row", "left").drop("_row")
+    return keyed.join(ordered.select("_row", text.alias("normalized")), "_row", "left").drop("_row")

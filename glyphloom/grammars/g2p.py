@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LETTERS = "abcdefghijlmnñopqrstuvxyzáéíóúü"
+LETTERS = "abcdefghijklmnñopqrstuvwxyzáéíóúü"
 
-#: Pattern and sound, in order.
-RULES = (
-    ("ch", "tʃ"), ("ll", "ʝ"), ("(?<!\\A)(?<![lnsr])r(?!r)", "ɾ"), ("rr", "r"), ("qu(?=[eiéí])", "k"), ("g(?=[eiéí])|j", "x"), ("gu(?=[eiéí])", "g"),
-    ("c(?=[eiéí])|z", "s"), ("(?<!t)c", "k"), ("v", "b"), ("ñ", "ɲ"), ("y(?=[aeiouáéíóú])", "ʝ"), ("y\\z|y", "i"), ("h", ""), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("[úü]", "u"),
-)
+#: Letters and pairs that sound the same everywhere, longer ones first.
+PAIRS = (("ch", "tʃ"), ("ll", "ʝ"), ("qu", "k"))
+SINGLES = ("jñvxyáéíóúü", "xɲbsjaeiouw")
 
 
 def sounds(word: Column) -> Column:
-    out = F.lower(word)
-    for pattern, sound in RULES:
+    """Pairs and single letters, silent h, r between vowels, rr, soft c and g, hard c.
+
+    A tap needs vowels on both sides; the vowels may have lost their accents or an h by then.
+    """
+    out = word
+    for pair, sound in PAIRS:
+        out = F.replace(out, F.lit(pair), F.lit(sound))
+    out = F.translate(out, *SINGLES)
+    out = F.replace(out, F.lit("h"), F.lit(""))
+    for pattern, sound in (("(?<=[aeiou])r(?=[aeiou])", "ɾ"), ("rr", "r"), ("c(?=[ie])", "s"), ("g(?=[ie])", "x"), ("c", "k")):
         out = F.regexp_replace(out, pattern, sound)
-    return F.when(F.lower(word).rlike(rf"\A[{LETTERS}]+\z"), out)
+    return F.when(word.rlike(rf"\A[{LETTERS}]*\z"), out)

@@ -1,30 +1,35 @@
-"""English plurals: exceptions first, then rules by ending."""
+"""English plurals: a table of the caller's own first, then the nouns that change inside or not at all, then rules by ending."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXCEPTIONS = {"child": "children", "deer": "deer", "fish": "fish", "foot": "feet", "goose": "geese", "man": "men", "moose": "moose", "mouse": "mice", "ox": "oxen", "person": "people", "sheep": "sheep", "tooth": "teeth", "woman": "women"}
+# Nouns of closed classes, each with all of its common members.
+UNCHANGED = "aircraft bison cod deer fish means moose offspring salmon series sheep species swine trout".split()
+OTHER_VOWEL = {"foot": "feet", "goose": "geese", "louse": "lice", "man": "men", "mouse": "mice", "tooth": "teeth", "woman": "women"}
+OLD_ENDING = {"child": "children", "ox": "oxen", "person": "people"}
+VOICED = "calf elf half hoof knife leaf life loaf scarf self sheaf shelf thief wharf wife wolf".split()
+FOREIGN_ON = "criterion phenomenon".split()
 
 
 def by_rule(word: Column) -> Column:
-    """-ies after a consonant and y, -es after a hiss, else -s."""
+    """-ies after a consonant and y, -es for -is, -ves for voiced ends, -es after a hiss, else -s."""
     return (
-        F.when(word.rlike(r"[^aeiou]y\z"), F.concat(F.regexp_replace(word, r"y\z", ""), F.lit("ies")))
+        F.when(word.rlike(r"([^aeiou]|qu)y\z"), F.concat(F.regexp_replace(word, r"y\z", ""), F.lit("ies")))
+        .when(word.rlike(r"[sx]is\z"), F.regexp_replace(word, r"is\z", "es"))
+        .when(word.isin(*VOICED), F.concat(F.regexp_replace(word, r"fe?\z", ""), F.lit("ves")))
+        .when(word.isin(*FOREIGN_ON), F.regexp_replace(word, r"on\z", "a"))
         .when(word.rlike(r"(s|x|z|ch|sh)\z"), F.concat(word, F.lit("es")))
-        .when(word.rlike(r"[^f]fe?\z") & word.isin("leaf", "loaf", "thief", "wolf", "knife", "life", "wife", "half", "shelf", "calf"), F.concat(F.regexp_replace(word, r"fe?\z", ""), F.lit("ves")))
         .otherwise(F.concat(word, F.lit("s")))
     )
 
 
 def plural(word: Column, exceptions: dict[str, str] | None = None) -> Column:
-    """Priority union of the exceptions and the rules."""
-    table = EXCEPTIONS if exceptions is None else exceptions
-    if not table:
-        return by_rule(word)
-    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.coalesce(F.element_at(known, word), by_rule(word))
+    """Priority union: the caller's exceptions, the closed classes, the rules."""
+    known = {w: w for w in UNCHANGED} | OTHER_VOWEL | OLD_ENDING | (exceptions or {})
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.element_at(table, word), by_rule(word))
 
 
 def singular_count(n: Column, word: Column) -> Column:
