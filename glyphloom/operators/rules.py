@@ -61,6 +61,40 @@ class Acceptor:
         return self.accepts(states)
 
 
+def writing_cycles(m: Machine) -> frozenset[int]:
+    """States where a cycle that reads nothing and writes something begins."""
+    silent = {s: [a for a in m.arcs[s] if a.ilabel == EPSILON] for s in m.states()}
+
+    def reaches(s: int, goal: int) -> bool:
+        seen, todo = {s}, [s]
+        while todo:
+            t = todo.pop()
+            if t == goal:
+                return True
+            for a in silent[t]:
+                if a.to not in seen:
+                    seen.add(a.to)
+                    todo.append(a.to)
+        return False
+
+    return frozenset(s for s, arcs in silent.items() for a in arcs if a.olabel and reaches(a.to, s))
+
+
+def _completes(m: Machine, s: int, x, j: int, ends) -> bool:
+    """Whether a walk from state s at place j of x gets to a final state at a place where ends(place)."""
+    seen, todo = {(s, j)}, [(s, j)]
+    while todo:
+        s, j = todo.pop()
+        if s in m.finals and ends(j):
+            return True
+        for a in m.arcs[s]:
+            k = j if a.ilabel == EPSILON else j + 1
+            if (k == j or j < len(x) and x[j] == a.ilabel) and (a.to, k) not in seen:
+                seen.add((a.to, k))
+                todo.append((a.to, k))
+    return False
+
+
 def _reversed(m: Machine) -> Machine:
     return reverse(m)
 
@@ -96,6 +130,10 @@ class RewriteRule:
     def _tau(self) -> Machine:
         return rmepsilon(_reversed(self.tau) if self._backward else self.tau)
 
+    @cached_property
+    def _endless(self) -> frozenset[int]:
+        return writing_cycles(self._tau)
+
     @cached_property
     def _before(self) -> Acceptor:
         return Acceptor(_reversed(self.right) if self._backward else self.left)
@@ -109,7 +147,7 @@ class RewriteRule:
         return Acceptor(self.sigma_star)
 
     def __getstate__(self):
-        _ = self._tau, self._before, self._after, self._sigma, self._backward
+        _ = self._tau, self._endless, self._before, self._after, self._sigma, self._backward
         return self.__dict__
 
     def __setstate__(self, state):
@@ -127,7 +165,11 @@ class RewriteRule:
         seen: dict[tuple, float] = {}
         while todo:
             s, j, out, w = todo.pop()
-            if len(out) > 4 * len(x) + 64 or seen.get((s, j, out), INFINITY) <= w:
+            if seen.get((s, j, out), INFINITY) <= w:
+                continue
+            if s in self._endless:
+                if _completes(tau, s, x, j, lambda k: after_ok[k]):
+                    raise RewriteError("a rule writes without end")
                 continue
             seen[s, j, out] = w
             if s in tau.finals and after_ok[j]:
@@ -240,7 +282,7 @@ class _Lattice:
     """Composition of one string with a machine, walked without building the product."""
 
     def __init__(self, m: Machine):
-        self.m = m
+        self.m, self.endless = m, writing_cycles(m)
 
     def outputs(self, labels) -> dict[tuple[int, ...], float]:
         m, n = self.m, len(labels)
@@ -252,6 +294,10 @@ class _Lattice:
             key = todo.pop()
             i, s, out = key
             w = best[key]
+            if s in self.endless:
+                if _completes(m, s, labels, i, lambda k: k == n):
+                    raise RewriteError("endless outputs")
+                continue
             if i == n and s in m.finals:
                 result[out] = min(result.get(out, INFINITY), w + m.finals[s])
             for a in m.arcs[s]:
@@ -261,8 +307,8 @@ class _Lattice:
                     to = (i + 1, a.to, out + ((a.olabel,) if a.olabel else ()))
                 else:
                     continue
-                if len(to[2]) > 16 * n + 256 or len(best) > 100 * MOST_OUTPUTS:
-                    raise RewriteError("endless outputs")
+                if len(best) > 100 * MOST_OUTPUTS:
+                    raise RewriteError(f"more than {100 * MOST_OUTPUTS} partial outputs")
                 if w + a.weight < best.get(to, INFINITY) - 1e-12:
                     best[to] = w + a.weight
                     todo.append(to)

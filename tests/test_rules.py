@@ -9,7 +9,7 @@ from glyphloom.errors import ArgumentError, RewriteError
 from glyphloom.functions import native
 from glyphloom.operators import rules as R
 from glyphloom.operators.apply import candidates_of, exploded, register, rewrite
-from glyphloom.operators.machine import accep, closure, cross, machine, string_map, union
+from glyphloom.operators.machine import accep, closure, concat, cross, machine, string_map, union
 from glyphloom.plans.choose import LiteralRule, apply_rules
 
 AB = closure(union("a", "b", "c"))
@@ -152,3 +152,16 @@ def test_cascade():
         c.set_rules(["none"])
     c.set_rules(["one", "two", "three"])
     assert c.one_top_rewrite("ab") == "ac" and c.matches("ab", "ac") and c.rewrites("ab") == ["ac"] and c.top_rewrites("ab", 1) == ["ac"] and c.optimal_rewrites("ab") == ["ac"] and c.top_rewrite("ab") == "ac"
+
+
+def test_long_outputs_and_endless_ones():
+    sigma = closure(union(*"abc"))
+    for n in (70, 1000):
+        assert R.cdrewrite(cross("a", "b" * n), "", "", sigma).candidates("a") == [("b" * n, 0.0)]
+    assert R.rewrites("c", concat(cross("c", "d" * 900), cross("", "e"))) == ["d" * 900 + "e"]
+    endless = R.cdrewrite(concat(cross("a", "b"), closure(cross("", "c"), 0, 0)), "", "", sigma)
+    with pytest.raises(RewriteError):
+        R.rewrites("a", endless)
+    assert endless.candidates("b") == [("b", 0.0)]
+    with pytest.raises(RewriteError):
+        R.rewrites("a", concat("a", closure(cross("", "c"))))
