@@ -143,7 +143,7 @@ class ArcTable:
         return self._with(arcs=joined.select("src", pick("ilabel"), pick("olabel"), pick("weight"), "dst"))
 
     def arc_sum(self) -> ArcTable:
-        return self._with(arcs=self.arcs.groupBy("src", "ilabel", "olabel", "dst").agg(self.semiring.sum_column(F.col("weight")).alias("weight")))
+        return self._with(arcs=self.semiring.sums(self.arcs, ["src", "ilabel", "olabel", "dst"]))
 
     def arc_unique(self) -> ArcTable:
         return self._with(arcs=self.arcs.distinct())
@@ -238,11 +238,11 @@ class ArcTable:
             raise OperationError("sums over the paths of a cyclic table do not end")
         total, now = start, start
         for _ in range(most):
-            found = now.join(steps, now["state"] == steps["u"]).groupBy(F.col("v").alias("state")).agg(self.semiring.sum_column(F.col("distance") + F.col("w")).alias("distance"))
+            found = self.semiring.sums(now.join(steps, now["state"] == steps["u"]).select(F.col("v").alias("state"), (F.col("distance") + F.col("w")).alias("distance")), ["state"], "distance")
             now = _barrier(found, ["state"])
             if now.isEmpty():
                 return total
-            total = checkpointed(total.unionByName(now).groupBy("state").agg(self.semiring.sum_column(F.col("distance")).alias("distance")))
+            total = checkpointed(self.semiring.sums(total.unionByName(now), ["state"], "distance"))
         raise OperationError("distances do not converge")
 
     def rmepsilon(self, most: int = 10_000) -> ArcTable:

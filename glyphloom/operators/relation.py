@@ -20,9 +20,9 @@ MOST_LITERALS = 50_000
 class Relation:
     """An immutable weighted relation; equal pairs may occur in several rows until `merged`."""
 
-    def __init__(self, df: DataFrame, ring: Semiring | str = TROPICAL, bounded: bool = False):
+    def __init__(self, df: DataFrame, ring: Semiring | str = TROPICAL, bounded: bool | int = False):
         self.df = df.select("istring", "ostring", F.col("weight").cast("double").alias("weight"))
-        self.semiring, self.bounded = semiring(ring), bounded
+        self.semiring, self.most = semiring(ring), MOST_LITERALS if bounded is True else int(bounded)
 
     # -- sources
 
@@ -36,7 +36,7 @@ class Relation:
             if not 1 <= len(r) <= 3:
                 raise ArgumentError("a row has one to three fields")
             made.append((r[0], r[1] if len(r) > 1 else r[0], ring.weight(r[2] if len(r) > 2 else None)))
-        return cls(spark.createDataFrame(made, SCHEMA), ring, bounded=len(made) <= MOST_LITERALS).merged()
+        return cls(spark.createDataFrame(made, SCHEMA), ring, bounded=len(made) if len(made) <= MOST_LITERALS else 0).merged()
 
     @classmethod
     def of_column(cls, df: DataFrame, column: str, ring: Semiring | str = TROPICAL, weight: float | None = None) -> Relation:
@@ -44,8 +44,17 @@ class Relation:
         w = semiring(ring).weight(weight)
         return cls(df.where(F.col(column).isNotNull()).select(F.col(column).alias("istring"), F.col(column).alias("ostring"), F.lit(w).alias("weight")), ring)
 
-    def _with(self, df: DataFrame, *others: Relation) -> Relation:
-        return Relation(df, self.semiring, self.bounded and all(o.bounded for o in others))
+    def _with(self, df: DataFrame, *others: Relation, added: bool = False) -> Relation:
+        """With the rows of all added, or of at most their product."""
+        most = self.most
+        for o in others:
+            most = (most + o.most if added else most * o.most) if most and o.most else 0
+        return Relation(df, self.semiring, most if most <= MOST_LITERALS else 0)
+
+    @property
+    def bounded(self) -> bool:
+        """Made of literals, at most MOST_LITERALS rows of them."""
+        return self.most > 0
 
     def _side(self) -> DataFrame:
         return F.broadcast(self.df) if self.bounded else self.df
@@ -54,14 +63,14 @@ class Relation:
 
     def merged(self) -> Relation:
         """One row a pair: weights of equal pairs added."""
-        return self._with(self.df.groupBy("istring", "ostring").agg(self.semiring.sum_column(F.col("weight")).alias("weight")))
+        return self._with(self.semiring.sums(self.df, ["istring", "ostring"]))
 
     def union(self, *others: Relation) -> Relation:
         same(self, *others)
         df = self.df
         for o in others:
             df = df.unionByName(o.df)
-        return self._with(df, *others)
+        return self._with(df, *others, added=True)
 
     # -- sides
 
@@ -120,19 +129,17 @@ class Relation:
         """This relation, and the other's rows for inputs that this one lacks."""
         same(self, other)
         mine = self._side().select(F.col("istring").alias("have"))
-        return self._with(self.df.unionByName(other.df.join(mine, F.col("istring") == F.col("have"), "left_anti")), other)
+        return self._with(self.df.unionByName(other.df.join(mine, F.col("istring") == F.col("have"), "left_anti")), other, added=True)
 
     def cross(self, other: Relation) -> Relation:
-        """Every string of one with every string of the other; the other is a bounded literal."""
+        """Every string of one with every string of the other; as many rows as the product, so the other is mostly small."""
         same(self, other)
-        other._must_be_bounded("cross")
         right = other._side().select(F.col("istring").alias("out"), F.col("weight").alias("w"))
         return self._with(self.df.crossJoin(right).select("istring", F.col("out").alias("ostring"), (F.col("weight") + F.col("w")).alias("weight")), other)
 
     def concat(self, other: Relation) -> Relation:
-        """Both sides of every pair appended; the other is a bounded literal."""
+        """Both sides of every pair with every pair of the other appended; as many rows as the product."""
         same(self, other)
-        other._must_be_bounded("concat")
         right = other._side().toDF("i2", "o2", "w2")
         return self._with(self.df.crossJoin(right).select(F.concat("istring", "i2").alias("istring"), F.concat("ostring", "o2").alias("ostring"), (F.col("weight") + F.col("w2")).alias("weight")), other)
 
@@ -178,12 +185,13 @@ class Relation:
 
     def total(self) -> DataFrame:
         """The added weight of all rows."""
-        return self.df.agg(self.semiring.sum_column(F.col("weight")).alias("weight"))
+        return self.semiring.sums(self.df.select("weight"), [])
 
     def disambiguate(self) -> Relation:
         """One output an input: the best, with the added weight of all."""
         s = self.semiring
-        return self._with(self.df.groupBy("istring").agg(F.min_by("ostring", F.struct("weight", "ostring")).alias("ostring"), s.sum_column(F.col("weight")).alias("weight")))
+        first = self.df.groupBy(F.col("istring").alias("i")).agg(F.min_by("ostring", F.struct("weight", "ostring")).alias("ostring"))
+        return self._with(s.sums(self.df, ["istring"]).join(first, F.col("istring").eqNullSafe(F.col("i"))).select("istring", "ostring", "weight"))
 
     # -- tests
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import ArgumentError, WeightError, OperationError
 
 INFINITY = math.inf
+#: Log weights of one mass differ by less, so that their exponentials stay in range.
+SPAN = 512.0
 DELTA = 1 / 1024
 FINE_DELTA = 1e-6
 
@@ -88,19 +90,22 @@ class Semiring:
     def power_columns(self, a: Column, n: Column) -> Column:
         return F.when(n == 0, F.lit(0.0)).when(a == INFINITY, F.lit(INFINITY)).otherwise(a * n)
 
-    def sum_column(self, w: Column) -> Column:
-        """Aggregate of the weights of a group; exact partial sums, so it combines before a shuffle."""
-        if self.has_best_path:
-            return F.min(w)
-        # -log(sum(exp(-w))), scaled by the group's least weight in one pass over a small state
-        state = F.struct(F.lit(INFINITY).alias("low"), F.lit(0.0).alias("mass"))
-
-        def join(s: Column, x: Column) -> Column:
-            low = F.least(s["low"], x)
-            mass = F.when(low == INFINITY, 0.0).otherwise(F.when(s["low"] == INFINITY, 0.0).otherwise(s["mass"] * F.exp(low - s["low"])) + F.when(x == INFINITY, 0.0).otherwise(F.exp(low - x)))
-            return F.struct(low.alias("low"), mass.alias("mass"))
+    def sums(self, df: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
+        """keys and the sum of each group's weights.
 
-        return F.aggregate(F.array_sort(F.collect_list(w)), state, join, lambda s: F.when(s["mass"] > 0, s["low"] - F.log(s["mass"])).otherwise(F.lit(INFINITY)))
+        Log weights are added as masses, relative to the multiple of SPAN below them, which
+        combine before the shuffle; a group then has one row for each multiple that occurs.
+        """
+        w = F.col(weight)
+        if self.has_best_path:
+            return df.groupBy(*keys).agg(F.min(w).alias(weight))
+        levelled = df.select(*keys, weight, F.when(w < INFINITY, F.floor(w / SPAN)).alias("_level"))
+        masses = levelled.groupBy(*keys, "_level").agg(F.sum(F.exp(F.col("_level") * SPAN - w)).alias("_mass"))
+        levels = F.array_sort(F.collect_list(F.when(F.col("_level").isNotNull(), F.struct("_level", "_mass"))))
+        low = F.col("_levels")[0]["_level"]
+        total = F.aggregate("_levels", F.lit(0.0), lambda t, x: t + x["_mass"] * F.exp((low - x["_level"]) * SPAN))
+        summed = masses.groupBy(*keys).agg(levels.alias("_levels"))
+        return summed.select(*keys, F.when(F.size("_levels") > 0, low * SPAN - F.log(total)).otherwise(F.lit(INFINITY)).alias(weight))
 
 
 TROPICAL, LOG, LOG64 = Semiring("tropical"), Semiring("log"), Semiring("log64")

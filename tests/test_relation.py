@@ -68,8 +68,11 @@ def test_weights_and_errors(spark):
         a.closure(3, 2)
     with pytest.raises(OperationError):
         a.string()
+    table = Relation(spark.range(3).selectExpr("cast(id as string) istring", "'x' ostring", "0.0 weight"))
+    assert rows(a.project("input").optimal().cross(table)).keys() == {(i, o) for i in "xw" for o in "012"} and not a.cross(table).bounded
+    assert rows(Relation.of_rows(spark, ["q"]).concat(table)).keys() == {(f"q{k}", "qx") for k in range(3)}
     with pytest.raises(OperationError):
-        a.cross(Relation(spark.range(3).selectExpr("cast(id as string) istring", "'x' ostring", "0.0 weight")))
+        table.closure(1, 2)
     assert Relation.of_rows(spark, [("x", "y")]).string() == "y"
     assert a.matches(spark.createDataFrame([("x", "y"), ("x", "q")], "istring string, ostring string")).count() == 1
     assert a.randgen(2, seed=1).df.count() == 2
@@ -170,3 +173,19 @@ def test_rounds_that_run_out_are_an_error(spark):
             short()
     assert [r.weight for r in chain.paths().collect()] == [5.0]
     assert chain.rmepsilon().states.where("state = 0").first().final_weight == 5.0
+
+
+def test_log_sums_of_far_weights(spark):
+    import math
+
+    rows = [("a", "a", -900.0), ("a", "a", -900.0), ("a", "a", 900.0), ("b", "b", 1e5), ("b", "b", 1e5 + 1), ("c", "c", math.inf), ("d", "d", 511.9), ("d", "d", 512.1)]
+    x = Relation(spark.createDataFrame(rows, "istring string, ostring string, weight double"), "log")
+    got = {r.istring: r.weight for r in x.merged().df.collect()}
+    want = {"a": -900 - math.log(2), "b": 1e5 - math.log1p(math.exp(-1)), "c": math.inf, "d": 511.9 - math.log1p(math.exp(-0.2))}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert "partial_sum" in x.merged().df._jdf.queryExecution().toString()
+
+
+def test_bounds_multiply(spark):
+    a = Relation.of_rows(spark, [str(k) for k in range(300)])
+    assert a.bounded and not a.cross(a).bounded and a.union(a).bounded
