@@ -347,10 +347,11 @@ def number_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", numbers.number_name(F.col("o_orderkey")).alias("name"))
 
 
-@query("SELECT o_orderkey, 'due ' || strftime(o_orderdate, '<date><year>%Y</year><month>%m</month><day>%d</day></date>') || ', or <date><month>' || month(o_orderdate) || '</month><day>' || day(o_orderdate) || '</day><year>' || year(o_orderdate) || '</year></date>.' AS tagged FROM orders")
+@query("SELECT o_orderkey, 'due <date><year>' || year(o_orderdate) || '</year><month>' || month(o_orderdate) || '</month><day>' || day(o_orderdate) || '</day></date>, or <date><day>' || day(o_orderdate) || '</day><month>' || month(o_orderdate) || '</month><year>' || year(o_orderdate) || '</year></date>.' AS tagged FROM orders")
 def date_tag(spark, sf_dir):
+    """Dates in numbers: year first, or day first."""
     d = F.col("o_orderdate")
-    text = F.concat(F.lit("due "), F.date_format(d, "yyyy-MM-dd"), F.lit(", or "), F.concat_ws("/", F.month(d), F.dayofmonth(d), F.year(d)), F.lit("."))
+    text = F.concat(F.lit("due "), F.concat_ws("/", F.year(d), F.month(d), F.dayofmonth(d)), F.lit(", or "), F.concat_ws("/", F.dayofmonth(d), F.month(d), F.year(d)), F.lit("."))
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.tag_dates(text).alias("tagged"))
 
 
@@ -505,3 +506,6 @@ def arc_sums(spark, sf_dir):
     """Equal arcs added in the log semiring, as counts."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("istring"), F.col("event_type").alias("ostring"), F.lit(0.0).alias("weight"))
     return Relation(e, "log").merged().df.select("istring", "ostring", F.round(F.exp(-F.col("weight"))).cast("long").alias("n"))
+
+
+from . import algebra  # noqa: E402,F401  adds its queries to QUERIES and SQL
