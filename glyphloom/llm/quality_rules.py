@@ -2,13 +2,16 @@
 
 Each signal is a share in thousandths; a document is rejected where one reaches its
 cutoff.  Cutoffs are chosen for each stratum (a stated list of languages, and one for the
-rest) on labelled documents: a cutoff counts as safe if the exact binomial test rejects
-that it hits `risk` or more of the good documents, P[Bin(n, risk) <= k] <= delta / tests,
-where tests is the number of strata x signals x cutoffs (Bonferroni), and risk is the
-total share allowed divided by the number of signals.  With probability 1 - delta, no
-stratum loses more than the total share of its good documents.  Of the safe cutoffs the
-one that rejects most of the bad at little cost among the good is taken; without a safe
-and useful one (too few labels, say) the signal rejects nothing in that stratum.
+rest) on labelled documents, which a hash of their id splits in two.  The smaller part
+proposes: for each signal the cutoff that rejects most of the bad at little cost among the
+good, and an order of the signals, the most useful first.  The larger part tests the rule
+sets that this order builds up (the first signal, the first two, ...), each as a whole: a
+set is safe if the exact binomial test rejects that it hits `total_risk` or more of the
+good documents, P[Bin(n, total_risk) <= k] <= delta / strata.  The sets are nested and
+their order was fixed without the documents that test them, so they are tested one after
+the other, each at the full level, up to the first that is not safe; the strata share
+delta (Bonferroni).  With probability 1 - delta, no stratum loses more than `total_risk` of
+its good documents.  Without a safe set (too few labels, say) no signal rejects there.
 
 Base failures (few words, much repetition) are rules of their own and need no labels.
 
@@ -51,6 +54,9 @@ SIGNALS = {
 #: Cutoffs that are tried, in thousandths.
 CUTOFFS = (10, 20, 30, 50, 80, 120, 160, 200, 250, 300, 400, 500, 650, 800)
 
+#: First hex digits of md5(doc_id) of the labels that propose; the others test.
+PROPOSING = ("0", "1", "2", "3", "4")
+
 LANGUAGES = ("en", "fr", "de", "es")
 OTHER = "other"
 
@@ -133,13 +139,9 @@ class RiskControlledRules:
     max_repeat_percent: int = 50
     cutoffs: dict[str, dict[str, int]] = field(default_factory=dict)
 
-    @property
-    def risk(self) -> float:
-        return self.total_risk / len(SIGNALS)
-
     @property
     def level(self) -> float:
-        return self.delta / ((len(self.strata) + 1) * len(SIGNALS) * len(CUTOFFS))
+        return self.delta / (len(self.strata) + 1)
 
     def stratum(self, lang: Column) -> Column:
         return F.when(lang.isin(*self.strata), lang).otherwise(F.lit(OTHER))
@@ -153,31 +155,48 @@ class RiskControlledRules:
         what, whole = SIGNALS[signal]
         return (F.col(f"{of}{whole}") > 0) & (1000 * F.col(f"{of}{what}") >= cutoff * F.col(f"{of}{whole}"))
 
-    def tallies(self, counted: DataFrame, labels: DataFrame) -> DataFrame:
-        """One row a stratum: good and bad documents that pass the base rule, and how many of them each cutoff hits.
-
-        counted: doc_id, lang and COUNTS; all labelled documents are counted.
-        """
+    def labelled(self, counted: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labelled documents that pass the base rule: stratum, COUNTS, good, and whether they propose or test."""
         known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
+        proposes = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1).isin(*PROPOSING)
         both = counted.where(~self.base_failed()).join(known, "doc_id")
+        return both.select(self.stratum(F.col("lang")).alias("stratum"), *COUNTS, "good", proposes.alias("proposes"))
+
+    def proposals(self, labelled: DataFrame) -> dict[str, list[tuple[str, int]]]:
+        """By stratum: signals with their cutoffs, the most useful first; at most len(strata) + 1 rows of counts come to the driver."""
         hits = [F.count_if(self._reaches(s, c) & (F.col("good") == F.lit(g))).alias(f"{s}_{c}_{g}".lower()) for s in SIGNALS for c in CUTOFFS for g in (True, False)]
-        return both.groupBy(self.stratum(F.col("lang")).alias("stratum")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"), *hits)
+        out = {}
+        for row in labelled.where("proposes").groupBy("stratum").agg(*hits).collect():
+            best = []
+            for at, s in enumerate(SIGNALS):
+                worth, cutoff = max((row[f"{s}_{c}_false"] - self.cost * row[f"{s}_{c}_true"], c) for c in CUTOFFS)
+                if worth > 0:
+                    best.append((-worth, at, s, cutoff))
+            out[row["stratum"]] = [(s, c) for _, _, s, c in sorted(best)]
+        return out
+
+    def safe(self, hits: list[int], n: int) -> int:
+        """How many of the nested rule sets are safe, given how many of n good documents each hits."""
+        for done, k in enumerate(hits):
+            if at_most(k, n, self.total_risk) > self.level:
+                return done
+        return len(hits)
 
     def fit(self, counted: DataFrame, labels: DataFrame) -> RiskControlledRules:
-        """Rules with cutoffs; at most len(strata) + 1 rows of counts come to the driver."""
+        """Rules with cutoffs; counted: doc_id, lang and COUNTS; all labelled documents are counted."""
+        labelled = tb.checkpointed(self.labelled(counted, labels))
+        proposed = self.proposals(labelled)
+        testing = labelled.where("good and not proposes")
+        steps = range(len(SIGNALS))
+        hit = [F.lit(False) for _ in steps]
+        for stratum, rules in sorted(proposed.items()):
+            for k in steps:
+                for s, c in rules[: k + 1]:
+                    hit[k] = hit[k] | ((F.col("stratum") == stratum) & self._reaches(s, c))
         found = {}
-        for row in self.tallies(counted, labels).collect():
-            best = {}
-            for s in SIGNALS:
-                usable = []
-                for c in CUTOFFS:
-                    k, caught = row[f"{s}_{c}_true"], row[f"{s}_{c}_false"]
-                    worth = caught - self.cost * k
-                    if worth > 0 and at_most(k, row["good"], self.risk) <= self.level:
-                        usable.append((worth, c))
-                if usable:
-                    best[s] = max(usable)[1]
-            found[row["stratum"]] = best
+        for row in testing.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(h).alias(f"hit_{k}") for k, h in enumerate(hit)]).collect():
+            rules = proposed.get(row["stratum"], [])
+            found[row["stratum"]] = dict(rules[: self.safe([row[f"hit_{k}"] for k in range(len(rules))], row["n"])])
         return RiskControlledRules(self.strata, self.total_risk, self.delta, self.cost, self.min_words, self.max_repeat_percent, found)
 
     def rejected(self, lang: Column, of: str = "") -> Column:
@@ -200,8 +219,11 @@ def judge(docs: DataFrame, labels: DataFrame, rules: RiskControlledRules | None
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rules: RiskControlledRules | None = None) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    counted = statistics_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).select("doc_id", "lang", "quality_counts.*")
-    fitted = (rules or RiskControlledRules()).fit(counted, labels)
-    of = "quality_counts."
-    return statistics_of(docs).where(~fitted.base_failed(of) & ~fitted.rejected(F.col("lang"), of)).drop("quality_counts")
+    """The documents that are kept, with all their columns, whatever their names; texts are counted once."""
+    name = "quality_counts"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    counted = tb.Written(docs)(statistics_of(docs, to=name))
+    fitted = (rules or RiskControlledRules()).fit(counted.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", f"{name}.*"), labels)
+    of = f"{name}."
+    return counted.where(~fitted.base_failed(of) & ~fitted.rejected(F.col("lang"), of)).drop(name)

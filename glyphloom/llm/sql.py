@@ -1,14 +1,14 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from .line_dedup import NEWLINE
-from .quality_rules import CUTOFFS, LANGUAGES, OTHER, SIGNALS, RiskControlledRules
+from .quality_rules import CUTOFFS, LANGUAGES, OTHER, PROPOSING, SIGNALS, RiskControlledRules
 from .url_filter import ALPHABET, OTHER as OTHER_SYMBOL, RULES, STEP, SYMBOLS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def quality_rules() -> str:
-    """Counts, exact binomial tests of all cutoffs by stratum, and verdicts."""
+    """Counts, cutoffs proposed by one part of the labels, nested rule sets tested exactly on the other, and verdicts."""
     r = RiskControlledRules()
     signals = ", ".join(f"({k}, '{s}')" for k, s in enumerate(SIGNALS))
     cuts = ", ".join(f"({c})" for c in CUTOFFS)
@@ -26,14 +26,18 @@ c AS (SELECT d.rid, doc_id, {stratum} AS stratum, len(w) AS n_words, length(arra
   len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines
   FROM d LEFT JOIN rep USING (rid)),
 f AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed FROM c),
-known AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+known AS (SELECT doc_id, min(quality) > 0 AS good, md5(doc_id::VARCHAR)[1] IN ({', '.join(repr(x) for x in PROPOSING)}) AS proposes FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
 sig AS (SELECT * FROM (VALUES {signals}) AS t(k, signal)), cut AS (SELECT * FROM (VALUES {cuts}) AS t(cutoff)),
-tally AS (SELECT stratum, signal, cutoff, count(*) FILTER (good) AS n,
-  count(*) FILTER (good AND whole > 0 AND 1000 * what >= cutoff * whole) AS k, count(*) FILTER (NOT good AND whole > 0 AND 1000 * what >= cutoff * whole) AS caught
-  FROM (SELECT stratum, signal, good, {value(0)} AS what, {value(1)} AS whole FROM f JOIN known USING (doc_id), sig WHERE NOT base_failed), cut GROUP BY 1, 2, 3),
-tested AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1.0) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1.0) END - lgamma(n - j + 1.0) + j * ln({r.risk}) + (n - j) * ln(1 - {r.risk}))) FROM (SELECT unnest(range(0, k + 1))::DOUBLE AS j)) END AS p
-  FROM tally WHERE caught - {r.cost} * k > 0),
-best AS (SELECT stratum, signal, arg_max(cutoff, (caught - {r.cost} * k) * 10000 + cutoff) AS cutoff FROM tested WHERE p <= {r.level!r} GROUP BY 1, 2),
+lab AS (SELECT rid, stratum, signal, sig.k AS turn, good, proposes, {value(0)} AS what, {value(1)} AS whole FROM f JOIN known USING (doc_id), sig WHERE NOT base_failed),
+tally AS (SELECT stratum, signal, turn, cutoff, count(*) FILTER (NOT good AND whole > 0 AND 1000 * what >= cutoff * whole) - {r.cost} * count(*) FILTER (good AND whole > 0 AND 1000 * what >= cutoff * whole) AS worth FROM lab, cut WHERE proposes GROUP BY 1, 2, 3, 4),
+chosen AS (SELECT stratum, signal, turn, max(worth) AS worth, arg_max(cutoff, worth * 10000 + cutoff) AS cutoff FROM tally WHERE worth > 0 GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY worth DESC, turn) AS step FROM chosen),
+hit AS (SELECT rid, stratum, min(step) AS step FROM lab JOIN ranked USING (stratum, signal) WHERE good AND NOT proposes AND whole > 0 AND 1000 * what >= cutoff * whole GROUP BY 1, 2),
+goods AS (SELECT stratum, count(DISTINCT rid) AS n FROM lab WHERE good AND NOT proposes GROUP BY 1),
+counts AS (SELECT ranked.*, coalesce(n, 0) AS n, (SELECT count(*) FROM hit WHERE hit.stratum = ranked.stratum AND hit.step <= ranked.step) AS k FROM ranked LEFT JOIN goods USING (stratum)),
+tested AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1.0) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1.0) END - lgamma(n - j + 1.0) + j * ln({r.total_risk}) + (n - j) * ln(1 - {r.total_risk}))) FROM (SELECT unnest(range(0, k + 1))::DOUBLE AS j)) END AS p FROM counts),
+unsafe AS (SELECT stratum, min(step) AS stop FROM tested WHERE p > {r.level!r} GROUP BY 1),
+best AS (SELECT stratum, signal, cutoff FROM tested LEFT JOIN unsafe USING (stratum) WHERE stop IS NULL OR step < stop),
 bad AS (SELECT DISTINCT rid FROM (SELECT rid, stratum, signal, {value(0)} AS what, {value(1)} AS whole FROM f, sig) JOIN best USING (stratum, signal) WHERE whole > 0 AND 1000 * what >= cutoff * whole)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM f"""
 

@@ -63,3 +63,33 @@ def test_null_labels_and_languages(spark):
     known = spark.createDataFrame([(None, 1, 0), (2, None, 0), (2, 1, None), (2, 0, 1)], "doc_id long, quality int, toxic int")
     got = sorted(((r.doc_id or 0), r.base_failed, r.kept) for r in Q.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), known).collect())
     assert got == [(0, True, False), (1, True, False), (2, False, True), (2, False, True)]
+
+
+def test_false_rejections_stay_within_the_risk():
+    """A set that hits more good documents than allowed is called safe with at most the stated probability, exactly."""
+    rules = Q.RiskControlledRules()
+    for n in (50, 90, 150, 600, 3000):
+        allowed = [k for k in range(n + 1) if rules.safe([k], n)]
+        assert allowed == list(range(len(allowed)))
+        worst = Q.at_most(len(allowed) - 1, n, rules.total_risk) if allowed else 0
+        assert worst <= rules.level and (n < 90) == (not allowed)
+    assert rules.safe([0, 0, 60, 0], 150) == 2 and rules.safe([], 150) == 0
+
+
+def test_simulated_risk():
+    """Proposals on one part, nested tests on the other: at most delta of the runs lose too much."""
+    rnd, rules, bad = random.Random(5), Q.RiskControlledRules(), 0
+    for _ in range(300):
+        rates = sorted(rnd.choice((0.0, 0.02, 0.049, 0.052, 0.08)) for _ in range(3))
+        draws = [rnd.random() for _ in range(200)]
+        done = rules.safe([sum(x < r for x in draws) for r in rates], 200)
+        bad += done > 0 and rates[done - 1] > rules.total_risk
+    assert bad <= 300 * 0.05
+
+
+def test_columns_with_names_that_are_used_inside(spark):
+    docs, labels = made(400, 40)
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, lang string, quality_counts int, n_words int")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = Q.keep_good(df, known)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(400))
