@@ -6,9 +6,8 @@ on more than `percent` of them.  All occurrences of it on that host's pages go.
 split at \\n and compared exactly, by a 64-bit hash within a host.
 
 Blocks count their own lines first, so a line that a third of all pages share reaches the
-counting as one row a block.  Lines below min_pages leave before host totals are joined.
-What remains is few: at most (lines of a page / percent) for each host; it goes to the
-blocks that hold pages of that host.
+counting as one row a block.  These rows keep their block's number through the counting, so
+a boilerplate line goes back to the blocks that have it and to no others.
 
 A page with null host belongs to no site and stays as it is.  Null and empty texts have no
 lines and stay.  Lines without a word are neither counted nor dropped.  Repeated rows are
@@ -21,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +49,8 @@ def _hosts(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
 
 
 def _boilerplate(blocks: tb.Blocks, percent: float, min_pages: int) -> DataFrame:
-    """(block, host, line) for each boilerplate line and each block with pages of its host."""
-    schema = pa.schema([("host", pa.string()), ("line", pa.int64()), ("pages", pa.int64())])
+    """(block, host, line) for each boilerplate line and each block that has it."""
+    schema = pa.schema([("block", pa.int64()), ("host", pa.string()), ("line", pa.int64()), ("pages", pa.int64())])
 
     def count(table: pa.Table) -> pa.Table:
         block = tb.block_of(table)
@@ -68,14 +67,14 @@ def _boilerplate(blocks: tb.Blocks, percent: float, min_pages: int) -> DataFrame
         key, of = key[order], of[order]
         head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])))) if len(key) else np.zeros(0, np.int64)
         n = np.diff(np.append(head, len(key)))
-        made = pa.table([pa.array([names[x] for x in of[head]], pa.string()), pa.array(key[head].view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+        made = pa.table([pa.array(np.full(len(head), block.number)), pa.array([names[x] for x in of[head]], pa.string()), pa.array(key[head].view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
         return made.filter(pa.compute.is_valid(made["host"]))
 
     pages = blocks.docs.where("host is not null")
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    often = blocks.docs.groupBy("block").applyInArrow(count, "host string, line long, pages long").groupBy("host", "line").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
-    flagged = often.join(totals, "host").where(F.col("pages") * 100 > F.lit(percent) * F.col("total")).select("host", "line")
-    return pages.select("block", "host").distinct().join(flagged, "host").toDF("host", "block", "line")
+    counted = blocks.docs.groupBy("block").applyInArrow(count, "block long, host string, line long, pages long")
+    often = counted.withColumn("all_pages", F.sum("pages").over(Window.partitionBy("host", "line"))).where(F.col("all_pages") >= min_pages)
+    return often.join(totals, "host").where(F.col("all_pages") * 100 > F.lit(percent) * F.col("total")).select("block", "host", "line")
 
 
 def _dropped(block: tb.Block, flagged: pa.Table):
