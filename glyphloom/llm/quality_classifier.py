@@ -8,8 +8,8 @@ text, hashed into `buckets` (their weights have length one for each text), share
 describe its structure, and metadata: its own length in bytes and words.  Labels, language,
 source and id are no inputs.
 
-It is fitted on a bounded sample of labelled rows, `sample` of them at most, chosen by a
-hash of the id among those whose crc32(id as text) mod 3 is not 1; the others are held out.
+It is fitted on a bounded sample of labelled rows, one an id, `sample` of them and
+MOST_BYTES of features at most, chosen by a hash of the id among those whose crc32(id as text) mod 3 is not 1; the others are held out.
 Fitting is deterministic.  Label rows with null id or quality are not used; of several
 labels of one id the lowest counts.  Without labels every score is 0.5.
 
@@ -34,6 +34,7 @@ from .quality_rules import SIGNALS, count_texts
 BUCKETS = 1 << 15
 FACTORS = 6
 SAMPLE = 6000
+MOST_BYTES = 256 * tb.MEGABYTE
 STEPS = 564  # twelve passes over a full sample in batches of 128
 STRUCTURE = (*SIGNALS, "mean_word", "line_words", "log_words", "log_bytes", "digits", "stops")
 
@@ -139,7 +140,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> FactorisationMachine:
-    """A machine fitted on at most `sample` labelled rows that are not held out."""
+    """A machine fitted on at most `sample` labelled ids that are not held out, and at most MOST_BYTES of their features.
+
+    Of several texts of one id the first in string order counts.  Ids beyond the bounds are
+    those of the largest hashes.
+    """
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("good"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bound that allows the broadcast below
@@ -153,7 +158,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["good"], *(pa.array([c[k] for c in cells], pa.binary()) for k in (0, 1))], ["doc_id", "good", "columns", "values"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good int, columns binary, values binary").toArrow()
+    one_each = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    made = tb.checkpointed(one_each.mapInArrow(run, "doc_id long, good int, columns binary, values binary"))
+    size, used = F.octet_length("columns") + F.octet_length("values"), 0
+    beyond = []
+    for row in made.select("doc_id", size.alias("size"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():  # at most `sample` rows
+        used += row["size"]
+        if used > MOST_BYTES:
+            beyond.append(row["doc_id"])
+    rows = (made.where(~F.col("doc_id").isin(beyond)) if beyond else made).toArrow()
     machine = FactorisationMachine.empty(buckets)
     if rows.num_rows:
         rows = rows.take(pa.compute.sort_indices(rows, [("doc_id", "ascending"), ("columns", "ascending"), ("values", "ascending")]))

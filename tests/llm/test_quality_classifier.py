@@ -55,3 +55,36 @@ def test_same_number_of_steps_at_every_size(monkeypatch):
         if n:
             n_steps.add(len(taken))
     assert len(n_steps) == 1
+
+
+def test_scores_against_the_plain_formula(spark):
+    """Every pair of features added one by one."""
+    import math
+
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    docs = [(k, " ".join(rnd.choice("sun moon Sea zap!! of the 12".split()) for _ in range(rnd.randrange(25)))) for k in range(60)] + [(60, ""), (61, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = C.train(df, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in C.score(df, machine).collect()}
+    for k, text in docs:
+        x = C.features(tb.texts_of(pa.array([text], pa.string())), machine.buckets)
+        cells = list(zip(x.columns.tolist(), x.values.tolist()))
+        total = float(machine.bias) + sum(float(machine.weights[i]) * v for i, v in cells)
+        for a, (i, v) in enumerate(cells):
+            total += sum(float(machine.factors[i] @ machine.factors[j]) * v * w for j, w in cells[a + 1 :])
+        assert abs(got[k] - 1 / (1 + math.exp(-total))) < 1e-4
+
+
+def test_repeated_ids_and_the_byte_bound(spark, monkeypatch):
+    docs = [(k % 50, f"word{k % 50} and more {k}") for k in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    fitted = []
+    fit = C.FactorisationMachine.fit
+    monkeypatch.setattr(C.FactorisationMachine, "fit", lambda self, x, y: fitted.append(len(y)) or fit(self, x, y))
+    C.train(df, known)
+    monkeypatch.setattr(C, "MOST_BYTES", 1000)
+    C.train(df, known)
+    assert 25 < fitted[0] < 40 and 0 < fitted[1] < fitted[0]
