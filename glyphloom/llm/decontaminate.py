@@ -16,18 +16,23 @@ either table are judged each for itself: one row is returned for each pair of a
 row and an item row.  Other columns are not read by `find_copies` and are carried along by
 `keep_clean`.  Either table may be empty.
 
-The benchmark goes to the tasks in blocks of at most `block_bytes` of text, so nothing
-that grows is broadcast whole; with more blocks, documents are read once for each.
+A benchmark of at most `block_bytes` of text goes to the tasks as it is.  A larger one is
+cut into blocks of that size by a hash of its rows and written in the shared folder; a task
+reads one block after the other for every `HELD` bytes of documents, so documents are read
+once, and neither the driver nor a task ever holds more than a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,53 +136,82 @@ class Items:
         return [(*k, *v) for k, v in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, stretch: int, equal_percent: int, least: int) -> Iterator[Items]:
-    """The items, so many bytes of them at a time; each block comes to the driver and goes on to the tasks."""
+HELD = 16 * tb.MEGABYTE
+
+
+@lru_cache(2)
+def _block(folder: str, stretch: int, equal_percent: int, least: int) -> Items:
+    """The items of a written block."""
+    system, top = pyarrow.fs.FileSystem.from_uri(folder)
+    names = [f.path for f in system.get_file_info(pyarrow.fs.FileSelector(top, allow_not_found=True)) if f.path.endswith(".parquet")]
+    rows = [row for name in sorted(names) for row in pyarrow.parquet.read_table(system.open_input_file(name), columns=["item_id", "text"]).to_pylist()]
+    return Items([(r["item_id"], r["text"]) for r in rows], stretch, equal_percent, least)
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int, stretch: int, equal_percent: int, least: int) -> list[Callable[[], Items]]:
+    """What gives a task the items, so many bytes of them at a time."""
     chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total <= block_bytes:
+        rows = [(r.item_id, r.text) for r in chosen.collect()]
+        items = Items(rows, stretch, equal_percent, least)
+        return [lambda: items] if rows else []
     n = total // block_bytes + 1
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        rows = [(r.item_id, r.text) for r in (chosen.where(number == k) if n > 1 else chosen).collect()]
-        if rows:
-            yield Items(rows, stretch, equal_percent, least)
+    folder = f"{tb.shared_folder(benchmark)}/items-{uuid.uuid4().hex}"
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("part")
+    chosen.select(number, "*").repartition(F.col("part")).write.partitionBy("part").parquet(folder)
+    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    return [lambda k=k: _block(f"{folder}/part={k}", stretch, equal_percent, least) for k in range(n)]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], blocks: list[Callable[[], Items]]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Each batch with its (row, item_id, item's words, ...), blocks in turn for about HELD bytes of documents."""
+
+    def search(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        made: list[list[tuple]] = [[] for _ in held]
+        for block in blocks:
+            items = block()
+            for batch, rows in zip(held, made):
+                for a, _, texts in tb.texts_of(batch["text"]).chunks():
+                    rows += [(a + d, items.ids[i], int(items.length[i]), *rest) for d, i, *rest in items.copies(texts)]
+        yield from zip(held, made)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch["text"].nbytes
+        if size > HELD:
+            yield from search(held)
+            held, size = [], 0
+    yield from search(held)
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, equal_percent: int = 80, least: int = 8, block_bytes: int = 4 * tb.MEGABYTE) -> DataFrame:
     """One row for each document and item of which it holds a copied stretch."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "n_item_words", "n_copied", "n_equal", "doc_word", "item_word")])
+    blocks = _blocks(benchmark, block_bytes, stretch, equal_percent, least)
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], RESULT)
 
-    def searched(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch["doc_id"].to_pylist()
-                for a, _, texts in tb.texts_of(batch["text"]).chunks():
-                    made = items.copies(texts)
-                    rows = [(ids[a + d], items.ids[i], int(items.length[i]), *rest) for d, i, *rest in made]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, made in _searched(batches, blocks):
+            ids = batch["doc_id"].to_pylist()
+            rows = [(ids[d], *rest) for d, *rest in made]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [chosen.mapInArrow(searched(items), RESULT) for items in _blocks(benchmark, block_bytes, stretch, equal_percent, least)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], RESULT)
+    return chosen.mapInArrow(run, RESULT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, equal_percent: int = 80, least: int = 8, block_bytes: int = 4 * tb.MEGABYTE) -> DataFrame:
     """The documents without a copied stretch, with all their columns."""
+    blocks = _blocks(benchmark, block_bytes, stretch, equal_percent, least)
 
-    def filtered(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for a, _, texts in tb.texts_of(batch["text"]).chunks():
-                    for d, *_ in items.copies(texts):
-                        clean[a + d] = False
-                yield batch.filter(pa.array(clean))
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, made in _searched(batches, blocks):
+            clean = np.ones(batch.num_rows, bool)
+            clean[[d for d, *_ in made]] = False
+            yield batch.filter(pa.array(clean))
 
-    for items in _blocks(benchmark, block_bytes, stretch, equal_percent, least):
-        docs = docs.mapInArrow(filtered(items), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema) if blocks else docs
