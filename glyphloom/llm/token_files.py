@@ -312,11 +312,27 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
 
 def read_token_files(spark: SparkSession, files: list, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone; files as written."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone; files in their order.
+
+    Where a file's ids start is added up from the indexes of the files before it, one number a file.
+    """
+    if not files:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for path in batch["path"].to_pylist():
+                with pyarrow.fs.FileSystem.from_uri(folder)[0].open_input_file(path) as file:
+                    held.append(int(Reader(file).docs["n"].sum()))
+            yield pa.RecordBatch.from_arrays([batch["place"], pa.array(held, pa.int64())], ["place", "ids"])
+
+    paths = spark.createDataFrame([(k, f.path) for k, f in enumerate(files)], "place long, path string").repartition(min(len(files), 1000))
+    ids = dict(paths.mapInArrow(sizes, "place long, ids long").collect())
     start, rows = 0, []
-    for f in files:
+    for k, f in enumerate(files):
         rows.append((f.path, start))
-        start += f.n_ids
+        start += ids[k]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
