@@ -284,7 +284,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
         encoder, target, number = None, None, TaskContext.get().partitionId()
         for batch in batches:
-            for part, texts in bpe._slices(batch, "text"):
+            for part, texts in bpe._slices(batch, "text", 4 * tb.MEGABYTE):
                 if target is None:
                     encoder = library_encoder(tokenizer)
                     system, top = pyarrow.fs.FileSystem.from_uri(folder)
