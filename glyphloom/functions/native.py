@@ -2,7 +2,7 @@
 
 A literal rule replaces one string by another between contexts of fixed text.  With the
 left context tested on the input (`sim`) that is one regular expression; tested on the
-output (`ltr`) it is a fold over the characters, and `rtl` is the fold from the end.  The
+output (`ltr`) it is a fold over the places where it may apply, and `rtl` is the fold from the end.  The
 searched string must not overlap itself, or several derivations would exist; those rules
 belong to operators.rules.
 """
@@ -56,23 +56,19 @@ def literal_rule(c: Column, phi: str, psi: str, left: str = "", right: str = "",
 
 
 def _fold(c: Column, phi: str, psi: str, left: str, right: str, at_start: bool, at_end: bool) -> Column:
-    """Left to right: the output so far decides the left context, the input the right one."""
-    n = len(phi)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("skip"))
-
-    def step(s: Column, i: Column) -> Column:
-        rest = F.substring(c, i + n, F.length(c))
-        here = F.substring(c, i, F.lit(n)) == phi
-        fits_left = (s["out"] == left) if at_start else s["out"].endswith(F.lit(left))
-        fits_right = (rest == right) if at_end else rest.startswith(F.lit(right))
-        site = here & fits_left & fits_right
-        moved = F.struct(F.concat(s["out"], F.lit(psi)).alias("out"), F.lit(n - 1).alias("skip"))
-        copied = F.struct(F.concat(s["out"], F.substring(c, i, F.lit(1))).alias("out"), F.lit(0).alias("skip"))
-        skipped = F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip"))
-        return F.when(s["skip"] > 0, skipped).when(site, moved).otherwise(copied)
-
-    places = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>"))
-    return F.when(c.isNull(), F.lit(None)).otherwise(F.aggregate(places, start, step, lambda s: s["out"]))
+    """Left to right: the output so far decides the left context, the input the right one.
+
+    phi does not overlap itself, so a split at its occurrences before the right context finds
+    every site; the fold takes one step a site, not one a character.
+    """
+    after = "(?=" + regex_quoted(right) + (r"\z" if at_end else "") + ")" if right or at_end else ""
+    pieces = F.split(c, regex_quoted(phi) + after, -1)
+
+    def step(out: Column, piece: Column) -> Column:
+        fits = (out == left) if at_start else out.endswith(F.lit(left))
+        return F.concat(out, F.when(fits, F.lit(psi)).otherwise(F.lit(phi)), piece)
+
+    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.element_at(pieces, 1), step)
 
 
 def cascade(c: Column, *steps) -> Column:

@@ -67,11 +67,13 @@ def statemap_arc_unique(spark, sf_dir):
     return _events(spark, sf_dir).arc_unique().arcs.select("src", "ilabel", "dst", "weight")
 
 
-@query(f"SELECT src, label AS ilabel, dst, round(-ln(sum(exp(-weight))), 6) AS weight FROM {_PARALLEL} WHERE weight < 600 GROUP BY 1, 2, 3")
+@query(f"""
+WITH p AS (SELECT *, min(weight) OVER (PARTITION BY src, label, dst) AS low FROM {_PARALLEL})
+SELECT src, label AS ilabel, dst, round(low - ln(sum(exp(low - weight))), 6) AS weight FROM p GROUP BY src, label, dst, low""")
 def arc_sum_log(spark, sf_dir):
     """Parallel arcs added as probabilities."""
     x = _events(spark, sf_dir)
-    found = ArcTable(x.states, x.arcs.where("weight < 600"), "log").arc_sum()
+    found = ArcTable(x.states, x.arcs, "log").arc_sum()
     return found.arcs.select("src", "ilabel", "dst", F.round("weight", 6).alias("weight"))
 
 
@@ -221,13 +223,12 @@ def machine_encode(spark, sf_dir):
     return _strings(spark, code.decode(M.minimize(M.determinize(M.rmepsilon(code.encode(m))))), "istring", "ostring")
 
 
-@query("SELECT p_partkey, replace(p_name, 'e', repeat('b', 1000)) AS long FROM part WHERE p_partkey <= 50")
+@query("SELECT p_partkey, replace(p_name, 'e', repeat('b', 1000)) AS long FROM part")
 def rule_long(spark, sf_dir):
     """Outputs far longer than inputs."""
     letters = M.closure(M.optimize(M.union(*"abcdefghijklmnopqrstuvwxyz ")))
     rule = cdrewrite(M.cross("e", "b" * 1000), "", "", letters)
-    few = table(spark, sf_dir, "part").where("p_partkey <= 50").select("p_partkey", "p_name")
-    return exploded(few, "p_name", rule).select("p_partkey", F.col("ostring").alias("long"))
+    return exploded(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", rule).select("p_partkey", F.col("ostring").alias("long"))
 
 
 # ---------------------------------------------------------------- pushdown machines
@@ -261,16 +262,17 @@ def pdt_shortestpath(spark, sf_dir):
     return spark.createDataFrame(rows, "depth int, istring string, weight double")
 
 
-@query("SELECT p_partkey, p_size % 2 = 0 AS balanced FROM part WHERE p_partkey <= 100")
+@query("SELECT p_partkey, p_size % 2 = 0 AS balanced FROM part")
 def pdt_accepts(spark, sf_dir):
-    """a^k b^k by a grammar that calls itself; odd sizes lack a letter."""
+    """a^k b^k by a grammar that calls itself; odd sizes lack a letter.  Each of the fifty sizes is asked once."""
     from ..labels import label_of_name, to_labels
 
     s = label_of_name("S")
     m, parens = P.replace(M.of_labels([s]), {s: M.union("", M.concat("a", M.of_labels([s]), "b"))})
-    asked = table(spark, sf_dir, "part").where("p_partkey <= 100").select("p_partkey", "p_size").collect()
-    ok = {n: P.accepts(m, parens, to_labels("a" * (n // 2 + n % 2) + "b" * (n // 2))) for n in {r.p_size for r in asked}}
-    return spark.createDataFrame([(r.p_partkey, ok[r.p_size]) for r in asked], "p_partkey long, balanced boolean")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    sizes = [r.p_size for r in parts.select("p_size").distinct().collect()]
+    rows = [(n, P.accepts(m, parens, to_labels("a" * (n // 2 + n % 2) + "b" * (n // 2)))) for n in sizes]
+    return parts.join(F.broadcast(spark.createDataFrame(rows, "p_size int, balanced boolean")), "p_size").select("p_partkey", "balanced")
 
 
 # ---------------------------------------------------------------- grammars
