@@ -1,10 +1,11 @@
 """Edit distance against a lexicon.
 
-Unit costs: Spark's levenshtein on a join whose length buckets leave only pairs that the
-bound allows.  A lexicon within the stated limits is broadcast; a larger one is joined by
-length, each query meeting only lengths that the bound allows.  Without a bound, or where
-insertions or deletions are free, every query meets every word.  Other costs run in a
-dynamic program.
+With a bound of k edits a word is cut into k + 1 pieces, one of which a near query holds
+unchanged, shifted by no more than the edits allow: queries and words meet on (length,
+piece number, piece), so a join key is a piece of text and not a length.  Words too short to
+be cut, of at most k letters, meet on their length.  A lexicon within the stated limits is
+broadcast.  Without a bound, or where an edit is free, every query meets every word.  Unit
+costs are measured by Spark's levenshtein, others by a dynamic program.
 """
 
 from __future__ import annotations
@@ -92,20 +93,42 @@ def distances(queries: DataFrame, query: str, lexicon: DataFrame, word: str, bou
     words = lexicon.select(F.col(word).alias("ostring")).where("ostring is not null").distinct().withColumn("size", F.length("ostring"))
     asked = queries.select(F.col(query).alias(query)).where(F.col(query).isNotNull()).distinct()
     small = words.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    words = F.broadcast(words) if small else words
-    if bound and edits.insert_cost and edits.delete_cost:
-        shorter, longer = (int(bound / c + 1e-9) for c in (edits.delete_cost, edits.insert_cost))
-        near = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.length(query) - shorter, F.lit(0)), F.length(query) + longer)))
-        pairs = near.join(words, "size")
+    side = F.broadcast if small else lambda x: x
+    least = min(edits.insert_cost, edits.delete_cost, edits.substitute_cost)
+    if bound and least:
+        pairs = _near_pairs(asked, query, words, int(bound / least + 1e-9), side)
     else:
-        pairs = asked.crossJoin(words)
+        pairs = asked.crossJoin(side(words)).select(query, "ostring")
     if edits.is_unit:
         d = F.levenshtein(F.col(query), F.col("ostring"), bound) if bound else F.levenshtein(F.col(query), F.col("ostring"))
-        return pairs.withColumn("weight", d.cast("double")).where("weight >= 0").select(query, "ostring", "weight")
+        return pairs.withColumn("weight", d.cast("double")).where("weight >= 0").select(query, "ostring", "weight").distinct()
 
     measured = _cost_udf(edits)
     pairs = pairs.withColumn("weight", measured(F.col(query), F.col("ostring")))
-    return (pairs.where(F.col("weight") <= bound) if bound else pairs).select(query, "ostring", "weight")
+    return (pairs.where(F.col("weight") <= bound) if bound else pairs).select(query, "ostring", "weight").distinct()
+
+
+def _near_pairs(asked: DataFrame, query: str, words: DataFrame, k: int, side) -> DataFrame:
+    """(query, ostring) pairs, some more than once, among them all that k edits or fewer turn into each other."""
+    q, size = F.col(query), F.col("size")
+    cut = lambda i: F.floor(size * i / (k + 1)).cast("int")
+    piece = lambda text, i, at: F.struct(i.alias("i"), F.substring(text, at + 1, cut(i + 1) - cut(i)).alias("piece"))
+    numbers = F.array(*[F.lit(i) for i in range(k + 1)])
+    held = words.where(size > k).select("ostring", "size", F.inline(F.transform(numbers, lambda i: piece(F.col("ostring"), i, cut(i)))))
+    lengths = lambda low: F.sequence(F.greatest(F.length(q) - k, F.lit(low)), F.length(q) + k)
+    long = asked.where(F.length(q) >= 1).select(query, F.explode(lengths(k + 1)).alias("size")).withColumn("more", F.length(q) - size)
+    shifts = F.array(*[F.lit(d) for d in range(-k, k + 1)])
+
+    def fits(i, shift):
+        # edits before the piece make the shift, those after it the rest of the difference in length
+        at = cut(i) + shift
+        return (F.abs(shift) + F.abs(F.col("more") - shift) <= k) & (at >= 0) & (cut(i + 1) + shift <= F.length(q))
+
+    cuts = F.flatten(F.transform(numbers, lambda i: F.transform(F.filter(shifts, lambda d: fits(i, d)), lambda d: piece(q, i, cut(i) + d))))
+    probes = long.select(query, "size", F.inline(F.array_distinct(cuts)))
+    met = probes.join(side(held), ["size", "i", "piece"]).select(query, "ostring")
+    brief = asked.where(F.length(q) <= 2 * k).select(query, F.explode(F.sequence(F.greatest(F.length(q) - k, F.lit(0)), F.least(F.length(q) + k, F.lit(k)))).alias("size"))
+    return met.unionByName(brief.join(side(words.where(size <= k)), "size").select(query, "ostring"))
 
 
 def _cost_udf(edits: EditTransducer):

@@ -189,3 +189,18 @@ def test_log_sums_of_far_weights(spark):
 def test_bounds_multiply(spark):
     a = Relation.of_rows(spark, [str(k) for k in range(300)])
     assert a.bounded and not a.cross(a).bounded and a.union(a).bounded
+
+
+def test_near_pairs_miss_nothing(spark):
+    """All pairs within the bound, on both ways of joining, against plain distances."""
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choices("ab", k=rnd.randrange(0, 9))) for _ in range(60)})
+    asked = sorted({"".join(rnd.choices("abc", k=rnd.randrange(0, 10))) for _ in range(60)})
+    q, w = (spark.createDataFrame([(x,) for x in xs], "x string") for xs in (asked, words))
+    for bound, edits in ((1, edit.EditTransducer()), (3, edit.EditTransducer()), (1, edit.EditTransducer(None, 1.0, 0.5, 1.5))):
+        want = {(a, b, d) for a in asked for b in words if (d := edits.distance(a, b)) <= bound}
+        for most in (50_000, 3):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(edit, "MOST_BROADCAST", most)
+                found = [tuple(r) for r in edit.distances(q, "x", w, "x", bound, edits).collect()]
+            assert len(found) == len(set(found)) and set(found) == want
