@@ -9,9 +9,9 @@ from .operators.arcs import ArcTable
 from .operators.classes import add_weight, byte_class, delete, insert, join, regional_indicator, valid_utf8_char
 from .operators.edit import EditTransducer, LevenshteinAutomaton, LevenshteinDistance, closest, distances
 from .operators.machine import (
-    EncodeMapper, Machine as Fst, accep, arcmap, arcsort, closure, compile_lines, compose, concat, connect, cross, determinize, difference, disambiguate, epsnormalize, equal,
-    equivalent, intersect, invert, isomorphic, items, leniently_compose, minimize, optimize, paths, priority_union, project, prune, push, randequivalent, randgen,
-    relabel_pairs, relabel_tables, replace, reverse, reweight, rmepsilon, shortestdistance, shortestpath, statemap, string_map, synchronize, to_dot, to_lines, topsort, union,
+    ArcIterator, EncodeMapper, Machine as Fst, PathIterator, StateIterator, accep, arcmap, arcsort, closure, compile_lines, compose, concat, connect, cross, determinize, difference, disambiguate, epsnormalize, equal,
+    equivalent, intersect, invert, isomorphic, items, leniently_compose, minimize, of_bytes, optimize, paths, priority_union, project, prune, push, randequivalent, randgen,
+    relabel_pairs, relabel_tables, replace, reverse, reweight, rmepsilon, shortestdistance, shortestpath, statemap, string_map, synchronize, to_bytes, to_dot, to_lines, topsort, union,
 )
 from .operators.morphology import Category, Feature, FeatureVector, Paradigm, prefix, suffix
 from .operators.pushdown import Parentheses
