@@ -92,6 +92,21 @@ class SymbolTable:
                 out.add_symbol(symbol, None if label in out else label)
         return out
 
+    def to_bytes(self) -> bytes:
+        import json
+
+        return json.dumps([self.name, list(self)]).encode()
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> SymbolTable:
+        import json
+
+        try:
+            name, pairs = json.loads(data)
+            return cls(name, pairs)
+        except (ValueError, TypeError) as e:
+            raise ArgumentError("not the bytes of a symbol table") from e
+
     def frame(self, spark):
         return spark.createDataFrame(list(self), "id long, symbol string")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +98,28 @@ def register(spark: SparkSession, name: str, rule, choice: str = "all", n: int =
                 yield from _found(text, rule, token_type, choice, n)
 
     spark.udtf.register(name, udtf(Rewrites, returnType="ostring string, weight double"))
+
+
+def register_scalar(spark: SparkSession, name: str, rule, choice: str = "top", strict: bool = False, token_type: str | None = None) -> None:
+    """A function for SQL: SELECT name(text), the best output; null where there is none (or several, with choice `one`), or an error if strict."""
+    if choice not in ("top", "one"):
+        raise ArgumentError(f"not a choice of one output: {choice}")
+    names = list(GENERATED)
+
+    def best(texts: pd.Series) -> pd.Series:
+        for _, label in names:
+            label_of_name(label)
+        known: dict = {}
+        for text in texts.unique():
+            try:
+                found = [] if text is None else _found(text, rule, token_type, choice, 1)
+                if strict and text is not None and not found:
+                    raise RewriteError(f"no output for {text!r}")
+            except (RewriteError, ValueError):
+                if strict:
+                    raise
+                found = []
+            known[text] = found[0][0] if found else None
+        return texts.map(known)
+
+    spark.udf.register(name, F.pandas_udf(best, "string"))

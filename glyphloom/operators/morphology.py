@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
 from ..functions.native import regex_quoted
+from ..labels import escape
+from .machine import string_map
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,19 @@ class Category:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(f.name, v, v == f.default) for f in self.features for v in f.values], "feature string, value string, is_default boolean")
 
+    def mapper(self):
+        """A machine from the symbol of each value to its text, brackets escaped: feature_mapper."""
+        return string_map([(f"[{f.name}={v}]", escape(f"[{f.name}={v}]")) for f in self.features for v in f.values])
+
+    def read(self, c: Column) -> Column:
+        """[name=value]... as a struct with a field for each feature, null where it is open or not of the category."""
+        value = lambda f: F.regexp_extract(c, rf"\[{regex_quoted(f.name)}=({'|'.join(map(regex_quoted, f.values))})\]", 1)
+        return F.when(c.isNotNull(), F.struct(*[F.nullif(value(f), F.lit("")).alias(f.name) for f in self.features]))
+
+    def written(self, vector: Column) -> Column:
+        """A struct of `read` as text again."""
+        return F.when(vector.isNotNull(), F.concat(*[F.when(vector[n].isNotNull(), F.concat(F.lit(f"[{n}="), vector[n], F.lit("]"))).otherwise(F.lit("")) for n in self.names]))
+
     def fill(self, given: dict[str, str]) -> list[dict[str, str]]:
         """A missing feature takes its default; without one, every value."""
         options = [[given[f.name]] if f.name in given else [f.default] if f.default is not None else list(f.values) for f in self.features]
@@ -182,12 +197,24 @@ class Paradigm:
         table = self.lemmas(words.sparkSession).toDF("_surface", "lemma", "features")
         return words.join(self._side(table), F.col(word) == F.col("_surface")).drop("_surface")
 
+    def analyze_strictly(self, words: DataFrame, word: str) -> DataFrame:
+        """`analyze`, but a word without a reading is an error; a null word has no row."""
+        forms = self.forms(words.sparkSession).select(F.col("surface").alias("_surface"), "form", "features")
+        found = words.where(F.col(word).isNotNull()).join(self._side(forms), F.col(word) == F.col("_surface"), "left")
+        read = F.when(F.col("_surface").isNull(), F.raise_error(F.concat(F.lit("no reading of "), F.col(word)))).otherwise(F.col("form"))
+        return found.withColumn("form", read.cast("string")).drop("_surface")
+
     def inflect(self, lemmas: DataFrame, lemma: str, vector: FeatureVector) -> DataFrame:
         """lemmas' columns and the form with exactly these features."""
         table = self.lemmas(lemmas.sparkSession).where(F.col("features") == vector.text()).select(F.col("lemma").alias("_lemma"), F.col("surface").alias("form"))
         return lemmas.join(self._side(table), F.col(lemma) == F.col("_lemma")).drop("_lemma")
 
 
+def without_boundary(c: Column, boundary: str = "+") -> Column:
+    """Whether a string is made of anything but the boundary."""
+    return ~F.contains(c, F.lit(boundary))
+
+
 def _pieces(shape: str) -> list[str]:
     if shape.count(STEM) != 1:
         raise ArgumentError(f"a shape holds the stem once: {shape}")

@@ -20,7 +20,7 @@ from functools import cached_property
 from ..errors import ArgumentError, RewriteError
 from ..labels import BOS, EOS, EPSILON, to_labels, to_text
 from ..semiring import FINE_DELTA, INFINITY
-from .machine import Machine, machine, project, reverse, rmepsilon
+from .machine import Machine, determinize, items, machine, minimize, of_labels, project, prune, reverse, rmepsilon, shortestpath, union
 
 DIRECTIONS, MODES = ("ltr", "rtl", "sim"), ("obl", "opt")
 MOST_OUTPUTS = 10_000
@@ -319,6 +319,56 @@ def outputs_of(rule, labels: list[int]) -> dict[tuple[int, ...], float]:
     return (_Lattice(rule) if isinstance(rule, Machine) else rule).outputs(labels)
 
 
+# ---------------------------------------------------------------- outputs as a machine
+
+
+def rewrite_lattice(text: str, rule, kind=None) -> Machine:
+    """All outputs of a text as an acceptor without epsilons; none is an error."""
+    made = outputs_of(rule, to_labels(text, kind))
+    if not made:
+        raise RewriteError(f"no output for {text!r}")
+    return rmepsilon(union(*[of_labels(o, weight=w) for o, w in made.items()]))
+
+
+def lattice_to_dfa(lattice: Machine, optimal_only: bool = False, state_multiplier: int = 4) -> Machine:
+    """One path a string, or only the best strings; an error above 256 + state_multiplier * states."""
+    most = 256 + state_multiplier * lattice.num_states()
+    found = determinize(project(lattice, "output"), nstate=most)
+    return minimize(prune(found, 0.0) if optimal_only else found)
+
+
+def lattice_to_nshortest(lattice: Machine, nshortest: int) -> Machine:
+    """The n best different strings."""
+    return shortestpath(project(lattice, "output"), nshortest, unique=True)
+
+
+def lattice_to_strings(lattice: Machine, kind=None) -> list[str]:
+    """All strings, best first, then in the order of their texts."""
+    best: dict[str, float] = {}
+    for _, o, w in items(lattice, kind):
+        best[o] = min(best.get(o, INFINITY), w)
+    return sorted(best, key=lambda o: (best[o], o))
+
+
+def lattice_to_top_string(lattice: Machine, kind=None) -> str:
+    """The best string, the first by its text where several tie."""
+    found = lattice_to_strings(lattice_to_dfa(lattice, optimal_only=True), kind)
+    if not found:
+        raise RewriteError("an empty lattice has no string")
+    return found[0]
+
+
+def lattice_to_one_top_string(lattice: Machine, kind=None) -> str:
+    """The best string; several are an error."""
+    found = lattice_to_strings(lattice_to_dfa(lattice, optimal_only=True), kind)
+    if len(found) != 1:
+        raise RewriteError(f"several best outputs: {found[0]}, {found[1]}" if found else "an empty lattice has no string")
+    return found[0]
+
+
+# ---------------------------------------------------------------- outputs as texts
+
+
 def _candidates(text: str, rule, kind=None) -> list[tuple[str, float]]:
     made = outputs_of(rule, to_labels(text, kind))
     if not made:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..grammars import chat, dates, g2p, plurals
 from ..operators import machine as M
 from ..operators import pushdown as P
-from ..operators.apply import exploded
+from ..operators.apply import exploded, register_scalar
 from ..operators.arcs import ArcTable
+from ..operators.morphology import Category, Feature
 from ..operators.relation import Relation
-from ..operators.rules import cdrewrite
+from ..operators.rules import cdrewrite, lattice_to_dfa, lattice_to_nshortest, lattice_to_one_top_string, lattice_to_strings, rewrite_lattice
 from .queries import QUERIES, SQL, _graph, _words, query, table
 
 # ---------------------------------------------------------------- weight maps
@@ -231,6 +232,80 @@ def rule_long(spark, sf_dir):
     return exploded(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", rule).select("p_partkey", F.col("ostring").alias("long"))
 
 
+@query(f"SELECT DISTINCT word AS istring, reverse(word) AS ostring FROM {_W}")
+def machine_synchronize(spark, sf_dir):
+    """Silent moves apart, then side by side: the same pairs."""
+    return _strings(spark, M.synchronize(M.string_map([(w, w[::-1]) for w in _lexicon(spark, sf_dir)])), "istring", "ostring")
+
+
+@query(f"SELECT DISTINCT left(word, 2) AS istring, word AS ostring FROM {_W}")
+def machine_epsnormalize(spark, sf_dir):
+    return _strings(spark, M.epsnormalize(M.string_map([(w[:2], w) for w in _lexicon(spark, sf_dir)])), "istring", "ostring")
+
+
+@query(f"""
+WITH r AS (SELECT word, row_number() OVER (ORDER BY length(word), word) AS k FROM {_W})
+SELECT left(word, 2) AS istring, arg_min(word, k) AS ostring FROM r GROUP BY 1""")
+def machine_disambiguate(spark, sf_dir):
+    """The best word of each pair of first letters."""
+    words = sorted(_lexicon(spark, sf_dir), key=lambda w: (len(w), w))
+    return _strings(spark, M.disambiguate(M.string_map([(w[:2], w, k) for k, w in enumerate(words)])), "istring", "ostring")
+
+
+@query(f"SELECT f AS filter, word AS istring, upper(word) || '!' AS ostring FROM {_W}, (SELECT unnest(['alt_sequence', 'match', 'sequence']) AS f)")
+def machine_compose_filters(spark, sf_dir):
+    """Three orders of silent moves, each with one path a pair."""
+    words = _lexicon(spark, sf_dir)
+    left, right = M.concat(M.string_map([(w, w[::-1]) for w in words]), M.cross("", "?")), M.string_map([(w[::-1] + "?", w.upper() + "!") for w in words])
+    rows = [(f, i, o) for f in ("alt_sequence", "match", "sequence") for i, o, _ in M.items(M.compose(left, right, compose_filter=f))]
+    return spark.createDataFrame(rows, "filter string, istring string, ostring string")
+
+
+@query(f"SELECT word AS istring, upper(word) AS ostring, length(word)::DOUBLE AS weight FROM {_W}")
+def machine_bytes(spark, sf_dir):
+    """Written as bytes and read back."""
+    m = M.string_map([(w, w.upper(), len(w)) for w in _lexicon(spark, sf_dir)])
+    return _strings(spark, M.of_bytes(M.to_bytes(m)), "istring", "ostring", "weight")
+
+
+@query("SELECT true AS renumbered, false AS another_weight")
+def machine_isomorphic(spark, sf_dir):
+    """Words in another order give other state numbers."""
+    words = _lexicon(spark, sf_dir)
+    a, b = M.union(*words), M.union(*words[::-1])
+    return spark.createDataFrame([(M.isomorphic(a, b), M.isomorphic(a, M.union(*words[1:], M.accep(words[0], 1))))], "renumbered boolean, another_weight boolean")
+
+
+@query(f"SELECT word, [upper(word), word, word || word] AS strings, upper(word) AS best, [upper(word), word] AS two FROM {_W}")
+def lattice_functions(spark, sf_dir):
+    """All outputs of a word, the only best one and the best two."""
+    words = _lexicon(spark, sf_dir)
+    rule = M.string_map([row for w in words for row in ((w, w, 1), (w, w.upper(), 0.5), (w, w + w, 2), (w, w, 3))])
+    rows = []
+    for w in words:
+        made = rewrite_lattice(w, rule)
+        rows.append((w, lattice_to_strings(lattice_to_dfa(made)), lattice_to_one_top_string(made), lattice_to_strings(lattice_to_nshortest(made, 2))))
+    return spark.createDataFrame(rows, "word string, strings array<string>, best string, two array<string>")
+
+
+@query("SELECT p_partkey, replace(p_name, 'e', 'o') AS changed FROM part")
+def rule_scalar(spark, sf_dir):
+    """A rule as a function in SQL text."""
+    letters = M.closure(M.optimize(M.union(*"abcdefghijklmnopqrstuvwxyz ")))
+    register_scalar(spark, "e_to_o", cdrewrite(M.cross("e", "o"), "", "", letters))
+    return spark.sql("SELECT p_partkey, e_to_o(p_name) AS changed FROM {parts}", parts=table(spark, sf_dir, "part"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, split_part(o_orderpriority, '-', 1) AS urgency, '[status=' || o_orderstatus || '][urgency=' || split_part(o_orderpriority, '-', 1) || ']' AS again FROM orders")
+def features_read(spark, sf_dir):
+    """Feature symbols in a text to columns, and columns to symbols."""
+    kinds = Category(Feature("status", "F", "O", "P"), Feature("urgency", "1", "2", "3", "4", "5"))
+    first = F.split_part("o_orderpriority", F.lit("-"), F.lit(1))
+    text = F.concat(F.lit("x[urgency="), first, F.lit("][status="), F.col("o_orderstatus"), F.lit("]"))
+    v = table(spark, sf_dir, "orders").select("o_orderkey", kinds.read(text).alias("v"))
+    return v.select("o_orderkey", "v.status", "v.urgency", kinds.written(F.col("v")).alias("again"))
+
+
 # ---------------------------------------------------------------- pushdown machines
 
 PUSH, POP = 1_000_001, 1_000_002

@@ -131,3 +131,50 @@ def same(*parts) -> Semiring:
 def quantized(w: Column, delta: float = FINE_DELTA) -> Column:
     """Weights that differ by rounding only become equal, so that they tie in ranks."""
     return F.when(F.abs(w) == INFINITY, w).otherwise(F.floor(w / delta + 0.5) * delta)
+
+
+@dataclass(frozen=True)
+class Weight:
+    """A number of a semiring, for code that handles weights as values."""
+
+    semiring: Semiring
+    value: float
+
+    @classmethod
+    def of(cls, kind: Semiring | str, value: float | str | None = None) -> Weight:
+        ring = semiring(kind)
+        return cls(ring, ring.weight(value))
+
+    @classmethod
+    def zero(cls, kind: Semiring | str) -> Weight:
+        return cls(semiring(kind), INFINITY)
+
+    @classmethod
+    def one(cls, kind: Semiring | str) -> Weight:
+        return cls(semiring(kind), 0.0)
+
+    def _with(self, other: Weight) -> Semiring:
+        if self.semiring != other.semiring:
+            raise ArgumentError("weights of different semirings")
+        return self.semiring
+
+    def plus(self, other: Weight) -> Weight:
+        return Weight(self.semiring, self._with(other).plus(self.value, other.value))
+
+    def times(self, other: Weight) -> Weight:
+        return Weight(self.semiring, self._with(other).times(self.value, other.value))
+
+    def divide(self, other: Weight) -> Weight:
+        return Weight(self.semiring, self._with(other).divide(self.value, other.value))
+
+    def power(self, n: int) -> Weight:
+        return Weight(self.semiring, self.semiring.power(self.value, n))
+
+    def close(self, other: Weight, delta: float = DELTA) -> bool:
+        return self._with(other).close(self.value, other.value, delta)
+
+    def __float__(self) -> float:
+        return self.value
+
+    def __str__(self) -> str:
+        return "Infinity" if self.value == INFINITY else repr(self.value).removesuffix(".0")

@@ -171,3 +171,70 @@ def test_iterators():
     assert [a.ilabel for a in arcs] == [99] and arcs.done() and m.string() == "cb"
     assert list(M.StateIterator(m)) == [0, 1, 2]
     assert m.convert("const") == m and m.arc_type() == "standard"
+
+
+def test_lattices():
+    from glyphloom.errors import RewriteError
+    from glyphloom.operators import rules as R
+
+    rule = M.string_map([("a", "x", 1), ("a", "y", 1), ("a", "z", 2), ("b", "q")])
+    lattice = R.rewrite_lattice("a", rule)
+    assert R.lattice_to_strings(lattice) == R.rewrites("a", rule) == ["x", "y", "z"]
+    assert R.lattice_to_top_string(lattice) == "x" and R.lattice_to_one_top_string(R.rewrite_lattice("b", rule)) == "q"
+    assert R.lattice_to_strings(R.lattice_to_dfa(lattice, optimal_only=True)) == ["x", "y"]
+    assert R.lattice_to_strings(R.lattice_to_nshortest(lattice, 1)) in (["x"], ["y"])
+    with pytest.raises(RewriteError):
+        R.lattice_to_one_top_string(lattice)
+    with pytest.raises(RewriteError):
+        R.rewrite_lattice("c", rule)
+    with pytest.raises(OperationError):
+        R.lattice_to_dfa(M.union(*[f"{k:x}" * 3 for k in range(400)]), state_multiplier=0)
+
+
+def test_weights_and_symbols():
+    from glyphloom.labels import SymbolTable
+    from glyphloom.semiring import Weight
+
+    a, b = Weight.of("tropical", 3), Weight.of("tropical", "1.5")
+    assert str(a.plus(b)) == "1.5" and str(a.times(b)) == "4.5" and str(a.divide(b)) == "1.5" and str(a.power(2)) == "6"
+    assert str(Weight.zero("log")) == "Infinity" and float(Weight.one("log")) == 0.0
+    with pytest.raises(ArgumentError):
+        a.plus(Weight.one("log"))
+    t = SymbolTable("t", [(0, "<eps>"), (5, "five")])
+    back = SymbolTable.of_bytes(t.to_bytes())
+    assert list(back) == list(t) and back.name == "t"
+    for bad in (b"{", b"5", b"\xff"):
+        with pytest.raises(ArgumentError):
+            SymbolTable.of_bytes(bad)
+
+
+def test_features(spark):
+    from pyspark.sql import functions as F
+
+    from glyphloom.operators.morphology import Category, Feature, FeatureVector, Paradigm, without_boundary
+
+    c = Category(Feature("num", "sg", "pl"), Feature("case", "nom", "gen"))
+    df = spark.createDataFrame([("x[num=pl][case=gen]",), ("[num=du]",), ("",), (None,)], "t string")
+    rows = df.select(c.read(F.col("t")).alias("v"), c.written(c.read(F.col("t"))).alias("w")).collect()
+    assert [r.v and (r.v["case"], r.v.num) for r in rows] == [("gen", "pl"), (None, None), (None, None), None]
+    assert [r.w for r in rows] == ["[case=gen][num=pl]", "", "", None]
+    assert sorted(o for _, o, _ in M.items(c.mapper())) == ["[case=gen]", "[case=nom]", "[num=pl]", "[num=sg]"]
+    assert [r[0] for r in spark.createDataFrame([("a+b",), ("ab",), (None,)], "t string").select(without_boundary(F.col("t"))).collect()] == [False, True, None]
+    sg = FeatureVector(c, "num=sg", "case=nom")
+    p = Paradigm(c, [("{}+o", sg)], sg, ["gat"])
+    assert [r.form for r in p.analyze_strictly(spark.createDataFrame([("gato",), (None,)], "w string"), "w").collect()] == ["gat+o"]
+    with pytest.raises(Exception, match="no reading of perro"):
+        p.analyze_strictly(spark.createDataFrame([("perro",)], "w string"), "w").collect()
+
+
+def test_sql_function(spark):
+    from glyphloom.operators.apply import register_scalar
+    from glyphloom.operators.rules import cdrewrite
+
+    rule = cdrewrite(M.cross("a", "b"), "", "", M.closure(M.union(*"abc")))
+    register_scalar(spark, "a_to_b", rule)
+    df = spark.createDataFrame([("cac",), ("",), (None,), ("zz",)], "t string")
+    assert [r[0] for r in spark.sql("SELECT a_to_b(t) FROM {df}", df=df).collect()] == ["cbc", "", None, None]
+    register_scalar(spark, "a_to_b_strictly", rule, strict=True)
+    with pytest.raises(Exception, match="no output"):
+        spark.sql("SELECT a_to_b_strictly(t) FROM {df}", df=df).collect()
