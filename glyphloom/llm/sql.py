@@ -70,11 +70,11 @@ LEFT JOIN (SELECT c, n AS {k}_n0 FROM zero WHERE kind = '{k}') USING (c) CROSS J
         for k in ("allow", "block")
     )
     return rf"""
-WITH u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT rid, page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT rid, page_id, url, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules AS (SELECT * FROM (VALUES {rules}) AS t(rule, rhost, rpath, verdict)),
 fit AS (SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS by_rule FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1),
-j AS (SELECT h.*, rule, by_rule, regexp_replace(translate(host || path, '{upper}', '{lower}'), '[0-9]', '0', 'g') AS s, md5(host || path)[1] IN ('0', '1', '2', '3') AS kept_back FROM h LEFT JOIN fit USING (rid)),
+j AS (SELECT h.*, rule, by_rule, regexp_replace(translate(url, '{upper}', '{lower}'), '[0-9]', '0', 'g') AS s, md5(url)[1] IN ('0', '1', '2', '3') AS kept_back FROM h LEFT JOIN fit USING (rid)),
 k AS (SELECT *, list_concat([0, 0], list_transform(CASE WHEN s = '' THEN [] ELSE string_split(s, '') END, lambda x: CASE WHEN strpos('{ALPHABET}', x) > 0 THEN strpos('{ALPHABET}', x) ELSE {OTHER_SYMBOL} END), [0]) AS codes FROM j),
 g AS (SELECT rid, by_rule, kept_back, pos, codes[pos - 2] AS a, codes[pos - 1] AS b, codes[pos] AS c FROM (SELECT *, unnest(range(3, len(codes) + 1)) AS pos FROM k)),
 cnt AS (SELECT by_rule AS kind, a, b, c, count(*) AS n FROM g WHERE by_rule IS NOT NULL AND NOT kept_back GROUP BY 1, 2, 3, 4),

@@ -7,14 +7,15 @@ probability after its last two characters is interpolated down to one, none, and
 different characters followed it).  A url's score is the mean, over its characters and its
 end, of the difference of log-probabilities.  The cutoff is calibrated on the fourth url
 of four: the largest of a thousandth's steps below which lie at most `lost_percent` of the
-allowed ones.  Urls without a rule are blocked below it.
+allowed ones.  Urls without a rule are blocked below it.  The models read whole urls, with
+scheme, query and fragment.
 
 Everything is DataFrame operations.  Characters are folded to 40 symbols, so the models
 together are one array of 40**3 numbers whatever the input; it goes to the scan as a
 scalar subquery, and scoring needs neither join nor shuffle.
 
-A null url, or one without "://", has empty host and path, fits no rule and has the score
-of an empty string.  If no url was allowed, or none blocked, the method allows.  Rows are
+A null url, or one without "://", has empty host and path and fits no rule; null is scored
+as the empty string.  If no url was allowed, or none blocked, the method allows.  Rows are
 judged by their url alone, so repeated rows and ties do not matter.  Only the id and url
 columns are read.  An empty table gives an empty result.
 """
@@ -124,13 +125,12 @@ def _model(counted: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, lost_percent: int = 5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict, and the method's score in thousandths, for each row."""
     url = F.col(f"`{url_col}`").cast("string")
-    judged = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    judged = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("text"))
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     judged = judged.withColumn("by_rule", F.when(F.col("rule").isin([r.text for r in rules if r.verdict == "allow"]), "allow").when(F.col("rule").isNotNull(), "block"))
-    text = F.concat("host", "path")
-    judged = judged.withColumn("kept_back", F.substring(F.md5(text), 1, 1).isin("0", "1", "2", "3"))
+    judged = judged.withColumn("kept_back", F.substring(F.md5("text"), 1, 1).isin("0", "1", "2", "3"))
     # codes are a column of their own: within a lambda they would be made anew for every symbol
-    grams = judged.withColumn("codes", codes_of(text)).withColumn("grams", _grams(F.col("codes"))).drop("codes")
+    grams = judged.withColumn("codes", codes_of(F.col("text"))).withColumn("grams", _grams(F.col("codes"))).drop("codes", "text")
 
     taught = grams.where("by_rule is not null and not kept_back").select(F.col("by_rule").alias("kind"), F.explode("grams").alias("gram"))
     counted = checkpointed(taught.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n")))

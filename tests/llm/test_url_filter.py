@@ -43,22 +43,22 @@ class Model:
 
 
 def plain(rows, lost=5):
-    parsed = [(i, *parse(u)) for i, u in rows]
-    kept_back = lambda h, p: md5((h + p).encode()).hexdigest()[0] in "0123"
-    by = [(h, p, rule(h, p)) for _, h, p in parsed]
-    models = {v: Model([h + p for h, p, r in by if r and r.verdict == v and not kept_back(h, p)]) for v in ("allow", "block")}
+    parsed = [(i, u or "", *parse(u)) for i, u in rows]
+    kept_back = lambda u: md5(u.encode()).hexdigest()[0] in "0123"
+    by = [(u, rule(h, p)) for _, u, h, p in parsed]
+    models = {v: Model([u for u, r in by if r and r.verdict == v and not kept_back(u)]) for v in ("allow", "block")}
 
     def score(text):
         c = codes(text)
         return math.floor(1000 * sum(math.log(models["allow"].p(c[i - 2 : i], c[i])) - math.log(models["block"].p(c[i - 2 : i], c[i])) for i in range(2, len(c))) / (len(c) - 2))
 
-    good = [score(h + p) for h, p, r in by if r and r.verdict == "allow" and kept_back(h, p)]
+    good = [score(u) for u, r in by if r and r.verdict == "allow" and kept_back(u)]
     cut = max((s for s in good if 100 * sum(x < s for x in good) <= lost * len(good)), default=None)
     both = all(m.follow for m in models.values())
     out = []
-    for i, h, p in parsed:
+    for i, u, h, p in parsed:
         r = rule(h, p)
-        method = "block" if both and cut is not None and score(h + p) < cut else "allow"
+        method = "block" if both and cut is not None and score(u) < cut else "allow"
         out.append((i, h, p, r.text if r else None, r.verdict if r else method))
     return out
 
