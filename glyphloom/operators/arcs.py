@@ -7,6 +7,7 @@ rows alone are joined, so a round costs what it finds.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,10 +22,13 @@ ARCS = "src long, ilabel long, olabel long, weight double, dst long"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Through the folder that the cluster names in spark.checkpoint.dir."""
+    """Through the folder that the cluster names in spark.checkpoint.dir; a temporary one on a single machine only."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise OperationError("spark.checkpoint.dir has to name a folder that all nodes reach")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 

@@ -204,3 +204,14 @@ def test_near_pairs_miss_nothing(spark):
                 patch.setattr(edit, "MOST_BROADCAST", most)
                 found = [tuple(r) for r in edit.distances(q, "x", w, "x", bound, edits).collect()]
             assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_no_temporary_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from glyphloom.operators.arcs import checkpointed
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(OperationError):
+        checkpointed(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=conf)))
