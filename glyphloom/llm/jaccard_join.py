@@ -121,6 +121,8 @@ def signatures(blocks: tb.Blocks, size: int, percent: int) -> DataFrame:
         block = tb.block_of(left)
         owned = _owned(block, right.filter(pa.compute.is_valid(right["h"])))
         sets, stands = _distinct(block, size, owned)
+        if len(block.ids) > 1 << 24:
+            raise ValueError("more than 2**24 rows are alike in id and text")
         number = block.number << 24
         ends = np.cumsum([len(s) for s in sets])
         often = tb.counts_in(np.concatenate(sets), right, n_buckets)

@@ -1,8 +1,8 @@
 """Shared plumbing: texts as byte arrays, word hashes, and the block exchange.
 
 A corpus-wide operator deals documents into *blocks* of about a megabyte by a hash of
-the whole row.  A block never holds a key's rows together, so no key can make it large.
-What blocks need to know of each other travels as packed arrays of hashes: each block
+id and text.  A block never holds a key's rows together, so no key can make it large; only
+rows alike in both id and text come to one block together.  What blocks need to know of each other travels as packed arrays of hashes: each block
 first reduces its own repetitions, so a key that a third of all rows share costs one
 entry a block.  Every function that runs on a block orders its rows by (id, text hash)
 first; a block that is computed again, after a lost executor or for a later step, is
@@ -11,6 +11,7 @@ therefore equal to the first one, and rows can be named by their place in it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,10 +32,12 @@ STEPS = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 64, dtype=np.uin
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The checkpoint folder, which the driver and all executors can reach; a temporary one where none is set, as in tests."""
+    """The checkpoint folder, which the driver and all executors can reach; a temporary one only on a single machine, as in tests."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 

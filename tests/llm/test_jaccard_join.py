@@ -126,3 +126,14 @@ def test_equal_sets_of_texts_that_other_blocks_own(spark, monkeypatch):
     assert len({c for _, _, c in want}) == 12
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.linked_groups(df).collect()) == sorted(want)
     assert sorted(r.doc_id for r in J.keep_one_of_each(df).collect()) == sorted(i for i, n, c in want if i == c)
+
+
+def test_no_temporary_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from glyphloom.llm.textblocks import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=conf)))
