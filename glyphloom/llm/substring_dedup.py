@@ -85,6 +85,25 @@ def _is_other(block: tb.Block, doc: np.ndarray, word: np.ndarray, first: np.ndar
     return (word != word[first]) | (block.ids[d] != block.ids[e]) | (block.hashes[d] != block.hashes[e])
 
 
+def _late_windows(table: pa.Table) -> pa.Table:
+    """Windows of a bucket that start earlier elsewhere, one row for each row received.
+
+    Time grows with the windows, not with windows times senders: a bucket hears from every block.
+    """
+    kinds = {"one": np.uint64, "two": np.uint64, "id": np.int64, "h": np.int64, "word": np.uint32, "seq": np.uint32}
+    x = {k: tb.unpacked(table[k], t) for k, t in kinds.items()}
+    source = np.repeat(np.arange(table.num_rows), tb.lengths(table["seq"], np.uint32))
+    order = np.lexsort((x["word"], x["h"], x["id"], x["two"], x["one"]))
+    x, source = {k: v[order] for k, v in x.items()}, source[order]
+    same = lambda *ks: np.logical_and.reduce([x[k][1:] == x[k][:-1] for k in ks])
+    head = np.concatenate(([True], ~same("one", "two"))) if len(source) else np.zeros(0, bool)
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    late = (x["id"] != x["id"][first]) | (x["h"] != x["h"][first]) | (x["word"] != x["word"][first])
+    numbers, seq = table["block"].to_pylist(), x["seq"][late]
+    rows = [{"block": numbers[s], "seq": seq[at].tobytes()} for s, at in tb.dealt(source[late])]
+    return pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), ("seq", pa.binary())]))
+
+
 def remove_repeated_sequences(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and the kept words joined by spaces (null unless with_text)."""
     if window < PERIOD + 1:
@@ -115,20 +134,6 @@ def remove_repeated_sequences(docs: DataFrame, window: int = 20, id_col: str = "
             rows.append({"bucket": b, "block": block.number} | tb.packed(one=one[w], two=two[w], id=block.ids[doc[w]], h=block.hashes[doc[w]], word=word[w].astype(np.uint32), seq=w.astype(np.uint32)))
         return pa.Table.from_pylist(rows, sent_schema)
 
-    def earliest(table: pa.Table) -> pa.Table:
-        kinds = {"one": np.uint64, "two": np.uint64, "id": np.int64, "h": np.int64, "word": np.uint32, "seq": np.uint32}
-        x = {k: tb.unpacked(table[k], t) for k, t in kinds.items()}
-        source = np.repeat(np.arange(table.num_rows), tb.lengths(table["seq"], np.uint32))
-        order = np.lexsort((x["word"], x["h"], x["id"], x["two"], x["one"]))
-        x, source = {k: v[order] for k, v in x.items()}, source[order]
-        same = lambda *ks: np.logical_and.reduce([x[k][1:] == x[k][:-1] for k in ks])
-        head = np.concatenate(([True], ~same("one", "two"))) if len(source) else np.zeros(0, bool)
-        first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        late = (x["id"] != x["id"][first]) | (x["h"] != x["h"][first]) | (x["word"] != x["word"][first])
-        numbers = table["block"].to_pylist()
-        rows = [{"block": numbers[s], "seq": x["seq"][late][at].tobytes()} for s, at in tb.dealt(source[late])]
-        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), ("seq", pa.binary())]))
-
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """`right` holds this block's repeated anchors and, as seq, its windows that start earlier in other blocks."""
         block = tb.block_of(left)
@@ -152,6 +157,6 @@ def remove_repeated_sequences(docs: DataFrame, window: int = 20, id_col: str = "
 
     by_block = blocks.docs.groupBy("block")
     windows = by_block.cogroup(repeated.groupBy("block")).applyInArrow(send, "bucket long, block long, one binary, two binary, id binary, h binary, word binary, seq binary")
-    late = windows.groupBy("bucket").applyInArrow(earliest, "block long, seq binary")
+    late = windows.groupBy("bucket").applyInArrow(_late_windows, "block long, seq binary")
     known = repeated.unionByName(late, allowMissingColumns=True)
     return by_block.cogroup(known.groupBy("block")).applyInArrow(lambda left, right: finish(left, right) if left.num_rows else pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()))}), RESULT)
