@@ -27,10 +27,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,7 @@ from . import textblocks as tb
 
 MAGIC = b"BPL1"
 BLOCK_IDS = 1 << 16
+GROUP = 1000  # chunks that the library encodes as one text
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 FILES = "number int, path string, n_docs long, n_ids long"
 
@@ -169,27 +171,27 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class _Chunks(dict):
-    """Numbers chunks as they are met; those whose ends touch other white space have no number.
-
-    A chunk comes after a space, or after a line end, with which it then starts.
-    """
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first asked for."""
 
     def __missing__(self, chunk: str) -> int:
-        inner = chunk[1:] if chunk[:1] == "\n" else chunk
-        if not inner or inner[0].isspace() or inner[-1].isspace():
-            return -1
         self[chunk] = n = len(self)
         return n
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist, which makes a scalar for each cell first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class LibraryEncoder:
     """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
     Plain byte-level BPE (no normalizer, the standard split) never joins what two single
     spaces or line ends part: such a mark and the chunk after it are encoded alike wherever
-    they stand.  The library encodes each distinct chunk once as long as it is remembered,
-    many in one text; tokens' lengths tell where each ends.  Texts in which white space meets white space
+    they stand.  Arrow cuts the texts of a call and finds their distinct chunks; the library encodes
+    each once as long as it is remembered, many in one text; tokens' lengths tell where each ends.  Of too many
+    remembered chunks the half met most often stays.  Texts in which white space meets white space
     are cut by the split's pattern instead, and the library encodes each distinct piece.  A
     text with a special token's string in it, and any other tokenizer's texts, it encodes whole.
     """
@@ -206,10 +208,16 @@ class LibraryEncoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
-        self._forget()
+        self.chunks, self.ids, self.place, self.met = _Numbers(), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        self.chunks, self.ids, self.place, self.done = _Chunks(), np.zeros(0, np.int64), np.zeros(1, np.int64), 0
+        """Keep the half that was met most often; what it was met counts half from now on."""
+        stay = np.sort(np.argsort(-self.met, kind="stable")[: self.cached // 2])
+        names = list(self.chunks)
+        self.chunks = _Numbers((names[k], i) for i, k in enumerate(stay.tolist()))
+        n = self.place[stay + 1] - self.place[stay]
+        self.ids, self.place = self.ids[tb.ranges(self.place[stay], n)], np.concatenate(([0], np.cumsum(n)))
+        self.met = self.met[stay] // 2
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -218,49 +226,63 @@ class LibraryEncoder:
     def _merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self._whole([p.decode() for p in pieces])
 
-    def _learn(self) -> None:
-        """Encode the chunks that were met for the first time."""
-        new = len(self.chunks) - self.done
-        if not new:
+    def _learn(self, chunks: pa.Array) -> None:
+        """Encode the chunks that were met for the first time, in the order of their numbers."""
+        if not len(chunks):
             return
-        led = [c if c[0] == "\n" else " " + c for c in [*islice(reversed(self.chunks), new)][::-1]]
-        ids, _ = self._whole(["".join(led[k : k + 1000]) for k in range(0, new, 1000)])
-        place = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(c.encode()) for c in led])) + 1
+        led = pc.if_else(pc.starts_with(chunks, "\n"), chunks, pc.binary_join_element_wise(pa.scalar(" ", chunks.type), chunks, pa.scalar("", chunks.type)))
+        led = tb.texts_of(led)
+        cuts = led.start[[*range(0, len(led), GROUP), len(led)]].tolist()
+        ids, _ = self._whole([led.data[a:b].tobytes().decode() for a, b in pairwise(cuts)])
+        place = np.searchsorted(np.cumsum(self.n_bytes[ids]), led.start[1:]) + 1
         self.place = np.concatenate((self.place, place + len(self.ids)))
         self.ids = np.concatenate((self.ids, ids))
-        self.done += new
+        self.met = np.concatenate((self.met, np.zeros(len(led), np.int64)))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids end to end and n + 1 places."""
-        if not self.plain:
-            return self._whole(texts)
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end and n + 1 places; null is an empty text."""
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).cast(pa.large_string()).fill_null("")
+        if not self.plain or not len(texts):
+            return self._whole(_strings(texts))
         if len(self.chunks) > self.cached:
             self._forget()
-        parts: list[np.ndarray | None] = [None] * len(texts)
-        numbers, firsts, whole, cut = {}, {}, [], []
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                whole.append(i)
-                continue
-            first, *rest = text.replace("\n", " \n").split(" ")
-            number = np.fromiter(map(self.chunks.__getitem__, rest), np.int64, len(rest))
-            if first[-1:].isspace() or len(number) and number.min() < 0:
-                cut.append(i)
-            else:
-                numbers[i], firsts[i] = number, first
-        self._learn()
-        for which, encode, given in ((whole, self._whole, texts), (cut, self.pieces.encode, texts), (list(firsts), self._whole, firsts)):
-            ids, place = encode([given[i] for i in which])
-            for k, i in enumerate(which):
-                parts[i] = ids[place[k] : place[k + 1]]
-        if numbers:
-            number = np.concatenate(list(numbers.values()))
-            n = self.place[number + 1] - self.place[number]
-            ids = self.ids[tb.ranges(self.place[number], n)]
-            ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([len(x) for x in numbers.values()])].tolist()
-            for i, a, b in zip(numbers, [0, *ends], ends):
-                parts[i] = np.concatenate((parts[i], ids[a:b]))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded, count = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        entry, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), count)
+        leads = np.zeros(len(entry), bool)  # a text's first chunk has no mark before it
+        leads[np.cumsum(count) - count] = True
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        marked = ~leads & ~whole[text]
+        times = np.bincount(entry[marked], minlength=len(coded.dictionary))
+        # a chunk comes after a space, or after a line end, with which it then starts; one whose ends touch other white space gets no number
+        inner = pc.ascii_ltrim(coded.dictionary, "\n")
+        length = pc.binary_length(inner).to_numpy()
+        fit = np.flatnonzero((times > 0) & (length > 0) & (pc.binary_length(pc.utf8_trim_whitespace(inner)).to_numpy() == length))
+        names, done = coded.dictionary.take(pa.array(fit)), len(self.chunks)
+        numbers = np.fromiter(map(self.chunks.__getitem__, _strings(names)), np.int64, len(fit))
+        self._learn(names.filter(pa.array(numbers >= done)))
+        self.met[numbers] += times[fit]
+        number = np.full(len(times), -1)
+        number[fit] = numbers
+        number = number[entry]
+        firsts = coded.dictionary.take(pa.array(entry[leads]))
+        cut = pc.binary_length(pc.utf8_rtrim_whitespace(firsts)).to_numpy() < pc.binary_length(firsts).to_numpy()
+        cut[text[marked & (number < 0)]] = True
+        cut &= ~whole
+        plain = ~whole & ~cut
+        # the first chunk's place stands for the whole text where that is not put together from chunks
+        pool, size, begin, n = [self.ids], len(self.ids), self.place[number], self.place[number + 1] - self.place[number]
+        head = np.flatnonzero(leads)
+        for which, encode, given in ((whole, self._whole, texts), (cut, self.pieces.encode, texts), (plain, self._whole, firsts)):
+            ids, place = encode(_strings(given.filter(pa.array(which))))
+            begin[head[which]], n[head[which]] = size + place[:-1], np.diff(place)
+            pool.append(ids)
+            size += len(ids)
+        kept = leads | plain[text]
+        begin, n, head = begin[kept], n[kept], np.flatnonzero(leads[kept])
+        return np.concatenate(pool)[tb.ranges(begin, n)], np.concatenate(([0], np.cumsum(np.add.reduceat(n, head))))
 
 
 @lru_cache(1)
@@ -284,7 +306,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
         encoder, target, number = None, None, TaskContext.get().partitionId()
         for batch in batches:
-            for part, texts in bpe._slices(batch, "text", 4 * tb.MEGABYTE):
+            for a, b, _ in tb.texts_of(batch["text"]).chunks(4 * tb.MEGABYTE):
+                part = batch.slice(a, b - a)
                 if target is None:
                     encoder = library_encoder(tokenizer)
                     system, top = pyarrow.fs.FileSystem.from_uri(folder)
@@ -292,9 +315,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
                     own = f"{name}.{uuid.uuid4().hex}"
                     out = system.open_output_stream(own)
                     target = Writer(out, kind, block_ids)
-                ids, place = encoder.encode(texts)
+                ids, place = encoder.encode(part["text"])
                 ended = np.insert(ids, place[1:], end_id)
-                cells = np.zeros(len(texts), DOC)
+                cells = np.zeros(b - a, DOC)
                 cells["id"], cells["null"], cells["n"] = part["doc_id"].fill_null(0).to_numpy(), part["doc_id"].is_null().to_numpy(zero_copy_only=False), np.diff(place) + 1
                 target.add(cells, ended)
         if target is not None:

@@ -65,3 +65,18 @@ def test_chunks_are_encoded_alike_everywhere():
         texts = [rnd.choice(["", " ", "\n"]) + " ".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 9))) for _ in range(rnd.randrange(1, 7))]
         ids, place = e.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(place, place[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_frequent_chunks_are_encoded_once():
+    t, given = Tokenizer.from_file(FILE), []
+    e = F.LibraryEncoder(FILE, cached=100)
+    whole = e._whole
+    e._whole = lambda texts: given.extend(texts) or whole(texts)
+    common = [f"common{k}" for k in range(20)]
+    for call in range(30):
+        texts = [" ".join(["x", *common, *(f"fresh{call}q{k}" for k in range(30))]), "", "x\ncommon3 y"]
+        ids, place = e.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(place, place[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(e.chunks) < 200
+    words = " ".join(given).split(" ")
+    assert [words.count(w) for w in common] == [1] * 20
