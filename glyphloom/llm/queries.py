@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, sql, token_files, url_filter
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, source_audit, sql, token_files, url_filter
 from .substring_dedup import remove_repeated_sequences
 from .suffix_dedup import remove_repeated_strings
 
@@ -53,6 +53,10 @@ def op10_token_files(spark, sf_dir):
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_source_audit(spark, sf_dir):
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -64,10 +68,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLE_SQL = {
     "op5_url_filter": sql.url_filter(),
     "op6_quality_rules": sql.quality_rules(),
     "op9_line_dedup": sql.line_dedup(),
+    "op13_source_audit": sql.source_audit(),
 }

@@ -53,6 +53,23 @@ SELECT doc_id, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]'))::BIGIN
 FROM x LEFT JOIN bad USING (source, line) GROUP BY rid, doc_id"""
 
 
+def source_audit(min_docs: int = 10, most: int = 10) -> str:
+    """Shares of all kept terms in all groups of a language, pair by pair."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM x GROUP BY 1, 2 HAVING count(DISTINCT rid) >= {min_docs}),
+c AS (SELECT lang, source, term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+total AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY 1, 2),
+p AS (SELECT k.lang, t.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS p FROM kept k JOIN total t ON k.lang = t.lang JOIN v ON k.lang = v.lang LEFT JOIN c ON c.lang = k.lang AND c.source = t.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2) JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM total GROUP BY 1) USING (lang) JOIN v USING (lang)),
+both_ways AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN both_ways w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)) WHERE part = 'pair' OR rank <= {most}"""
+
+
 def url_filter(lost_percent: int = 5) -> str:
     """Rules, Witten-Bell models over folded symbols, and the calibrated cutoff."""
     rules = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
