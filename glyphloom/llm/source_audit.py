@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 
 SCALE = 10**9
-TILE = 1 << 21  # cells of a tile
-PAIR_CELLS = 1 << 28  # cells times groups of a tile: what a task subtracts
+TERMS = 4096  # of a tile, more where a language has so many sources that pairs would outnumber cells
+CELLS = 1 << 23  # of a tile at most
+STRIP = 1 << 21  # differences held at a time
 RESULT = "lang string, source string, part string, item string, value long"
 _COUNTS = "lang string, source string, term string, n long, docs long"
 _SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -102,7 +103,7 @@ def pair_sums(p: np.ndarray) -> np.ndarray:
     """Sums over all terms of the difference of each pair of rows, above the diagonal."""
     n, width = p.shape
     out = np.zeros((n, n), np.int64)
-    step = max(1, TILE // max(1, n * width))
+    step = max(1, STRIP // max(1, n * width))
     for a in range(0, n, step):
         out[a : a + step, a:] = difference(p[a : a + step, None, :], p[None, a:, :]).sum(2)
     return np.triu(out, 1)
@@ -121,9 +122,8 @@ def audit(docs: DataFrame, min_docs: int = 10, most: int = 10, lang_col: str = "
     groups = _named(docs, lang_col, source_col).distinct().join(used, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("total", F.lit(0)).alias("total")).alias("group"))
     langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list("group")).alias("groups"))
     langs = langs.join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v")), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
-    wide = F.col("v") * F.size("groups")
-    n_blocks = F.greatest(F.lit(1), F.ceil(wide / TILE), F.ceil(wide * F.size("groups") / PAIR_CELLS)).cast("long")
-    langs = tb.checkpointed(langs.withColumn("n_blocks", n_blocks))
+    terms = F.least(F.greatest(F.lit(TERMS), 8 * F.size("groups")), F.greatest(F.lit(1), F.lit(CELLS) / F.size("groups")))
+    langs = tb.checkpointed(langs.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / terms)).cast("long")))
     dealt = kept.join(langs.select("lang", "n_blocks"), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("n_blocks")).alias("block"), "term", "cells").toDF("lang", "block", "term", "cells")
     rows = langs.select("lang", "groups", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block")).toDF("lang", "groups", "v", "block")
 

@@ -59,7 +59,8 @@ def test_against_plain_counts(spark, seed):
 
 def test_small_tiles(spark, monkeypatch):
     """Terms of one language in many blocks: partial sums and heaps from each."""
-    monkeypatch.setattr(A, "TILE", 16)
+    monkeypatch.setattr(A, "CELLS", 16)
+    monkeypatch.setattr(A, "STRIP", 8)
     docs = some(7)
     df = spark.createDataFrame(docs, "lang string, source string, text string")
     assert sorted(map(tuple, A.audit(df, min_docs=2).collect())) == plain(docs, 2)
