@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, source_audit, sql, token_files, url_filter
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, source_audit, sql, token_files, toxicity, url_filter, whitening
 from .substring_dedup import remove_repeated_sequences
 from .suffix_dedup import remove_repeated_strings
 
@@ -53,6 +53,14 @@ def op10_token_files(spark, sf_dir):
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark, sf_dir):
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("evidence")
+
+
 def op13_source_audit(spark, sf_dir):
     return source_audit.audit(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +76,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_toxicity": op12_toxicity,
     "op13_source_audit": op13_source_audit,
 }
 
