@@ -1,19 +1,22 @@
 """Toxicity by the nearest labelled examples, in an exact TF-IDF cosine.
 
 Terms are words (runs of ASCII letters and of characters beyond ASCII, A-Z lower-cased) and
-the beginnings of words of `SHORTEST` to `LONGEST` bytes, known by 64-bit hashes.  The space
-is spanned by terms whose presence in the examples depends on the label (log-likelihood
-ratio of at least `LEAST_RATIO`, the strongest MOST_TERMS of them); a term's weight in a text
-is its count times ln((1 + N) / (1 + df)) + 1, with N and df over all documents.
-
-Block-max inverted index: examples are ordered by their heaviest term and cut into blocks of
-BLOCK; a term's postings are kept block by block with their largest weight.  A search adds
-up those largest weights to a bound for each block, opens the blocks with the highest bounds
-first, and stops at blocks whose bound is below the k-th best cosine found: the k nearest
-are exact, equal cosines are taken by id.  Neighbours vote with 1 / (1 - cosine + NEAR), and
-votes become probabilities by isotonic regression on the votes that the examples get from
-each other.  A text without any term of the space has no neighbours and gets the rate of
-examples like it.  The neighbours are the evidence.
+the beginnings of words of `SHORTEST` to `LONGEST` bytes, known by 64-bit hashes; what a text has
+more than once also counts, once, as a term of its own.  The space is spanned by terms whose presence in the examples depends on the label (log-likelihood
+ratio of at least `LEAST_RATIO`, one label's rate at least `LEAST_LIFT` times the other's, the
+strongest MOST_TERMS of them); a term's weight in a text is its count times
+ln((1 + N) / (1 + df)) + 1, with N and df over all documents.
+
+Examples with equal counts are one point.  Block-max inverted index: points are ordered by
+their heaviest term and cut into blocks of BLOCK; a term's postings are kept block by block
+with their largest weight.  A search adds up those largest weights to a bound for each block,
+opens the blocks with the highest bounds first, and stops at blocks whose bound is below the
+k-th best cosine found: the nearest points are exact, cosines equal in 12 digits are taken by
+the least id.  The nearest `NEIGHBOURS` examples vote with 1 / (1 - cosine + NEAR); where a
+point has more examples than seats are left, they share the seats.  Votes become
+probabilities by isotonic regression on the votes that the examples get from each other.  A
+text without any term of the space has no neighbours and gets the rate of examples like it.
+The evidence names each point by its least id, with its cosine, examples and toxic ones.
 
 Examples are labelled ids that are not held out (crc32(id as text) mod 3 is not 1), `sample`
 at most, by a hash of the id; each gives one text, of several the first in string order, and
@@ -41,16 +44,18 @@ from .source_audit import letters
 SAMPLE = 8000
 MOST_TERMS = 2048
 LEAST_RATIO = 15.0
+LEAST_LIFT = 2.0
 LEAST_EXAMPLES = 5
 SHORTEST, LONGEST = 4, 9
+AGAIN = np.uint64(0x5DEECE66D1CE4E5B)  # tells a term from the same one found more than once
 NEIGHBOURS = 20
 NEAR = 0.1
 BLOCK = 64
 TOXIC = 0.7
-CHUNK = 2048  # texts searched at a time
+MOST_CELLS = 1 << 20  # of the index, or cosines, for the texts that are searched at a time
 
-RESULT = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+RESULT = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,examples:long,toxic:long>>"
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("examples", pa.int64()), ("toxic", pa.int64())]))
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", _EVIDENCE)])
 
 
@@ -107,15 +112,19 @@ class Rows:
 def counted(texts: tb.Texts, known: np.ndarray) -> Rows:
     """Counts of the known terms (ascending hashes) in each text."""
     text, term = terms_of(texts)
-    if len(known):
+    plain = np.unique(np.concatenate((known, known ^ AGAIN)))
+    if len(plain):
         bit = np.zeros(1 << 16, bool)
-        bit[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+        bit[(plain & np.uint64(0xFFFF)).astype(np.int64)] = True
         may = np.flatnonzero(bit[(term & np.uint64(0xFFFF)).astype(np.int64)])
         text, term = text[may], term[may]
-    at = tb.member(term, known)
-    width = max(1, len(known))
-    pair, times = np.unique(text[at >= 0] * width + at[at >= 0], return_counts=True)
-    return Rows(np.searchsorted(pair // width, np.arange(len(texts) + 1)), pair % width, times.astype(np.float64))
+    at = tb.member(term, plain)
+    pair, times = np.unique(text[at >= 0] * max(1, len(plain)) + at[at >= 0], return_counts=True)
+    text, term = pair // max(1, len(plain)), plain[pair % max(1, len(plain))]
+    own, again = tb.member(term, known), np.where(times > 1, tb.member(term ^ AGAIN, known), -1)
+    text, place, value = (np.concatenate(x) for x in ((text[own >= 0], text[again >= 0]), (own[own >= 0], again[again >= 0]), (times[own >= 0], np.ones((again >= 0).sum()))))
+    order = np.lexsort((place, text))
+    return Rows(np.searchsorted(text[order], np.arange(len(texts) + 1)), place[order], value[order].astype(np.float64))
 
 
 def packed_rows(rows: Rows) -> list[pa.Array]:
@@ -129,74 +138,110 @@ def unpacked_rows(table: pa.Table | pa.RecordBatch) -> Rows:
 
 
 class Index:
-    """Block-max inverted index over examples; `rows` are their weighted vectors."""
+    """Block-max inverted index over the examples' distinct vectors: points, each with its examples."""
 
-    def __init__(self, rows: Rows, ids: np.ndarray, toxic: np.ndarray, width: int, block: int = BLOCK):
-        heaviest = np.zeros(len(rows), np.int64)
-        by_weight = np.lexsort((rows.values, rows.row))
+    def __init__(self, rows: Rows, ids: np.ndarray, toxic: np.ndarray, weights: np.ndarray, block: int = BLOCK):
         full = np.flatnonzero(np.diff(rows.start))
-        heaviest[full] = rows.places[by_weight[rows.start[full + 1] - 1]]
-        self.order = full[np.lexsort((ids[full], heaviest[full]))]
-        self.ids, self.toxic, self.block = ids[self.order], toxic[self.order], block
-        self.n_blocks = max(1, -(-len(self.order) // block))
-        place = np.full(len(rows), -1)
-        place[self.order] = np.arange(len(self.order))
-        order = np.lexsort((place[rows.row], rows.places))
-        self.example, self.weight = place[rows.row][order], rows.values[order]
-        cell = rows.places[order] * self.n_blocks + self.example // block
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
-        self.cell_block, self.cell_first = cell[first] % self.n_blocks, np.append(first, len(cell))
-        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.term_first = np.searchsorted(cell[first] // self.n_blocks, np.arange(width + 1))
-
-    def nearest(self, queries: Rows, own: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, example, cosine) of the k nearest of each query whose cosine is above 0; examples of the id `own` are left out."""
-        n = len(queries)
+        first, same = distinct(rows)
+        points = rows.weighted(weights)
+        heaviest = np.full(len(rows), -1)
+        by_weight = np.lexsort((points.values, points.row))
+        heaviest[full] = points.places[by_weight[points.start[full + 1] - 1]]
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, ids)
+        order = np.lexsort((least, heaviest[first]))
+        order = order[heaviest[first[order]] >= 0]
+        place = np.full(len(first), -1)
+        place[order] = np.arange(len(order))
+        self.block, self.n_blocks, self.least = block, max(1, -(-len(order) // block)), least[order]
+        used = place[same] >= 0
+        self.n, self.bad = (np.bincount(place[same][used], w, len(order)).astype(np.int64) for w in (None, toxic[used]))
+        by_id = np.argsort(ids)
+        self.ids, self.point_of, self.toxic_of = ids[by_id], place[same][by_id], toxic[by_id]
+        mine = np.isin(points.row, first[order])
+        row, term, value = place[same[points.row[mine]]], points.places[mine], points.values[mine]
+        order = np.lexsort((row, term))
+        self.point, self.weight = row[order], value[order]
+        cell = term[order] * self.n_blocks + self.point // block
+        begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
+        self.cell_block, self.cell_first = cell[begins] % self.n_blocks, np.append(begins, len(cell))
+        self.cell_most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
+        self.term_first = np.searchsorted(cell[begins] // self.n_blocks, np.arange(len(weights) + 1))
+
+    def nearest(self, queries: Rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, cosine), nearest first, of the k nearest points of each query whose cosine is above 0."""
+        found = []
+        cells = np.concatenate(([0], np.cumsum(self.term_first[queries.places + 1] - self.term_first[queries.places])))[queries.start]
+        a = 0
+        while a < len(queries):
+            b = int(np.searchsorted(cells, cells[a] + MOST_CELLS, "right")) - 1
+            b = min(max(b, a + 1), a + max(1, MOST_CELLS // max(1, len(self.n))), len(queries))
+            query, point, cosine = self._nearest(queries.part(a, b), k)
+            found.append((query + a, point, cosine))
+            a = b
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _nearest(self, queries: Rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, width = len(queries), self.n_blocks * self.block
         many = self.term_first[queries.places + 1] - self.term_first[queries.places]
         cell = tb.ranges(self.term_first[queries.places], many)
         query, value = np.repeat(queries.row, many), np.repeat(queries.values, many)
         at = query * self.n_blocks + self.cell_block[cell]
-        bound = np.bincount(at, value * self.cell_most[cell], n * self.n_blocks).reshape(n, self.n_blocks) * (1 + 1e-9)
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        least, step = np.zeros(n), 2
-        while True:
-            ahead = (bound > 0) & (bound >= least[:, None])
-            if not ahead.any():
-                return best
-            first = np.argpartition(-bound, min(step, self.n_blocks) - 1, axis=1)[:, :step]
+        bound = np.bincount(at, value * self.cell_most[cell], n * self.n_blocks).reshape(n, self.n_blocks) + 1e-9
+        bound[bound < 2e-9] = 0
+        cosine, least, step = np.zeros((n, width)), np.zeros(n), 2
+        while (ahead := (bound > 0) & (bound >= least[:, None])).any():
             opened = np.zeros_like(ahead)
-            np.put_along_axis(opened, first, True, 1)
+            np.put_along_axis(opened, np.argpartition(-bound, min(step, self.n_blocks) - 1, axis=1)[:, :step], True, 1)
             opened &= ahead
-            best = self._merged(best, self._scored(opened, cell, query, value, at), own, k)
+            use = np.flatnonzero(opened.ravel()[at])
+            size = self.cell_first[cell[use] + 1] - self.cell_first[cell[use]]
+            posting = tb.ranges(self.cell_first[cell[use]], size)
+            cosine += np.bincount(np.repeat(query[use], size) * width + self.point[posting], np.repeat(value[use], size) * self.weight[posting], n * width).reshape(n, width)
             bound[opened] = 0
-            count = np.bincount(best[0], minlength=n)
-            last = np.cumsum(count) - 1
-            least = np.where(count == k, best[2][np.maximum(last, 0)] if len(best[2]) else 0.0, 0.0)
+            if width > k:
+                least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
             step *= 2
-
-    def _scored(self, opened: np.ndarray, cell: np.ndarray, query: np.ndarray, value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exact cosines of all examples in the opened blocks that share a term."""
-        use = np.flatnonzero(opened.ravel()[at])
-        many = self.cell_first[cell[use] + 1] - self.cell_first[cell[use]]
-        posting = tb.ranges(self.cell_first[cell[use]], many)
-        pair, where = np.unique(np.repeat(query[use], many) * len(self.ids) + self.example[posting], return_inverse=True)
-        return pair // max(1, len(self.ids)), pair % max(1, len(self.ids)), np.bincount(where, np.repeat(value[use], many) * self.weight[posting], len(pair))
-
-    def _merged(self, a, b, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        query, example, cosine = (np.concatenate(x) for x in zip(a, b))
-        other = self.ids[example] != own[query]
-        query, example, cosine = query[other], example[other], np.minimum(cosine[other], 1.0)
-        order = np.lexsort((self.ids[example], -cosine, query))
-        query, example, cosine = query[order], example[order], cosine[order]
+        cosine = np.minimum(np.round(cosine, 12), 1.0)
+        if width > k:
+            least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
+        query, point = np.nonzero((cosine > 0) & (cosine >= least[:, None]))
+        cosine = cosine[query, point]
+        order = np.lexsort((self.least[point], -cosine, query))
+        query, point, cosine = query[order], point[order], cosine[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query)
-        return query[rank < k], example[rank < k], cosine[rank < k]
+        return query[rank < k], point[rank < k], cosine[rank < k]
+
+
+def distinct(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each kind, and each row's kind."""
+    kinds: dict[tuple[bytes, bytes], int] = {}
+    first, same = [], np.empty(len(rows), np.int64)
+    for i, (a, b) in enumerate(zip(rows.start[:-1].tolist(), rows.start[1:].tolist())):
+        kind = kinds.setdefault((rows.places[a:b].tobytes(), rows.values[a:b].tobytes()), len(first))
+        if kind == len(first):
+            first.append(i)
+        same[i] = kind
+    return np.array(first, np.int64), same
+
 
+@dataclass
+class Neighbours:
+    """Of each query, its nearest points: examples beside the query itself, toxic ones, and the seats they take."""
+
+    start: np.ndarray
+    point: np.ndarray
+    cosine: np.ndarray
+    n: np.ndarray
+    bad: np.ndarray
+    seats: np.ndarray
 
-def votes_of(query: np.ndarray, toxic: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
-    """The toxic share of each query's neighbours, nearer ones counting more; -1 without neighbours."""
-    weight = 1 / (1 - cosine + NEAR)
-    whole = np.bincount(query, weight, n)
-    return np.where(whole > 0, np.bincount(query, weight * toxic, n) / np.maximum(whole, 1e-300), -1.0)
+    def votes(self) -> np.ndarray:
+        """The toxic share of each query's seats, nearer ones counting more; -1 without neighbours."""
+        query = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        weight = self.seats / (1 - self.cosine + NEAR)
+        whole = np.bincount(query, weight, len(self.start) - 1)
+        return np.where(whole > 0, np.bincount(query, weight * self.bad / self.n, len(self.start) - 1) / np.maximum(whole, 1e-300), -1.0)
 
 
 @dataclass
@@ -235,11 +280,27 @@ class Model:
     index: Index
     calibration: Calibration
 
-    def neighbours(self, rows: Rows, own: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        rows = rows.weighted(self.weights)
-        for a in range(0, len(rows), CHUNK):
-            b = min(a + CHUNK, len(rows))
-            yield a, b, *self.index.nearest(rows.part(a, b), own[a:b])
+    def neighbours(self, rows: Rows, own: np.ndarray, k: int = NEIGHBOURS) -> Neighbours:
+        """Equal rows are searched once; then each leaves itself out."""
+        x = self.index
+        first, same = distinct(rows)
+        asked = Rows(np.concatenate(([0], np.cumsum(np.diff(rows.start)[first]))), *(v[tb.ranges(rows.start[first], np.diff(rows.start)[first])] for v in (rows.places, rows.values)))
+        query, point, cosine = x.nearest(asked.weighted(self.weights), k + 1)
+        begin = np.searchsorted(query, np.arange(len(first) + 1))
+        count = np.diff(begin)[same]
+        at = tb.ranges(begin[:-1][same], count)
+        query, point, cosine = np.repeat(np.arange(len(rows)), count), point[at], cosine[at]
+        mine = tb.member(own, x.ids)
+        itself = (mine[query] >= 0) & (x.point_of[np.maximum(mine[query], 0)] == point) if len(x.ids) else np.zeros(len(query), bool)
+        n = x.n[point] - itself
+        bad = x.bad[point] - (itself * x.toxic_of[np.maximum(mine[query], 0)] if len(x.ids) else 0)
+        query, point, cosine, n, bad = (v[n > 0] for v in (query, point, cosine, n, bad))
+        before = np.cumsum(n) - n
+        start = np.searchsorted(query, np.arange(len(rows) + 1))
+        before -= before[start[:-1][query]] if len(query) else 0
+        seats = np.clip(k - before, 0, n)
+        query, point, cosine, n, bad, seats = (v[seats > 0] for v in (query, point, cosine, n, bad, seats))
+        return Neighbours(np.searchsorted(query, np.arange(len(rows) + 1)), point, cosine, n, bad, seats)
 
 
 def _vectors(df: DataFrame, known: np.ndarray, beside: str) -> DataFrame:
@@ -274,8 +335,9 @@ def telling_terms(examples: DataFrame) -> np.ndarray:
                 order = np.lexsort((text, term))
                 text, term = text[order], term[order]
                 once = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (text[1:] != text[:-1]))))
-                names, at = np.unique(term[once], return_inverse=True)
-                bad = np.bincount(at, toxic[a:b][text[once]], len(names)).astype(np.int64)
+                often = once[np.diff(np.append(once, len(term))) > 1]
+                names, at = np.unique(np.concatenate((term[once], term[often] ^ AGAIN)), return_inverse=True)
+                bad = np.bincount(at, toxic[a:b][np.concatenate((text[once], text[often]))], len(names)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(names)) - bad)], ["term", "bad", "good"])
 
     n = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
@@ -286,7 +348,9 @@ def telling_terms(examples: DataFrame) -> np.ndarray:
     share = (bad + good) / (n1 + n0)
     ratio = 2 * (pull(bad, n1, share) + pull(good, n0, share) + pull(n1 - bad, n1, 1 - share) + pull(n0 - good, n0, 1 - share))
     counts = examples.select("toxic", "text").mapInArrow(run, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    told = counts.where((bad + good >= LEAST_EXAMPLES) & (bad + good < n1 + n0)).select("term", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
+    rates = bad / n1, good / n0
+    apart = F.greatest(*rates) >= LEAST_LIFT * F.least(*rates)
+    told = counts.where((bad + good >= LEAST_EXAMPLES) & (bad + good < n1 + n0) & apart).select("term", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
     rows = told.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).collect()
     return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
 
@@ -325,25 +389,22 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     weights = np.log((1 + n) / (1 + df)) + 1
     rows = _vectors(examples, known, "toxic").toArrow().sort_by("doc_id")  # at most `sample` rows
     toxic = rows["toxic"].to_numpy().astype(np.int64)
-    index = Index(unpacked_rows(rows).weighted(weights), rows["doc_id"].to_numpy(), toxic, len(known))
+    index = Index(unpacked_rows(rows), rows["doc_id"].to_numpy(), toxic, weights)
     model = Model(known, weights, index, Calibration.of(np.zeros(0), np.zeros(0)))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, query, example, cosine in model.neighbours(unpacked_rows(batch), _own(batch)):
-                yield pa.RecordBatch.from_arrays([pa.array(votes_of(query, model.index.toxic[example], cosine, b - a)), batch["toxic"].slice(a, b - a)], ["vote", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.neighbours(unpacked_rows(batch), _own(batch)).votes()), batch["toxic"]], ["vote", "toxic"])
 
     seen = _vectors(examples, known, "toxic").mapInArrow(votes, "vote double, toxic int").toArrow()  # at most `sample` rows
     fitted = Model(known, weights, index, Calibration.of(seen["vote"].to_numpy(), seen["toxic"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, query, example, cosine in fitted.neighbours(unpacked_rows(batch), _own(batch)):
-                bad = fitted.index.toxic[example]
-                p = fitted.calibration(votes_of(query, bad, cosine, b - a))
-                cells = pa.StructArray.from_arrays([pa.array(fitted.index.ids[example]), pa.array(cosine), pa.array(bad.astype(np.int32))], ["doc_id", "similarity", "toxic"])
-                evidence = pa.ListArray.from_arrays(np.searchsorted(query, np.arange(b - a + 1)).astype(np.int32), cells)
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(p), pa.array((p >= TOXIC).astype(np.int32)), evidence.cast(_EVIDENCE)], schema=_SCHEMA)
+            near = fitted.neighbours(unpacked_rows(batch), _own(batch))
+            p = fitted.calibration(near.votes())
+            cells = pa.StructArray.from_arrays([pa.array(v) for v in (index.least[near.point], near.cosine, near.n, near.bad)], ["doc_id", "similarity", "examples", "toxic"])
+            evidence = pa.ListArray.from_arrays(near.start.astype(np.int32), cells)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(p), pa.array((p >= TOXIC).astype(np.int32)), evidence.cast(_EVIDENCE)], schema=_SCHEMA)
 
     return vectors.mapInArrow(run, RESULT)
