@@ -2,7 +2,9 @@
 
 Each signal is a share in thousandths; a document is rejected where one reaches its
 cutoff.  Cutoffs are chosen for each stratum (a stated list of languages, and one for the
-rest) on labelled documents, which a hash of their id splits in two.  The smaller part
+rest) on labelled documents, one draw an id and one an equal text: of several texts of an
+id the one with the least digest counts, and ids with equal texts are one draw, good if all
+of them are.  A digest of the text splits the draws in two.  The smaller part
 proposes: for each signal the cutoff that rejects most of the bad at little cost among the
 good, and an order of the signals, the most useful first.  The larger part tests the rule
 sets that this order builds up (the first signal, the first two, ...), each as a whole: a
@@ -15,8 +17,9 @@ its good documents.  Without a safe set (too few labels, say) no signal rejects
 
 Base failures (few words, much repetition) are rules of their own and need no labels.
 
-Null and empty texts have no words and fail the base rule.  Rows are independent, so
-repeated rows and ties do not matter.  Label rows with null id or quality are not used; of
+Null and empty texts have no words and fail the base rule.  Rows are counted and judged one
+by one, repeated ones alike; how often a labelled row or text is listed does not change what
+is certified.  Label rows with null id or quality are not used; of
 several labels of one id the lowest counts.  Other columns are carried along untouched by
 `statistics_of`; a column that has its name already is an error.  Empty tables give empty
 results, and an empty label table no cutoffs.
@@ -54,7 +57,7 @@ SIGNALS = {
 #: Cutoffs that are tried, in thousandths.
 CUTOFFS = (10, 20, 30, 50, 80, 120, 160, 200, 250, 300, 400, 500, 650, 800)
 
-#: First hex digits of md5(doc_id) of the labels that propose; the others test.
+#: First hex digits of md5(text) of the draws that propose; the others test.
 PROPOSING = ("0", "1", "2", "3", "4")
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -156,11 +159,12 @@ class RiskControlledRules:
         return (F.col(f"{of}{whole}") > 0) & (1000 * F.col(f"{of}{what}") >= cutoff * F.col(f"{of}{whole}"))
 
     def labelled(self, counted: DataFrame, labels: DataFrame) -> DataFrame:
-        """Labelled documents that pass the base rule: stratum, COUNTS, good, and whether they propose or test."""
+        """The draws, labelled documents that pass the base rule: stratum, COUNTS, good, and whether they propose or test."""
         known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
-        proposes = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1).isin(*PROPOSING)
         both = counted.where(~self.base_failed()).join(known, "doc_id")
-        return both.select(self.stratum(F.col("lang")).alias("stratum"), *COUNTS, "good", proposes.alias("proposes"))
+        one = both.groupBy("doc_id").agg(F.min(F.struct("digest", "lang", *COUNTS, "good")).alias("r")).select("r.*")
+        draws = one.groupBy(self.stratum(F.col("lang")).alias("stratum"), "digest").agg(*[F.min(c).alias(c) for c in (*COUNTS, "good")])
+        return draws.select("stratum", *COUNTS, "good", F.substring("digest", 1, 1).isin(*PROPOSING).alias("proposes"))
 
     def proposals(self, labelled: DataFrame) -> dict[str, list[tuple[str, int]]]:
         """By stratum: signals with their cutoffs, the most useful first; at most len(strata) + 1 rows of counts come to the driver."""
@@ -183,7 +187,7 @@ class RiskControlledRules:
         return len(hits)
 
     def fit(self, counted: DataFrame, labels: DataFrame) -> RiskControlledRules:
-        """Rules with cutoffs; counted: doc_id, lang and COUNTS; all labelled documents are counted."""
+        """Rules with cutoffs; counted: doc_id, lang, digest (of the text) and COUNTS; all labelled documents are counted."""
         labelled = tb.checkpointed(self.labelled(counted, labels))
         proposed = self.proposals(labelled)
         testing = labelled.where("good and not proposes")
@@ -210,9 +214,13 @@ class RiskControlledRules:
         return out
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, rules: RiskControlledRules | None = None) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept for each document; docs has doc_id, text and lang."""
-    counted = tb.checkpointed(statistics_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).select("doc_id", "lang", "quality_counts.*"))
+    counted = tb.checkpointed(statistics_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).select("doc_id", "lang", _digest().alias("digest"), "quality_counts.*"))
     fitted = (rules or RiskControlledRules()).fit(counted, labels)
     failed = fitted.base_failed()
     return counted.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & ~fitted.rejected(F.col("lang"))).alias("kept"))
@@ -224,6 +232,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, rules: RiskControlledRules | N
     while name in (c.lower() for c in docs.columns):
         name += "_"
     counted = tb.Written(docs)(statistics_of(docs, to=name))
-    fitted = (rules or RiskControlledRules()).fit(counted.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", f"{name}.*"), labels)
+    fitted = (rules or RiskControlledRules()).fit(counted.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", _digest().alias("digest"), f"{name}.*"), labels)
     of = f"{name}."
     return counted.where(~fitted.base_failed(of) & ~fitted.rejected(F.col("lang"), of)).drop(name)

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from .line_dedup import NEWLINE
-from .quality_rules import CUTOFFS, LANGUAGES, OTHER, PROPOSING, SIGNALS, RiskControlledRules
+from .quality_rules import COUNTS, CUTOFFS, LANGUAGES, OTHER, PROPOSING, SIGNALS, RiskControlledRules
 from .url_filter import ALPHABET, OTHER as OTHER_SYMBOL, RULES, STEP, SYMBOLS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -20,15 +20,17 @@ win AS (SELECT rid, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >=
 grams AS (SELECT rid, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM win),
 often AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS k FROM grams) WHERE k > 1),
 rep AS (SELECT rid, count(DISTINCT q) AS n_repeat_words FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM often) GROUP BY 1),
-c AS (SELECT d.rid, doc_id, {stratum} AS stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+c AS (SELECT d.rid, doc_id, lang, md5(text) AS digest, {stratum} AS stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_repeat_words, 0) AS n_repeat_words,
   len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_shouts,
   len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines
   FROM d LEFT JOIN rep USING (rid)),
 f AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed FROM c),
-known AS (SELECT doc_id, min(quality) > 0 AS good, md5(doc_id::VARCHAR)[1] IN ({', '.join(repr(x) for x in PROPOSING)}) AS proposes FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+known AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
 sig AS (SELECT * FROM (VALUES {signals}) AS t(k, signal)), cut AS (SELECT * FROM (VALUES {cuts}) AS t(cutoff)),
-lab AS (SELECT rid, stratum, signal, sig.k AS turn, good, proposes, {value(0)} AS what, {value(1)} AS whole FROM f JOIN known USING (doc_id), sig WHERE NOT base_failed),
+one AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY digest, lang NULLS FIRST) AS turn FROM f JOIN known USING (doc_id) WHERE NOT base_failed),
+draws AS (SELECT stratum, digest AS rid, min(good) AS good, {', '.join(f'min({c}) AS {c}' for c in COUNTS)} FROM one WHERE turn = 1 GROUP BY 1, 2),
+lab AS (SELECT rid, stratum, signal, sig.k AS turn, good, rid[1] IN ({', '.join(repr(x) for x in PROPOSING)}) AS proposes, {value(0)} AS what, {value(1)} AS whole FROM draws, sig),
 tally AS (SELECT stratum, signal, turn, cutoff, count(*) FILTER (NOT good AND whole > 0 AND 1000 * what >= cutoff * whole) - {r.cost} * count(*) FILTER (good AND whole > 0 AND 1000 * what >= cutoff * whole) AS worth FROM lab, cut WHERE proposes GROUP BY 1, 2, 3, 4),
 chosen AS (SELECT stratum, signal, turn, max(worth) AS worth, arg_max(cutoff, worth * 10000 + cutoff) AS cutoff FROM tally WHERE worth > 0 GROUP BY 1, 2, 3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY worth DESC, turn) AS step FROM chosen),

@@ -93,3 +93,24 @@ def test_columns_with_names_that_are_used_inside(spark):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     kept = Q.keep_good(df, known)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(400))
+
+
+def test_rows_and_texts_that_repeat_certify_nothing_more(spark):
+    docs, labels = made(120, 40, seed=3)
+    few, known = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fit = lambda df, labels: Q.RiskControlledRules().fit(Q.statistics_of(df).select("doc_id", "lang", Q._digest().alias("digest"), "quality_counts.*"), labels).cutoffs
+    once = fit(few, known)
+    often = spark.createDataFrame(docs * 10, "doc_id long, text string, lang string")
+    assert fit(often, known) == once and not once.get("en")
+    # the same texts under other ids, with labels of their own
+    copies = spark.createDataFrame([(k + 1000 * c, t, l) for k, t, l in docs for c in range(10)], "doc_id long, text string, lang string")
+    labelled = spark.createDataFrame([(k + 1000 * c, q, t) for k, q, t in labels for c in range(10)], "doc_id long, quality int, toxic int")
+    assert fit(copies, labelled) == once
+    many, enough = made(600, 60, seed=3)
+    got = fit(spark.createDataFrame(many + many[:50], "doc_id long, text string, lang string"), spark.createDataFrame(enough, "doc_id long, quality int, toxic int"))
+    assert got["en"]
+    # an id with two texts is one draw; of ids with one text, one bad label makes it bad
+    pair = [(1, "a " * 5 + " ".join(f"b{k}" for k in range(60)), "en"), (1, " ".join(f"c{k}" for k in range(60)), "en"), (2, " ".join(f"d{k}" for k in range(60)), None), (3, " ".join(f"d{k}" for k in range(60)), "zz")]
+    counted = Q.statistics_of(spark.createDataFrame(pair, "doc_id long, text string, lang string")).select("doc_id", "lang", Q._digest().alias("digest"), "quality_counts.*")
+    draws = Q.RiskControlledRules().labelled(counted, spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality int")).collect()
+    assert sorted((r.stratum, r.good) for r in draws) == [("en", True), (Q.OTHER, False)]
