@@ -7,37 +7,20 @@ rows alone are joined, so a round costs what it finds.
 
 from __future__ import annotations
 
-import re
-import tempfile
+import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, OperationError
 from ..semiring import DELTA, FINE_DELTA, INFINITY, TROPICAL, Semiring, same, semiring
 from .machine import Machine
+from .rounds import Growing, Improving, Rounds, chains, checkpointed, numbered
 
 STATES = "state long, is_start boolean, final_weight double"
 ARCS = "src long, ilabel long, olabel long, weight double, dst long"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Through the folder that the cluster names in spark.checkpoint.dir; a temporary one on a single machine only."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", context.master):
-            raise OperationError("spark.checkpoint.dir has to name a folder that all nodes reach")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
-def _barrier(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A round's rows; the aggregation stops derived predicates from piling up over rounds."""
-    rest = [c for c in df.columns if c not in keys]
-    return checkpointed(df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest]) if rest else df.select(*keys).distinct())
-
-
 class ArcTable:
     def __init__(self, states: DataFrame, arcs: DataFrame, ring: Semiring | str = TROPICAL):
         self.states = states.select("state", "is_start", "final_weight")
@@ -134,8 +117,8 @@ class ArcTable:
     def encode(self, labels: bool = True, weights: bool = False) -> tuple[ArcTable, DataFrame]:
         """Arcs with packed labels and the table (code, ...) to decode them."""
         key = ["ilabel"] + ["olabel"] * labels + ["weight"] * weights
-        # codes by rank of distinct keys: as many rows as there are kinds of labels
-        codes = self.arcs.select(*key).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(*key)).cast("long"))
+        rounds = Rounds(self.arcs.sparkSession)
+        (codes,) = rounds.done(numbered(rounds, self.arcs.select(*key), "code", 1))
         coded = self.arcs.join(codes, key)
         arcs = coded.select("src", F.col("code").alias("ilabel"), (F.col("code") if labels else F.col("olabel")).alias("olabel"), (F.lit(0.0) if weights else F.col("weight")).alias("weight"), "dst")
         return self._with(arcs=arcs), codes
@@ -167,120 +150,172 @@ class ArcTable:
 
     # -- fixpoints
 
-    def _reached(self, start: DataFrame, steps: DataFrame) -> DataFrame:
-        """States that `steps` (src, dst) lead to from `start`, itself included."""
-        seen = new = checkpointed(start.select("state").distinct())
-        steps = steps.select("src", "dst").distinct()
-        while not new.isEmpty():
-            found = new.join(steps, new["state"] == steps["src"]).select(F.col("dst").alias("state")).distinct()
-            new = _barrier(found.join(seen, "state", "left_anti"), ["state"])
-            seen = _barrier(seen.unionByName(new), ["state"])
-        return seen
+    def _steps(self, backward: bool = False) -> DataFrame:
+        """(u, v, w, n): one row a pair of states, parallel arcs added."""
+        u, v = ("dst", "src") if backward else ("src", "dst")
+        steps = self.semiring.sums(self.arcs.select(F.col(u).alias("u"), F.col(v).alias("v"), F.col("weight").alias("w")), ["u", "v"], "w")
+        return steps.select("u", "v", "w", F.lit(1).cast("long").alias("n"))
+
+    def _reached(self, rounds: Rounds, start: DataFrame, backward: bool = False) -> DataFrame:
+        """States that arcs lead to from `start`, itself included; chains of states in a few rounds."""
+        steps = rounds(self._steps(backward))
+        short = chains(rounds, steps, start)
+        core = steps if short is None else short[0]
+        seen = Growing(rounds, ["state"], start.select("state").distinct())
+        while seen.add(seen.new.join(core, seen.new["state"] == core["u"]).select(F.col("v").alias("state")).distinct()):
+            pass
+        inside = [] if short is None else [short[1].join(seen.all.withColumnRenamed("state", "u"), "u", "left_semi").select("state")]
+        return seen.all.unionByName(inside[0]) if inside else seen.all
 
     def connect(self) -> ArcTable:
         """States and arcs on paths from the start to a final."""
-        fore = self._reached(self.states.where("is_start"), self.arcs)
-        aft = self._reached(self.states.where("final_weight is not null"), self.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        keep = fore.join(aft, "state")
+        rounds = Rounds(self.arcs.sparkSession)
+        fore = self._reached(rounds, self.states.where("is_start"))
+        aft = self._reached(rounds, self.states.where("final_weight is not null"), backward=True)
+        (keep,) = rounds.done(fore.join(aft, "state"))
         arcs = self.arcs.join(keep.toDF("src"), "src", "left_semi").join(keep.toDF("dst"), "dst", "left_semi")
         return self._with(self.states.join(keep, "state", "left_semi"), arcs)
 
-    def order(self, most: int = 10_000) -> DataFrame | None:
+    def order(self) -> DataFrame | None:
         """(state, level): the longest way to each state in arcs; None if there is a cycle."""
-        left = self.arcs.select("src", "dst").distinct()
-        states, level = checkpointed(self.states.select("state")), 0
-        out = states.select("state", F.lit(0).alias("level")).limit(0)
-        left = checkpointed(left)
-        while True:
-            free = states.join(left.select(F.col("dst").alias("state")).distinct(), "state", "left_anti").select("state", F.lit(level).alias("level"))
-            free = _barrier(free, ["state"])
-            if free.isEmpty():
-                return out if states.isEmpty() else None
-            out = checkpointed(out.unionByName(free))
-            states = _barrier(states.join(free, "state", "left_anti"), ["state"])
-            left = _barrier(left.join(free.select(F.col("state").alias("src")), "src", "left_anti"), ["src", "dst"])
-            level += 1
-            if level > most:
-                raise OperationError(f"more than {most} levels")
+        rounds = Rounds(self.arcs.sparkSession)
+        steps = rounds(self.arcs.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct().select("u", "v", F.lit(0.0).alias("w"), F.lit(1).cast("long").alias("n")))
+        short = chains(rounds, steps, self.states.limit(0))
+        core = rounds((steps if short is None else short[0]).groupBy("u", "v").agg(F.max("n").alias("n")))
+        ways = rounds(core.groupBy(F.col("v").alias("state")).agg(F.count(F.lit(1)).alias("ways")))
+        states = self.states.select("state").distinct()
+        outer = states if short is None else states.join(short[1], "state", "left_anti")
+        free = Growing(rounds, ["state"], outer.join(ways, "state", "left_anti").select("state", F.lit(0).cast("long").alias("level")))
+        sent = Growing(rounds, [], ways.select("state", F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("level")).limit(0))
+        while free.n_new:
+            more = free.new.join(core, free.new["state"] == core["u"]).groupBy(F.col("v").alias("state")).agg(F.count(F.lit(1)).alias("gone"), F.max(F.col("level") + F.col("n")).alias("level"))
+            if not sent.put(more):
+                break
+            all_of = sent.all.join(sent.new.select("state"), "state", "left_semi").groupBy("state").agg(F.sum("gone").alias("gone"), F.max("level").alias("level"))
+            free.put(all_of.join(ways, "state").where("gone = ways").select("state", "level"))
+        levels = free.all
+        if short is not None:
+            levels = levels.unionByName(short[1].join(free.all.withColumnRenamed("state", "u"), "u").select("state", (F.col("level") + F.col("n")).alias("level")))
+        (levels,) = rounds.done(levels.select("state", F.col("level").cast("int").alias("level")))
+        return levels if levels.count() == states.count() else None
 
     def topsort(self) -> ArcTable:
         """States numbered along the arcs; a cyclic table as it is."""
         order = self.order()
         if order is None:
             return self
-        # places within a level and offsets of levels: no window spans all states
-        n = order.groupBy("level").count()
-        offset = n.select("level", (F.sum("count").over(Window.orderBy("level")) - F.col("count")).alias("offset"))
-        number = order.withColumn("k", F.row_number().over(Window.partitionBy("level").orderBy("state"))).join(offset, "level").select("state", (F.col("offset") + F.col("k") - 1).alias("new"))
+        # places by range partitions of (level, state) and offsets of partitions: no window spans a level
+        rounds = Rounds(self.arcs.sparkSession)
+        number = numbered(rounds, order.repartitionByRange("level", "state").sortWithinPartitions("level", "state"), "new", distinct=False).select("state", "new")
+        (number,) = rounds.done(number)
         states = self.states.join(number, "state").select(F.col("new").alias("state"), "is_start", "final_weight")
         arcs = self.arcs.join(number.toDF("src", "a"), "src").join(number.toDF("dst", "b"), "dst")
         return self._with(states, arcs.select(F.col("a").alias("src"), "ilabel", "olabel", "weight", F.col("b").alias("dst")))
 
-    def shortestdistance(self, backward: bool = False, most: int = 10_000) -> DataFrame:
-        """(state, distance) of the states that are reached; negative cycles are an error.
+    def shortestdistance(self, backward: bool = False, delta: float = FINE_DELTA) -> DataFrame:
+        """(state, distance) of the states that are reached.
 
-        tropical: Bellman-Ford rounds in which only improved states send on.  log: levels of
-        an acyclic table, all weights added.
+        tropical: rounds in which only improved states send on; a negative cycle is an error.
+        log: rounds in which only the mass that is new travels on.  Without cycles that ends by
+        itself; with cycles where no more than delta^2 of any state's mass is under way, and it is
+        an error where that mass does not shrink.  Chains of states are one step.
         """
-        src, dst = ("dst", "src") if backward else ("src", "dst")
-        steps = checkpointed(self.arcs.select(F.col(src).alias("u"), F.col(dst).alias("v"), F.col("weight").alias("w")))
+        rounds = Rounds(self.arcs.sparkSession)
         start = self.states.where("final_weight is not null").select("state", F.col("final_weight").alias("distance")) if backward else self.states.where("is_start").select("state", F.lit(0.0).alias("distance"))
-        known = new = checkpointed(start)
-        if not self.semiring.has_best_path:
-            return self._summed(steps, known, most)
-        for _ in range(most):
-            found = new.join(steps, new["state"] == steps["u"]).groupBy(F.col("v").alias("state")).agg(F.min(F.col("distance") + F.col("w")).alias("found"))
-            better = found.join(known, "state", "left").where(F.col("distance").isNull() | (F.col("found") < F.col("distance") - FINE_DELTA))
-            new = _barrier(better.select("state", F.col("found").alias("distance")), ["state"])
-            if new.isEmpty():
-                return known
-            known = _barrier(known.unionByName(new), ["state"])
-        raise OperationError("distances do not converge")
-
-    def _summed(self, steps: DataFrame, start: DataFrame, most: int) -> DataFrame:
-        if self.order(most) is None:
-            raise OperationError("sums over the paths of a cyclic table do not end")
-        total, now = start, start
-        for _ in range(most):
-            found = self.semiring.sums(now.join(steps, now["state"] == steps["u"]).select(F.col("v").alias("state"), (F.col("distance") + F.col("w")).alias("distance")), ["state"], "distance")
-            now = _barrier(found, ["state"])
-            if now.isEmpty():
+        steps = rounds(self._steps(backward))
+        short = chains(rounds, steps, start)
+        core = rounds(self.semiring.sums((steps if short is None else short[0]).select("u", "v", "w"), ["u", "v"], "w"))
+        step = lambda new: new.join(core, new["state"] == core["u"]).select(F.col("v").alias("state"), (F.col("distance") + F.col("w")).alias("distance"))
+        known = self._spread(rounds, ["state"], start, "distance", step, delta)
+        if short is not None:
+            known = known.unionByName(short[1].join(known.withColumnRenamed("state", "u"), "u").select("state", (F.col("distance") + F.col("w")).alias("distance")))
+        return rounds.done(known)[0]
+
+    def _spread(self, rounds: Rounds, keys: list[str], first: DataFrame, weight: str, step, delta: float) -> DataFrame:
+        """Weights of all ways from the rows of `first`, which `step` carries on by an arc."""
+        if self.semiring.has_best_path:
+            best = Improving(rounds, keys, first.groupBy(*keys).agg(F.min(weight).alias(weight)), [weight], FINE_DELTA)
+            for _ in range(self.states.count() + 1):
+                if not best.add(step(best.new).groupBy(*keys).agg(F.min(weight).alias(weight))):
+                    return best.best
+            raise OperationError("least weights do not converge: a negative cycle")
+        total = now = rounds(self.semiring.sums(first, keys, weight))
+        shares: list[float] = []
+        while True:
+            now = rounds(self.semiring.sums(step(now).where(F.col(weight) < INFINITY), keys, weight))
+            had = total.withColumnRenamed(weight, "had")
+            share = now.join(had, keys, "left").agg(F.max(F.when(F.col("had").isNull(), INFINITY).otherwise(F.col("had") - F.col(weight)))).first()[0]
+            if share is None:
                 return total
-            total = checkpointed(self.semiring.sums(total.unionByName(now), ["state"], "distance"))
-        raise OperationError("distances do not converge")
-
-    def rmepsilon(self, most: int = 10_000) -> ArcTable:
-        """Without arcs that are epsilon on both sides (tropical: closures by least weight)."""
-        self.semiring.require_best_path("rmepsilon of a table")
-        silent = checkpointed(self.arcs.where("ilabel = 0 and olabel = 0").groupBy("src", "dst").agg(F.min("weight").alias("w")))
-        near = new = _barrier(self.states.select(F.col("state").alias("src"), F.col("state").alias("at"), F.lit(0.0).alias("d")), ["src", "at"])
-        for _ in range(most):
-            found = new.join(silent.toDF("at", "next", "w"), "at").groupBy("src", F.col("next").alias("at")).agg(F.min(F.col("d") + F.col("w")).alias("found"))
-            better = found.join(near, ["src", "at"], "left").where(F.col("d").isNull() | (F.col("found") < F.col("d") - FINE_DELTA))
-            new = _barrier(better.select("src", "at", F.col("found").alias("d")), ["src", "at"])
-            if new.isEmpty():
-                break
-            near = _barrier(near.unionByName(new), ["src", "at"])
-        else:
-            raise OperationError("closures of epsilon arcs do not converge")
+            total = rounds(self.semiring.sums(total.unionByName(now), keys, weight))
+            # how large, in logarithms, the mass under way is against what has come
+            if share < 2 * math.log(delta):
+                return total
+            shares = [] if share == INFINITY else [*shares, share]
+            if len(shares) >= 256 and shares[len(shares) // 2] - shares[-1] < 0.5:
+                raise OperationError("sums over the paths of these cycles do not end, or hardly")
+
+    def rmepsilon(self, delta: float = FINE_DELTA) -> ArcTable:
+        """Without arcs that are epsilon on both sides; closures by the semiring, cycles included."""
+        rounds = Rounds(self.arcs.sparkSession)
+        silent = rounds(self.semiring.sums(self.arcs.where("ilabel = 0 and olabel = 0").select("src", "dst", "weight"), ["src", "dst"]).toDF("at", "next", "w"))
+        step = lambda new: new.join(silent, "at").select("src", F.col("next").alias("at"), (F.col("d") + F.col("w")).alias("d"))
+        own = self.states.select(F.col("state").alias("src"), F.col("state").alias("at"), F.lit(0.0).alias("d"))
+        near = self._spread(rounds, ["src", "at"], own, "d", step, delta)
         loud = self.arcs.where("ilabel <> 0 or olabel <> 0").withColumnRenamed("src", "at")
-        arcs = near.join(loud, "at").groupBy("src", "ilabel", "olabel", "dst").agg(F.min(F.col("d") + F.col("weight")).alias("weight"))
-        finals = near.join(self.states.select(F.col("state").alias("at"), "final_weight"), "at").groupBy(F.col("src").alias("state")).agg(F.min(F.col("d") + F.col("final_weight")).alias("final_weight"))
-        return self._with(self.states.drop("final_weight").join(finals, "state", "left"), arcs)
-
-    def push(self, to_final: bool = False) -> ArcTable:
-        """Weights moved towards the start, or the finals."""
-        return self.reweight(self.shortestdistance(backward=not to_final), not to_final)
+        arcs = self.semiring.sums(near.join(loud, "at").select("src", "ilabel", "olabel", "dst", (F.col("d") + F.col("weight")).alias("weight")), ["src", "ilabel", "olabel", "dst"])
+        ends = self.states.where("final_weight is not null").select(F.col("state").alias("at"), "final_weight")
+        finals = self.semiring.sums(near.join(ends, "at").select(F.col("src").alias("state"), (F.col("d") + F.col("final_weight")).alias("final_weight")), ["state"], "final_weight")
+        arcs, finals = rounds.done(arcs, finals)
+        return self._with(self.states.drop("final_weight").join(finals, "state", "left").select("state", "is_start", "final_weight"), arcs)
+
+    def push(self, to_final: bool = False, remove_total_weight: bool = False) -> ArcTable:
+        """Weights moved towards the start, or the finals; paths keep theirs unless the total weight is removed."""
+        potentials = self.shortestdistance(backward=not to_final)
+        if not to_final:
+            return self._shifted(potentials, True) if remove_total_weight else self.reweight(potentials)
+        pushed = self.reweight(potentials, to_initial=False)
+        if remove_total_weight:
+            ends = pushed.states.where("final_weight is not null").select(F.lit(1).alias("all"), "final_weight")
+            total = self.semiring.sums(ends, ["all"], "final_weight").first()
+            pushed = pushed if total is None else pushed._times_all(-total["final_weight"], at_start=False)
+        return pushed
+
+    def without_total(self) -> tuple[ArcTable, float]:
+        """Pushed to the start and without the total weight; and that weight."""
+        potentials = self.shortestdistance(backward=True)
+        total = self.states.where("is_start").join(potentials, "state").select("distance").first()
+        return self._shifted(potentials, True), 0.0 if total is None else total["distance"]
 
     def reweight(self, potentials: DataFrame, to_initial: bool = True) -> ArcTable:
-        """potentials (state, distance)."""
-        p = potentials.select("state", "distance")
+        """potentials (state, distance); arcs change by the difference of their ends, and the start's own is given back, so that paths keep their weights."""
+        out = self._shifted(potentials, to_initial)
+        first = self.states.where("is_start").join(potentials.where(F.abs("distance") < INFINITY), "state").select("distance").first()
+        return out if first is None or not first["distance"] else out._times_all(first["distance"] * (1 if to_initial else -1))
+
+    def _shifted(self, potentials: DataFrame, to_initial: bool) -> ArcTable:
+        p = potentials.where(F.abs("distance") < INFINITY).select("state", "distance")
         arcs = self.arcs.join(p.toDF("src", "a"), "src", "left").join(p.toDF("dst", "b"), "dst", "left")
         moved = F.col("weight") + (F.col("b") - F.col("a") if to_initial else F.col("a") - F.col("b"))
         states = self.states.join(p, "state", "left")
         final = F.col("final_weight") + (-F.col("distance") if to_initial else F.col("distance"))
         return self._with(states.withColumn("final_weight", F.coalesce(final, "final_weight")), arcs.withColumn("weight", F.coalesce(moved, "weight")))
 
+    def _times_all(self, weight: float, at_start: bool = True) -> ArcTable:
+        """All paths heavier by a weight: at the arcs and final weight of the start, through a new start where arcs lead into it; or at the finals."""
+        if not at_start:
+            return self._with(self.states.withColumn("final_weight", F.col("final_weight") + weight))
+        start = self.states.where("is_start").select("state")
+        if self.arcs.join(start.toDF("dst"), "dst", "left_semi").isEmpty():
+            mark = start.select(F.col("state").alias("src"), F.lit(True).alias("from_start"))
+            arcs = self.arcs.join(mark, "src", "left").withColumn("weight", F.when(F.col("from_start"), F.col("weight") + weight).otherwise(F.col("weight")))
+            return self._with(self.states.withColumn("final_weight", F.when(F.col("is_start"), F.col("final_weight") + weight).otherwise(F.col("final_weight"))), arcs)
+        old, new = start.first()["state"], self.states.agg(F.min("state")).first()[0] - 1
+        row = lambda *cells: self.states.sparkSession.range(1).select(*[F.lit(v).cast(kind).alias(name) for name, kind, v in cells])
+        first = row(("state", "long", new), ("is_start", "boolean", True), ("final_weight", "double", None))
+        way = row(("src", "long", new), ("ilabel", "long", 0), ("olabel", "long", 0), ("weight", "double", weight), ("dst", "long", old))
+        return self._with(self.states.withColumn("is_start", F.lit(False)).unionByName(first), self.arcs.unionByName(way))
+
     def prune(self, weight: float) -> ArcTable:
         """Arcs on paths within `weight` of the best."""
         self.semiring.require_best_path("prune")
@@ -290,10 +325,10 @@ class ArcTable:
         states = self.states.join(fore.toDF("state", "f"), "state", "left").withColumn("final_weight", F.when(F.col("f") + F.col("final_weight") <= best + weight + 1e-9, F.col("final_weight")))
         return self._with(states, arcs).connect()
 
-    def paths(self, most: int = 10_000) -> DataFrame:
+    def paths(self) -> DataFrame:
         """(ilabels, olabels, weight) of every path from the start to a final; a cycle on one is an error."""
         clean = self.connect()
-        if clean.order(most) is None:
+        if clean.order() is None:
             raise OperationError("a cyclic table has endless paths")
         loud = lambda c, seen: F.when(F.col(c) == 0, F.col(seen)).otherwise(F.concat(F.col(seen), F.array(c)))
         none = F.array().cast("array<long>")

@@ -508,4 +508,4 @@ def arc_sums(spark, sf_dir):
     return Relation(e, "log").merged().df.select("istring", "ostring", F.round(F.exp(-F.col("weight"))).cast("long").alias("n"))
 
 
-from . import algebra  # noqa: E402,F401  adds its queries to QUERIES and SQL
+from . import algebra, tables  # noqa: E402,F401  they add their queries to QUERIES and SQL
