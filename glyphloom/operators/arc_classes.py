@@ -175,11 +175,11 @@ def counterexample(a: ArcTable, b: ArcTable, delta: float = FINE_DELTA) -> DataF
     both = _side_by_side(a, b)
     both = ArcTable(rounds(both.states), rounds(both.arcs), a.semiring)
     named = rounds(classes(rounds, both, delta))
-    side = lambda k, p: both.arcs.where(F.col("src") % 2 == k).select(F.col("src").alias(p), "ilabel", F.col("weight").alias(f"w_{p}"), F.col("dst").alias(f"to_{p}"))
+    side = lambda k, p: both.arcs.where(F.pmod("src", F.lit(2)) == k).select(F.col("src").alias(p), "ilabel", F.col("weight").alias(f"w_{p}"), F.col("dst").alias(f"to_{p}"))
     left, right = side(0, "p"), side(1, "q")
     name = lambda p: named.select(F.col("state").alias(p), F.struct(*_SET).alias(f"n_{p}"))
     end = lambda p: both.states.where("final_weight is not null").select(F.col("state").alias(p), F.col("final_weight").alias(f"f_{p}"))
-    start = lambda k, p: both.states.where("is_start").where(F.col("state") % 2 == k).agg(F.max("state").alias(p)).withColumn("k", F.lit(0))
+    start = lambda k, p: both.states.where("is_start").where(F.pmod("state", F.lit(2)) == k).agg(F.max("state").alias(p)).withColumn("k", F.lit(0))
 
     def differing(df: DataFrame) -> DataFrame:
         marked = df.join(name("p"), "p", "left").join(name("q"), "q", "left")

@@ -302,7 +302,7 @@ class ArcTable:
         return self._with(states.withColumn("final_weight", F.coalesce(final, "final_weight")), arcs.withColumn("weight", F.coalesce(moved, "weight")))
 
     def _times_all(self, weight: float, at_start: bool = True) -> ArcTable:
-        """All paths heavier by a weight: at the arcs and final weight of the start, through a new start where arcs lead into it; or at the finals."""
+        """All paths heavier by a weight: at the arcs and final weight of the start, of a new start with copies of its arcs where arcs lead into it; or at the finals."""
         if not at_start:
             return self._with(self.states.withColumn("final_weight", F.col("final_weight") + weight))
         start = self.states.where("is_start").select("state")
@@ -310,11 +310,10 @@ class ArcTable:
             mark = start.select(F.col("state").alias("src"), F.lit(True).alias("from_start"))
             arcs = self.arcs.join(mark, "src", "left").withColumn("weight", F.when(F.col("from_start"), F.col("weight") + weight).otherwise(F.col("weight")))
             return self._with(self.states.withColumn("final_weight", F.when(F.col("is_start"), F.col("final_weight") + weight).otherwise(F.col("final_weight"))), arcs)
-        old, new = start.first()["state"], self.states.agg(F.min("state")).first()[0] - 1
-        row = lambda *cells: self.states.sparkSession.range(1).select(*[F.lit(v).cast(kind).alias(name) for name, kind, v in cells])
-        first = row(("state", "long", new), ("is_start", "boolean", True), ("final_weight", "double", None))
-        way = row(("src", "long", new), ("ilabel", "long", 0), ("olabel", "long", 0), ("weight", "double", weight), ("dst", "long", old))
-        return self._with(self.states.withColumn("is_start", F.lit(False)).unionByName(first), self.arcs.unionByName(way))
+        new = F.lit(self.states.agg(F.min("state")).first()[0] - 1).cast("long")
+        first = self.states.where("is_start").select(new.alias("state"), F.lit(True).alias("is_start"), (F.col("final_weight") + weight).alias("final_weight"))
+        ways = self.arcs.join(start.toDF("src"), "src", "left_semi").select(new.alias("src"), "ilabel", "olabel", (F.col("weight") + weight).alias("weight"), "dst")
+        return self._with(self.states.withColumn("is_start", F.lit(False)).unionByName(first), self.arcs.unionByName(ways))
 
     def prune(self, weight: float) -> ArcTable:
         """Arcs on paths within `weight` of the best."""
