@@ -13,10 +13,13 @@ from glyphloom.operators.arcs import ArcTable
 
 @pytest.fixture(autouse=True, scope="module")
 def few_rows(spark):
-    """Plans of a few rows are not planned anew while they run."""
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    """Plans of a few rows are not compiled, cut into partitions, or planned anew while they run."""
+    quick = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "1"}
+    for key, value in quick.items():
+        spark.conf.set(key, value)
     yield
-    spark.conf.unset("spark.sql.adaptive.enabled")
+    for key in quick:
+        spark.conf.unset(key)
 
 
 def some(rnd, n=6, arcs=12, labels=3, acceptor=False, silent=True, weights=4):
