@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..grammars import case, chat, dates, keypad, numbers, plurals, tagger, weather
-from ..operators import edit, morphology, relation
+from ..operators import edit, morphology, relation, term_tags
 from ..operators.apply import exploded
 from ..operators.arcs import ArcTable
 from ..operators.machine import closure, string_map, union
@@ -305,6 +305,23 @@ def tag_longest(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.apply(F.col("p_name")).alias("tagged"))
 
 
+@query("""
+WITH lex AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations) WHERE length(w) >= 3),
+d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, ' ') AS l FROM documents WHERE text IS NOT NULL),
+t AS (SELECT rid, doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM d),
+p AS (SELECT token, unnest(range(3, length(token) + 1)) AS k FROM (SELECT DISTINCT token FROM t)),
+b AS (SELECT token, max(k) AS k FROM p SEMI JOIN lex ON w = left(token, k) GROUP BY 1)
+SELECT doc_id, count(k) FILTER (pos > 1)::BIGINT AS n_terms,
+  md5(string_agg(CASE WHEN pos = 1 THEN token WHEN k IS NULL THEN ' ' || token ELSE '<k> ' || left(token, k) || '</k>' || substr(token, k + 1) END, '' ORDER BY pos)) AS tagged_md5
+FROM t LEFT JOIN b USING (token) GROUP BY rid, doc_id""")
+def tag_table(spark, sf_dir):
+    """Words of conversations, each with the space before it, as a lexicon table: the longest that a word of a document begins with."""
+    words = _words(table(spark, sf_dir, "conversations"), "text").where("length(word) >= 3").select(F.concat(F.lit(" "), "word").alias("term"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    found = term_tags.tagged(docs, "text", words, "term", "k")
+    return found.select("doc_id", ((F.length("tagged") - F.length("text")) / 7).cast("long").alias("n_terms"), F.md5("tagged").alias("tagged_md5"))
+
+
 @query("""
 WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM conversations WHERE text IS NOT NULL)
 SELECT word, list_reduce(string_split(word, ''), lambda a, x: CASE WHEN x BETWEEN 'a' AND 'z' AND right(a, 1) = x THEN a ELSE a || x END) AS single FROM w WHERE word <> ''""")
