@@ -4,20 +4,25 @@ With a bound of k edits a word is cut into k + 1 pieces, one of which a near que
 unchanged, shifted by no more than the edits allow: queries and words meet on (length,
 piece number, piece), so a join key is a piece of text and not a length.  Words too short to
 be cut, of at most k letters, meet on their length.  A lexicon within the stated limits is
-broadcast.  Without a bound, or where an edit is free, every query meets every word.  Unit
-costs are measured by Spark's levenshtein, others by a dynamic program.
+broadcast.  Unit costs are measured by Spark's levenshtein, others by a dynamic program of
+expressions, a fold over one string with the row of the other.
+
+The nearest word without a bound is looked for with bounds that double: queries that found a
+word are done, and the next round is only for the rest, until the bound is above what
+replacing the longest query by the longest word costs.  All distances without a bound are a
+product by definition; so is a search whose edits are free.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, OperationError
 from .relation import best, optimal
+from .rounds import Rounds
 
 MOST_BROADCAST = 50_000
 
@@ -85,7 +90,7 @@ class LevenshteinAutomaton:
         return self.closest_matches(query)[0]
 
 
-def distances(queries: DataFrame, query: str, lexicon: DataFrame, word: str, bound: int, edits: EditTransducer | None = None) -> DataFrame:
+def distances(queries: DataFrame, query: str, lexicon: DataFrame, word: str, bound: float, edits: EditTransducer | None = None) -> DataFrame:
     """(query, ostring, weight) for all words within the bound, 0 for none; equal queries are compared once."""
     if bound < 0:
         raise ArgumentError("a bound is not negative")
@@ -100,12 +105,11 @@ def distances(queries: DataFrame, query: str, lexicon: DataFrame, word: str, bou
     else:
         pairs = asked.crossJoin(side(words)).select(query, "ostring")
     if edits.is_unit:
-        d = F.levenshtein(F.col(query), F.col("ostring"), bound) if bound else F.levenshtein(F.col(query), F.col("ostring"))
+        d = F.levenshtein(F.col(query), F.col("ostring"), int(bound)) if bound else F.levenshtein(F.col(query), F.col("ostring"))
         return pairs.withColumn("weight", d.cast("double")).where("weight >= 0").select(query, "ostring", "weight").distinct()
 
-    measured = _cost_udf(edits)
-    pairs = pairs.withColumn("weight", measured(F.col(query), F.col("ostring")))
-    return (pairs.where(F.col("weight") <= bound) if bound else pairs).select(query, "ostring", "weight").distinct()
+    pairs = pairs.withColumn("weight", _cost(F.col(query), F.col("ostring"), edits))
+    return (pairs.where(F.col("weight") <= bound + 1e-9) if bound else pairs).select(query, "ostring", "weight").distinct()
 
 
 def _near_pairs(asked: DataFrame, query: str, words: DataFrame, k: int, side) -> DataFrame:
@@ -131,15 +135,41 @@ def _near_pairs(asked: DataFrame, query: str, words: DataFrame, k: int, side) ->
     return met.unionByName(brief.join(side(words.where(size <= k)), "size").select(query, "ostring"))
 
 
-def _cost_udf(edits: EditTransducer):
-    def cost(a: pd.Series, b: pd.Series) -> pd.Series:
-        free = EditTransducer(None, edits.insert_cost, edits.delete_cost, edits.substitute_cost)
-        return pd.Series([free.distance(x, y) for x, y in zip(a, b)], dtype="float64")
+def _cost(a: Column, b: Column, edits: EditTransducer) -> Column:
+    """Least cost of turning a into b: a row of the matrix is folded over the letters of a."""
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    ins, gone, other = (F.lit(float(x)) for x in (edits.insert_cost, edits.delete_cost, edits.substitute_cost))
+    of_b = letters(b)
+
+    def next_row(row: Column, x: Column) -> Column:
+        # what comes from the row above, and then insertions from the left
+        above = F.transform(of_b, lambda y, j: F.least(F.element_at(row, j + 2) + gone, F.element_at(row, j + 1) + F.when(x == y, F.lit(0.0)).otherwise(other)))
+        return F.aggregate(above, F.array(F.element_at(row, 1) + gone), lambda done, v: F.concat(done, F.array(F.least(v, F.element_at(done, -1) + ins))))
 
-    return F.pandas_udf(cost, "double")
+    first = F.transform(F.sequence(F.lit(0), F.size(of_b)), lambda j: j * ins)
+    return F.aggregate(letters(a), first, next_row, lambda row: F.element_at(row, -1))
 
 
-def closest(queries: DataFrame, query: str, lexicon: DataFrame, word: str, bound: int, all_ties: bool = False, edits: EditTransducer | None = None) -> DataFrame:
-    """The nearest word of each query within the bound, or all that tie; queries without one have no row."""
-    near = distances(queries, query, lexicon, word, bound, edits)
-    return optimal(near, [query]) if all_ties else best(near, [query])
+def closest(queries: DataFrame, query: str, lexicon: DataFrame, word: str, bound: float, all_ties: bool = False, edits: EditTransducer | None = None) -> DataFrame:
+    """The nearest word of each query within the bound (0: none), or all that tie; queries without one have no row."""
+    edits = edits or EditTransducer()
+    chosen = (lambda near: optimal(near, [query])) if all_ties else (lambda near: best(near, [query]))
+    least = min(edits.insert_cost, edits.delete_cost, edits.substitute_cost)
+    if bound or not least:
+        return chosen(distances(queries, query, lexicon, word, bound, edits))
+    rounds = Rounds(queries.sparkSession)
+    asked, n = rounds.counted(queries.select(F.col(query).alias(query)).where(F.col(query).isNotNull()).distinct())
+    words, n_words = rounds.counted(lexicon.select(F.col(word).alias("word")).where("word is not null").distinct())
+    longest = lambda df, c: df.agg(F.coalesce(F.max(F.length(c)), F.lit(0)).alias("n")).first()["n"]
+    most = longest(asked, F.col(query)) * edits.delete_cost + longest(words, F.col("word")) * edits.insert_cost
+    found, bound = None, least
+    while n and n_words:
+        here = rounds(chosen(distances(asked, query, words, "word", bound, edits)))
+        found = here if found is None else found.unionByName(here)
+        if bound >= most:
+            break
+        asked, n = rounds.counted(asked.join(here.select(query).distinct(), query, "left_anti"))
+        bound *= 2
+    if found is None:
+        found = distances(asked, query, words, "word", 1, edits).limit(0)
+    return rounds.done(found)[0]

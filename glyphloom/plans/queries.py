@@ -240,11 +240,21 @@ _LEX = _rows([(w,) for w in LEXICON], "lex")
 
 @query(f"""
 WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), d AS (SELECT word, lex, levenshtein(word, lex) AS k FROM w, {_LEX})
-SELECT word, lex AS ostring, k::DOUBLE AS weight FROM (SELECT *, rank() OVER (PARTITION BY word ORDER BY k) AS r FROM d WHERE k <= 3) WHERE r = 1""")
+SELECT word, lex AS ostring, k::DOUBLE AS weight FROM (SELECT *, rank() OVER (PARTITION BY word ORDER BY k) AS r FROM d) WHERE r = 1""")
 def edit_closest(spark, sf_dir):
-    """The nearest lexicon words of each word, ties included."""
+    """The nearest lexicon words of each word however far, ties included."""
     lexicon = spark.createDataFrame([(w,) for w in LEXICON], "lex string")
-    return edit.closest(_words(table(spark, sf_dir, "part"), "p_name"), "word", lexicon, "lex", 3, all_ties=True)
+    return edit.closest(_words(table(spark, sf_dir, "part"), "p_name"), "word", lexicon, "lex", 0, all_ties=True)
+
+
+@query("""
+WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations) WHERE regexp_full_match(w, '[a-z]{3,9}')), p AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
+d AS (SELECT word, w, levenshtein(word, w) AS k FROM p, w)
+SELECT word, w AS ostring, k::DOUBLE AS weight FROM (SELECT *, rank() OVER (PARTITION BY word ORDER BY k) AS r FROM d) WHERE r = 1""")
+def edit_closest_table(spark, sf_dir):
+    """The nearest words of conversations for each word of a part's name, without a bound."""
+    lexicon = _words(table(spark, sf_dir, "conversations"), "text").where("word rlike '^[a-z]{3,9}$'").withColumnRenamed("word", "w")
+    return edit.closest(_words(table(spark, sf_dir, "part"), "p_name"), "word", lexicon, "w", 0, all_ties=True)
 
 
 @query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name)::BIGINT AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")

@@ -296,3 +296,21 @@ def test_no_temporary_folder_on_a_cluster():
     conf = SimpleNamespace(get=lambda key, default: default)
     with pytest.raises(OperationError):
         checkpointed(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=conf)))
+
+
+def test_nearest_without_bound(spark):
+    """Bounds that double find what a search of all pairs finds, whatever edits cost, without a product in the plan."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcé") for _ in range(n))
+    words = sorted({word(rnd.randrange(0, 12)) for _ in range(60)} | {"x" * 30})
+    asked = sorted({word(rnd.randrange(0, 14)) for _ in range(40)} | {"", "yyyyyyyy", "z" * 25})
+    q, w = (spark.createDataFrame([(x,) for x in [*side, side[0], None]], "x string") for side in (asked, words))
+    for costs in ((1, 1, 1), (1.5, 0.5, 1.25)):
+        edits = edit.EditTransducer(None, *costs)
+        want = set()
+        for a in asked:
+            d = {b: edits.distance(a, b) for b in words}
+            want |= {(a, b, x) for b, x in d.items() if x == min(d.values())}
+        found = edit.closest(q, "x", w, "x", 0, all_ties=True, edits=edits)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert edit.closest(q, "x", w.limit(0), "x", 0).count() == 0 and edit.closest(q.limit(0), "x", w, "x", 0).count() == 0
