@@ -1,9 +1,10 @@
 """Line dedup by frequency on a site: lines on too large a share of a host's pages go.
 
 For each host, the pages that hold a line are counted once each and divided by the host's
-pages.  A line with a word in it is boilerplate if it is on at least `min_pages` pages and
-on more than `percent` of them.  All occurrences of it on that host's pages go.  Lines are
-split at \\n and compared exactly, by a 64-bit hash within a host.
+pages.  A line with a word in it is boilerplate if it is on more than `percent` of them and
+repeats: on `min_pages` pages or more, or, where the host is too small for that to say much,
+on at least two pages and more than half of all.  All occurrences of it on that host's pages
+go.  Lines are split at \\n and compared exactly, by a 64-bit hash within a host.
 
 Blocks count their own lines first, so a line that a third of all pages share reaches the
 counting as one row a block.  These rows keep their block's number through the counting, so
@@ -73,8 +74,9 @@ def _boilerplate(blocks: tb.Blocks, percent: float, min_pages: int) -> DataFrame
     pages = blocks.docs.where("host is not null")
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     counted = blocks.docs.groupBy("block").applyInArrow(count, "block long, host string, line long, pages long")
-    often = counted.withColumn("all_pages", F.sum("pages").over(Window.partitionBy("host", "line"))).where(F.col("all_pages") >= min_pages)
-    return often.join(totals, "host").where(F.col("all_pages") * 100 > F.lit(percent) * F.col("total")).select("block", "host", "line")
+    often = counted.withColumn("all_pages", F.sum("pages").over(Window.partitionBy("host", "line"))).where(F.col("all_pages") >= 2)
+    repeats = (F.col("all_pages") >= min_pages) | (F.col("all_pages") * 2 > F.col("total"))
+    return often.join(totals, "host").where(repeats & (F.col("all_pages") * 100 > F.lit(percent) * F.col("total"))).select("block", "host", "line")
 
 
 def _dropped(block: tb.Block, flagged: pa.Table):

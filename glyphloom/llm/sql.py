@@ -49,7 +49,7 @@ def line_dedup(percent: float = 5, min_pages: int = 5) -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, string_split(coalesce(text, ''), chr({NEWLINE})) AS l FROM documents),
 x AS (SELECT rid, doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
 total AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
-bad AS (SELECT source, line, true AS goes FROM (SELECT source, line, count(DISTINCT rid) AS k FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) JOIN total USING (source) WHERE k >= {min_pages} AND k * 100 > {percent} * n)
+bad AS (SELECT source, line, true AS goes FROM (SELECT source, line, count(DISTINCT rid) AS k FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) JOIN total USING (source) WHERE k >= 2 AND (k >= {min_pages} OR k * 2 > n) AND k * 100 > {percent} * n)
 SELECT doc_id, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]'))::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_removed,
   sha256(coalesce(string_agg(line, chr({NEWLINE}) ORDER BY pos) FILTER (goes IS NULL), '')) AS kept_sha256
 FROM x LEFT JOIN bad USING (source, line) GROUP BY rid, doc_id"""

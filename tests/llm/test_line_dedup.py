@@ -14,7 +14,7 @@ def plain(rows, percent=5, min_pages=5):
         total[s] += 1
         for x in (t or "").split("\n"):
             pages[s, x].add(k)
-    bad = {key for key, p in pages.items() if key[0] is not None and len(p) >= min_pages and 100 * len(p) > percent * total[key[0]] and brute.words(key[1])}
+    bad = {key for key, p in pages.items() if key[0] is not None and len(p) >= 2 and (len(p) >= min_pages or 2 * len(p) > total[key[0]]) and 100 * len(p) > percent * total[key[0]] and brute.words(key[1])}
     out = []
     for i, t, s in rows:
         lines = (t or "").split("\n")
@@ -47,3 +47,13 @@ def test_against_brute_force(spark):
     assert sorted(texts, key=str) == sorted([(w[0], w[4], len(w[4]), s, 1) for w, s in zip(want, source)], key=str)
     assert sum(r.text is None for r in whole.collect()) == 1
     assert line_digests(df.limit(0)).count() == 0 and drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_hosts_of_few_pages(spark):
+    """One page alone repeats nothing; of two to four, lines on more than half go."""
+    data = [(10 * n + k, "same\nhalf\n" * (k < n // 2 + 1) + ("pair\n" if k < 2 else "") + f"own {k}", f"h{n}") for n in range(1, 13) for k in range(n)]
+    df = spark.createDataFrame([(i, t, s, len(t), 1, "x") for i, t, s in data], SCHEMA).repartition(3)
+    want = plain(data)
+    assert sorted(tuple(r) for r in line_digests(df).collect()) == sorted(w[:4] for w in want)
+    kept = {w[0]: w[4] for w in want}
+    assert kept[10] == data[0][1] and kept[20] == "own 0" and kept[40] == "pair\nown 0" and kept[120] == "pair\nown 0"
