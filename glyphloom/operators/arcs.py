@@ -19,6 +19,7 @@ from .rounds import Growing, Improving, Rounds, chains, checkpointed, numbered
 
 STATES = "state long, is_start boolean, final_weight double"
 ARCS = "src long, ilabel long, olabel long, weight double, dst long"
+PATIENCE = 256  # rounds after which mass in cycles must have shrunk
 
 
 class ArcTable:
@@ -252,7 +253,7 @@ class ArcTable:
             if share < 2 * math.log(delta):
                 return total
             shares = [] if share == INFINITY else [*shares, share]
-            if len(shares) >= 256 and shares[len(shares) // 2] - shares[-1] < 0.5:
+            if len(shares) >= PATIENCE and shares[len(shares) // 2] - shares[-1] < 0.5:
                 raise OperationError("sums over the paths of these cycles do not end, or hardly")
 
     def rmepsilon(self, delta: float = FINE_DELTA) -> ArcTable:
