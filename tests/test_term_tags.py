@@ -53,3 +53,36 @@ def test_query_by_join(spark, monkeypatch):
     monkeypatch.setattr(G, "MOST_BROADCAST", 1024)
     sf = "/root/testdata/sf0.001"
     assert difference(QUERIES["tag_table"](spark, sf), connection(sf), SQL["tag_table"]) is None
+
+
+def test_terms_take_few_bytes_and_batches_go_by_blocks(monkeypatch):
+    """What every Python worker holds: the lexicon by hashes and letters, and a block of a batch at a time."""
+    import pickle
+    import tracemalloc
+
+    rnd = random.Random(2)
+    words = [f" {rnd.randrange(10**9, 10**10)}" for _ in range(100_000)]
+    made = pickle.dumps(G.Terms([words]))
+    tracemalloc.start()
+    terms = pickle.loads(made)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 35 * len(words)
+    assert terms.spans([f"a{words[5]}{words[7]}0", words[9][:-1], ""]) == [[(1, 11), (12, 11)], [], []]
+    monkeypatch.setattr(G, "BLOCK", 1000)
+    import pyarrow as pa
+
+    class Shared:
+        value = terms
+
+    batch = pa.record_batch([pa.array(list(range(500))), pa.array([words[k] * 3 if k % 7 else None for k in range(500)])], ["k", "t"])
+    got = list(G._mapper(Shared, "t", "x")([batch]))
+    assert len(got) > 10 and max(b.num_rows for b in got) < 60
+    assert [r["made"] for b in got for r in b.to_pylist()] == [f"<x>{words[k]}</x>" * 3 if k % 7 else None for k in range(500)]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(G.Windows, "at", lambda self, at, size: self.sums[at] * 0)
+    terms = {"abcd", "bcda", "cd", "dd", "aaaaa"}
+    got = G.Terms([sorted(terms)]).spans(["abcdcdbcdaaaaaadd", "dcba"])
+    assert got == [plain("abcdcdbcdaaaaaadd", terms), []]
