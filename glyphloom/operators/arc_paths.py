@@ -114,15 +114,13 @@ def number_of(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-CELLS = 1024
-
-
 def choices(t: ArcTable, select: str = "uniform") -> DataFrame:
-    """(state, cell, low, high, ilabel, olabel, dst): what can be drawn at each state and the interval that draws it.
+    """(state, cells, cell, low, high, ilabel, olabel, dst): what can be drawn at each state and the interval that draws it.
 
     The masses of a state's arcs, and of its end where it is final, are laid side by side in the
     order of a digest of the choice.  Sums run within the digest's first digits and over them, so
     no task sees all arcs of a large state; each interval is listed by the cells that it meets.
+    A state has as many cells as choices, so a state lists fewer rows than three a choice.
     """
     if select not in ("uniform", "log_prob"):
         raise ArgumentError(f"unknown way to draw: {select}")
@@ -132,14 +130,19 @@ def choices(t: ArcTable, select: str = "uniform") -> DataFrame:
     mass = F.lit(1.0) if select == "uniform" else F.exp(-F.col("weight"))
     key = F.md5(F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("end")) for c in ("ilabel", "olabel", "dst")]))
     all_of = ways.unionByName(ends).select("state", "ilabel", "olabel", "dst", mass.alias("mass"), key.alias("key")).withColumn("head", F.substring("key", 1, 3))
-    heads = all_of.groupBy("state", "head").agg(F.sum("mass").alias("m"))
+    heads = all_of.groupBy("state", "head").agg(F.sum("mass").alias("m"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("state").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("state", "head", F.coalesce(F.sum("m").over(before), F.lit(0.0)).alias("base"), F.sum("m").over(Window.partitionBy("state")).alias("whole"))
+    heads = heads.select("state", "head", F.coalesce(F.sum("m").over(before), F.lit(0.0)).alias("base"), F.sum("m").over(Window.partitionBy("state")).alias("whole"), F.sum("n").over(Window.partitionBy("state")).alias("cells"))
     up_to = Window.partitionBy("state", "head").orderBy("key", "mass").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = all_of.withColumn("reach", F.sum("mass").over(up_to)).join(heads, ["state", "head"])
-    laid = laid.select("state", "ilabel", "olabel", "dst", ((F.col("base") + F.col("reach") - F.col("mass")) / F.col("whole")).alias("low"), ((F.col("base") + F.col("reach")) / F.col("whole")).alias("high"))
-    first, last = F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1))
-    return laid.withColumn("cell", F.explode(F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))))
+    laid = laid.select("state", "cells", "ilabel", "olabel", "dst", ((F.col("base") + F.col("reach") - F.col("mass")) / F.col("whole")).alias("low"), ((F.col("base") + F.col("reach")) / F.col("whole")).alias("high"))
+    first, last = _cell("low"), _cell("high")
+    return laid.withColumn("cell", F.explode(F.sequence(first, F.greatest(first, last))))
+
+
+def _cell(at: str) -> F.Column:
+    """The cell of a place from 0 to 1 among those of its state."""
+    return F.least(F.floor(F.col(at) * F.col("cells")), F.col("cells") - 1)
 
 
 def random_paths(t: ArcTable, n: int, select: str = "uniform", seed: int = 0, max_length: int | None = None) -> DataFrame:
@@ -152,6 +155,7 @@ def random_paths(t: ArcTable, n: int, select: str = "uniform", seed: int = 0, ma
     t = t.connect()
     rounds = Rounds(t.arcs.sparkSession)
     table = rounds(choices(t, select))
+    cells = rounds(table.where("cell = 0").select("state", "cells").distinct())
     start = t.states.where("is_start").select("state").first()
     none = F.array().cast("array<long>")
     spark = t.arcs.sparkSession
@@ -160,7 +164,7 @@ def random_paths(t: ArcTable, n: int, select: str = "uniform", seed: int = 0, ma
     say = lambda c, so_far: F.when(F.col(c) == 0, F.col(so_far)).otherwise(F.concat(F.col(so_far), F.array(c))).alias(so_far)
     step, left = 0, n if start is not None else 0
     while left and (max_length is None or step <= max_length):
-        drawn = now.withColumn("u", number_of(seed, F.col("sample"), step)).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+        drawn = now.join(cells, "state").withColumn("u", number_of(seed, F.col("sample"), step)).withColumn("cell", _cell("u")).drop("cells")
         drawn = rounds(drawn.join(table, ["state", "cell"]).where((F.col("low") <= F.col("u")) & (F.col("u") < F.col("high"))))
         found.put(drawn.where("dst is null").select("sample", "ilabels", "olabels"))
         now, left = rounds.counted(drawn.where("dst is not null").select("sample", F.col("dst").alias("state"), say("ilabel", "ilabels"), say("olabel", "olabels")))

@@ -95,6 +95,15 @@ def test_choices_cover_the_whole_interval(spark):
     assert len(got) == 2999 and got[0][0] == 0 and abs(got[-1][1] - 1) < 1e-9 and all(abs(a[1] - b[0]) < 1e-9 for a, b in zip(got, got[1:]))
 
 
+def test_choices_list_few_rows_a_choice(spark):
+    """States with one choice are listed once, and large states by a few rows a choice."""
+    rows = [(0, k, k, 0.1 * (k % 9), k) for k in range(1, 800)]
+    t = ArcTable(spark.createDataFrame([(0, True, None), *[(k, False, 0.0) for k in range(1, 800)]], STATES), spark.createDataFrame(rows, ARCS))
+    for select in ("uniform", "log_prob"):
+        got = W.choices(t, select).groupBy((W.F.col("state") == 0).alias("many")).count().collect()
+        assert {r["many"]: r["count"] for r in got}[False] == 799 and {r["many"]: r["count"] for r in got}[True] < 3 * 799
+
+
 PUSH, POP = 91, 93
 
 
