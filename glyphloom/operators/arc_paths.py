@@ -28,7 +28,7 @@ class _Lists(Growing):
     def put(self, rows: DataFrame) -> bool:
         kept = super().put(rows)
         if kept and len(self.parts) == 1:
-            self.parts = [self.rounds(self.current.select(*self.new.columns))]
+            self._replace(self.current.select(*self.new.columns))
         return kept
 
 

@@ -31,23 +31,23 @@ FILTERS = {
 }
 
 
-def _moves(new: DataFrame, left: DataFrame, right: DataFrame, rules: dict) -> DataFrame:
-    """Arcs that leave new pairs: (pair, ilabel, olabel, weight, next pair)."""
+def _moves(new: DataFrame, left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], rules: dict) -> DataFrame:
+    """Arcs that leave new pairs: (pair, ilabel, olabel, weight, next pair).  Each side's arcs: those with a label, and the silent ones."""
     row = lambda i, o, w, a, b, f: [*_PAIR, i.alias("ilabel"), o.alias("olabel"), w.alias("weight"), a.alias("left2"), b.alias("right2"), F.lit(f).alias("filter2")]
     silent, c = F.lit(0).cast("long"), F.col
-    at_left = new.join(left, "left")
-    loud = at_left.where("ao <> 0").join(right.where("bi <> 0"), (c("right") == c("b_src")) & (c("ao") == c("bi")))
+    (left_loud, left_silent), (right_loud, right_silent) = left, right
+    loud = new.join(left_loud, "left").join(right_loud, (c("right") == c("b_src")) & (c("ao") == c("bi")))
     found = [loud.select(*row(c("ai"), c("bo"), c("aw") + c("bw"), c("a_dst"), c("b_dst"), 0))]
     if "silent" in rules:
         allowed, then = rules["silent"]
-        both = at_left.where((c("ao") == 0) & c("filter").isin(*allowed)).join(right.where("bi = 0"), c("right") == c("b_src"))
+        both = new.where(c("filter").isin(*allowed)).join(left_silent, "left").join(right_silent, c("right") == c("b_src"))
         found.append(both.select(*row(c("ai"), c("bo"), c("aw") + c("bw"), c("a_dst"), c("b_dst"), then)))
     if "left" in rules:
         allowed, then = rules["left"]
-        found.append(at_left.where((c("ao") == 0) & c("filter").isin(*allowed)).select(*row(c("ai"), silent, c("aw"), c("a_dst"), c("right"), then)))
+        found.append(new.where(c("filter").isin(*allowed)).join(left_silent, "left").select(*row(c("ai"), silent, c("aw"), c("a_dst"), c("right"), then)))
     if "right" in rules:
         allowed, then = rules["right"]
-        alone = new.where(c("filter").isin(*allowed)).join(right.where("bi = 0"), c("right") == c("b_src"))
+        alone = new.where(c("filter").isin(*allowed)).join(right_silent, c("right") == c("b_src"))
         found.append(alone.select(*row(silent, c("bo"), c("bw"), c("left"), c("b_dst"), then)))
     return reduce(DataFrame.unionByName, found)
 
@@ -59,8 +59,8 @@ def _numbered_table(rounds: Rounds, pairs: DataFrame, arcs: DataFrame, first: Da
     n = number.select(F.col("state").alias("n"), *[F.col(c).alias(f"n_{c}") for c in _PAIR])
     from_ = arcs.join(n, match(_PAIR)).select(F.col("n").alias("src"), "ilabel", "olabel", "weight", *_NEXT)
     to = from_.join(n, match(_NEXT)).select("src", "ilabel", "olabel", "weight", F.col("n").alias("dst"))
-    ends = finals.join(n, match(_PAIR)).select(F.col("n").alias("state"), "final_weight")
-    starts = first.join(n, match(_PAIR)).select(F.col("n").alias("state"), F.lit(True).alias("is_start"))
+    ends = rounds(finals.join(n, match(_PAIR)).select(F.col("n").alias("state"), "final_weight"))
+    starts = rounds(first.join(n, match(_PAIR)).select(F.col("n").alias("state"), F.lit(True).alias("is_start")))
     states = number.select("state").join(starts, "state", "left").join(ends, "state", "left").select("state", F.coalesce("is_start", F.lit(False)).alias("is_start"), "final_weight")
     arcs, states, number = rounds.done(to, states, number)
     return ArcTable(states, arcs, ring), number
@@ -79,8 +79,10 @@ def compose_pairs(a: ArcTable, b: ArcTable, compose_filter: str = "auto") -> tup
     if name not in FILTERS:
         raise ArgumentError(f"unknown compose filter: {compose_filter}")
     rounds = Rounds(a.arcs.sparkSession)
-    left = rounds(a.arcs.select(F.col("src").alias("left"), F.col("ilabel").alias("ai"), F.col("olabel").alias("ao"), F.col("weight").alias("aw"), F.col("dst").alias("a_dst")))
-    right = rounds(b.arcs.select(F.col("src").alias("b_src"), F.col("ilabel").alias("bi"), F.col("olabel").alias("bo"), F.col("weight").alias("bw"), F.col("dst").alias("b_dst")))
+    # apart, since the few silent arcs are sent to all tasks where many pairs meet at a state
+    parts = lambda arcs, label: (rounds(arcs.where(f"{label} <> 0")), rounds(arcs.where(f"{label} = 0")))
+    left = parts(a.arcs.select(F.col("src").alias("left"), F.col("ilabel").alias("ai"), F.col("olabel").alias("ao"), F.col("weight").alias("aw"), F.col("dst").alias("a_dst")), "ao")
+    right = parts(b.arcs.select(F.col("src").alias("b_src"), F.col("ilabel").alias("bi"), F.col("olabel").alias("bo"), F.col("weight").alias("bw"), F.col("dst").alias("b_dst")), "bi")
     first = rounds(_starts(a, b))
     seen = Growing(rounds, _PAIR, first)
     arcs = Growing(rounds, [], _moves(seen.new, left, right, FILTERS[name]))
@@ -88,7 +90,7 @@ def compose_pairs(a: ArcTable, b: ArcTable, compose_filter: str = "auto") -> tup
         if not arcs.put(_moves(seen.new, left, right, FILTERS[name])):
             break
     pairs = seen.all
-    end = lambda t, state, w: t.states.where("final_weight is not null").select(F.col("state").alias(state), F.col("final_weight").alias(w))
+    end = lambda t, state, w: rounds(t.states.where("final_weight is not null").select(F.col("state").alias(state), F.col("final_weight").alias(w)))
     finals = pairs.join(end(a, "left", "aw"), "left").join(end(b, "right", "bw"), "right").select(*_PAIR, (F.col("aw") + F.col("bw")).alias("final_weight"))
     return _numbered_table(rounds, pairs, arcs.all, first, finals, ring)
 
@@ -138,8 +140,8 @@ def difference(a: ArcTable, b: ArcTable, connect: bool = True) -> ArcTable:
         if not arcs.put(shown(moves(seen.new), "right2")):
             break
     pairs = seen.all
-    ends = a.states.where("final_weight is not null").select(F.col("state").alias("left"), "final_weight")
-    gone = b.states.where("final_weight is not null").select(F.col("state").alias("right"))
+    ends = rounds(a.states.where("final_weight is not null").select(F.col("state").alias("left"), "final_weight"))
+    gone = rounds(b.states.where("final_weight is not null").select(F.col("state").alias("right")))
     finals = pairs.join(ends, "left").join(gone, "right", "left_anti").select(*_PAIR, "final_weight")
     made = _numbered_table(rounds, pairs, arcs.all, shown(first, "right"), finals, ring)[0]
     return made.connect() if connect else made

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import ArgumentError, OperationError
 from ..semiring import DELTA, FINE_DELTA, INFINITY, TROPICAL, Semiring, same, semiring
 from .machine import Machine
-from .rounds import Growing, Improving, Rounds, chains, checkpointed, numbered
+from .rounds import Growing, Improving, Rounds, chains, numbered
 
 STATES = "state long, is_start boolean, final_weight double"
 ARCS = "src long, ilabel long, olabel long, weight double, dst long"
@@ -166,7 +166,7 @@ class ArcTable:
         while seen.add(seen.new.join(core, seen.new["state"] == core["u"]).select(F.col("v").alias("state")).distinct()):
             pass
         inside = [] if short is None else [short[1].join(seen.all.withColumnRenamed("state", "u"), "u", "left_semi").select("state")]
-        return seen.all.unionByName(inside[0]) if inside else seen.all
+        return rounds(seen.all.unionByName(inside[0])) if inside else seen.all
 
     def connect(self) -> ArcTable:
         """States and arcs on paths from the start to a final."""
@@ -327,19 +327,17 @@ class ArcTable:
 
     def paths(self) -> DataFrame:
         """(ilabels, olabels, weight) of every path from the start to a final; a cycle on one is an error."""
-        clean = self.connect()
+        rounds, clean = Rounds(self.arcs.sparkSession), self.connect()
+        clean = self._with(rounds(clean.states), rounds(clean.arcs))
         if clean.order() is None:
             raise OperationError("a cyclic table has endless paths")
         loud = lambda c, seen: F.when(F.col(c) == 0, F.col(seen)).otherwise(F.concat(F.col(seen), F.array(c)))
         none = F.array().cast("array<long>")
         now = clean.states.where("is_start").select("state", none.alias("ilabels"), none.alias("olabels"), F.lit(0.0).alias("total"))
-        ends = clean.states.where("final_weight is not null").select("state", "final_weight")
-        out = []
-        # ends, since there is no cycle
-        while not (now := checkpointed(now)).isEmpty():
-            out.append(now.join(ends, "state").select("ilabels", "olabels", (F.col("total") + F.col("final_weight")).alias("weight")))
-            now = now.join(clean.arcs, F.col("state") == F.col("src")).select(F.col("dst").alias("state"), loud("ilabel", "ilabels").alias("ilabels"), loud("olabel", "olabels").alias("olabels"), (F.col("total") + F.col("weight")).alias("total"))
-        found = out[0] if out else None
-        for more in out[1:]:
-            found = found.unionByName(more)
-        return found if found is not None else clean.arcs.sparkSession.createDataFrame([], "ilabels array<long>, olabels array<long>, weight double")
+        ends = rounds(clean.states.where("final_weight is not null").select("state", "final_weight"))
+        found = Growing(rounds, [], now.select("ilabels", "olabels", F.col("total").alias("weight")).limit(0))
+        now, left = rounds.counted(now)
+        while left:  # ends, since there is no cycle
+            found.put(now.join(ends, "state").select("ilabels", "olabels", (F.col("total") + F.col("final_weight")).alias("weight")))
+            now, left = rounds.counted(now.join(clean.arcs, F.col("state") == F.col("src")).select(F.col("dst").alias("state"), loud("ilabel", "ilabels").alias("ilabels"), loud("olabel", "olabels").alias("olabels"), (F.col("total") + F.col("weight")).alias("total")))
+        return rounds.done(found.all)[0]

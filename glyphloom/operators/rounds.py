@@ -2,7 +2,9 @@
 
 Rounds are written in the shared folder and read back, so lineage is cut, a lost executor costs
 no more than its round, and the planner knows the sizes of what it joins.  A round writes only
-what it has found; the driver learns whether that is anything.
+what it has found; the driver learns whether that is anything.  What is sent to all tasks
+passes through the driver, so written tables say how they are joined: small ones are sent,
+others never, however small their files are.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 from ..errors import OperationError
 
 MOST_PARTS = 12
+FEW_NUMBERS = 1 << 17  # a table of so many is sent to all tasks that join it: a megabyte
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +40,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def joined_by_size(df: DataFrame, numbers: int) -> DataFrame:
+    """The table with a hint for its joins: to be sent to all tasks if it is small, else to be dealt by the key and merged."""
+    return df.hint("broadcast" if numbers <= FEW_NUMBERS else "merge")
+
+
+def _numbers(field: StructField) -> Column:
+    """How many numbers a value is."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, ArrayType):
+        return F.lit(1) + F.coalesce(F.size(c), F.lit(0))
+    if isinstance(field.dataType, StringType | BinaryType):
+        return F.lit(1) + F.coalesce(F.octet_length(c), F.lit(0)) / 8
+    return F.lit(1)
+
+
+class _Counts:
+    """Rows and numbers of a table, seen while it is written."""
+
+    def __init__(self, df: DataFrame):
+        self._seen = Observation()
+        numbers = reduce(Column.__add__, [_numbers(f) for f in df.schema])
+        self.df = df.observe(self._seen, F.count(F.lit(1)).alias("n"), F.sum(numbers).cast("long").alias("numbers"))
+
+    def get(self) -> tuple[int, int]:
+        seen = self._seen.get
+        return seen["n"], seen["numbers"] or 0
+
+
 class Rounds:
     """Tables of one computation, each written once; `done` keeps its result and deletes them."""
 
@@ -47,13 +79,19 @@ class Rounds:
 
     def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
         """The table as written, and its number of rows."""
+        table, n, numbers = self.written(df)
+        return joined_by_size(table, numbers), n
+
+    def written(self, df: DataFrame) -> tuple[DataFrame, int, int]:
+        """The table without a hint for joins, its number of rows, and of numbers in them."""
         self.n += 1
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.top}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{self.n}"), seen.get["n"]
+        counts = _Counts(df)
+        counts.df.write.parquet(f"{self.top}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{self.n}"), *counts.get()
 
     def done(self, *results: DataFrame) -> list[DataFrame]:
-        kept = [checkpointed(df) for df in results]
+        counts = [_Counts(df) for df in results]
+        kept = [joined_by_size(checkpointed(c.df), c.get()[1]) for c in counts]
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return kept
@@ -68,12 +106,23 @@ class Growing:
 
     def __init__(self, rounds: Rounds, keys: list[str], first: DataFrame):
         self.rounds, self.keys = rounds, keys
-        self.new, self.n_new = rounds.counted(first)
-        self.parts = [self.new]
+        self.parts, self.numbers = [], 0
+        self._write(first)
+
+    def _write(self, rows: DataFrame) -> None:
+        table, self.n_new, numbers = self.rounds.written(rows)
+        self.new = joined_by_size(table, numbers)
+        if self.n_new or not self.parts:
+            self.parts.append(table)
+            self.numbers += numbers
+
+    def _replace(self, rows: DataFrame) -> None:
+        table, _, self.numbers = self.rounds.written(rows)
+        self.parts = [table]
 
     @property
     def all(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.parts)
+        return joined_by_size(reduce(DataFrame.unionByName, self.parts), self.numbers)
 
     def add(self, found: DataFrame) -> bool:
         """Keep the rows whose key was not there; false if there are none.  One row a key, please."""
@@ -81,12 +130,11 @@ class Growing:
 
     def put(self, rows: DataFrame) -> bool:
         """Keep all rows."""
-        self.new, self.n_new = self.rounds.counted(rows)
+        self._write(rows)
         if not self.n_new:
             return False
-        self.parts.append(self.new)
         if len(self.parts) > MOST_PARTS:
-            self.parts = [self.rounds(self.all)]
+            self._replace(self.all)
         return True
 
 
@@ -112,7 +160,7 @@ class Improving(Growing):
     def put(self, rows: DataFrame) -> bool:
         kept = super().put(rows)
         if kept and len(self.parts) == 1:
-            self.parts = [self.rounds(self.best)]
+            self._replace(self.best)
         return kept
 
 

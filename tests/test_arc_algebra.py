@@ -3,12 +3,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphloom.errors import ArgumentError, OperationError
 from glyphloom.operators import arc_classes as K
 from glyphloom.operators import arc_product as X
 from glyphloom.operators import machine as M
-from glyphloom.operators.arcs import ArcTable
+from glyphloom.operators import rounds
+from glyphloom.operators.arcs import ARCS, ArcTable
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -73,6 +75,34 @@ def test_compose_with_cycles(spark):
     assert X.compose(t, ArcTable.of_machine(spark, M.accep("x"))).states.isEmpty()
 
 
+def rows_sent(spark, since=0):
+    """Rows of the tables that queries have sent to all tasks through the driver."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    out = []
+    for x in range(since, store.executionsCount()):
+        values, nodes = store.executionMetrics(x), store.planGraph(x).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                metrics = (node.metrics().apply(k) for k in range(node.metrics().size()))
+                out += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return out
+
+
+def test_large_tables_do_not_pass_through_the_driver(spark, monkeypatch):
+    """However small their files are."""
+    monkeypatch.setattr(rounds, "FEW_NUMBERS", 1000, raising=False)
+    n = 2000
+    leaf = F.col("id") + 2
+    arcs = lambda src, silent: spark.range(n).select(F.lit(src).cast("long").alias("src"), leaf.alias("ilabel"), leaf.alias("olabel"), F.lit(0.0).alias("weight"), leaf.alias("dst")).unionByName(
+        spark.createDataFrame([(0, 0, 0, 0.0, 1)] if silent else [], ARCS))
+    states = spark.range(n + 2).select(F.col("id").alias("state"), (F.col("id") == 0).alias("is_start"), F.when(F.col("id") > 1, 0.0).alias("final_weight"))
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    made, pairs = X.compose_pairs(ArcTable(states, arcs(1, True)), ArcTable(states, arcs(0, False)), "match")
+    assert (pairs.count(), made.states.where("final_weight is not null").count(), made.arcs.count()) == (n + 2, n, n + 1)
+    sent = rows_sent(spark, since)
+    assert sent and max(sent) < n
+
+
 @pytest.mark.parametrize("seed", [0])
 def test_intersect_and_difference(spark, seed):
     rnd = random.Random(seed + 10)
